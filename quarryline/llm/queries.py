@@ -1,0 +1,77 @@
+"""The registered queries of the operators, with production parameters, and their DuckDB SQL where SQL can say it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarryline.llm import byte_bpe, line_dedup, quality, sharding, token_lengths, transport_stream
+from quarryline.llm.common import table
+
+RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+#: Bytes of text in a shard.
+SHARD_BYTES = 1 << 20
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_lengths.summaries(token_lengths.histogram(docs, RANKS, PATTERN))
+
+
+def op3_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return transport_stream.store(docs, "doc_id", F.col("text"), keep_media=False).drop("media")
+
+
+def op4_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("n_bytes"))
+    out = sharding.shard(docs, ["doc_id"], F.col("n_bytes"), SHARD_BYTES)
+    return out.select("doc_id", F.col("row_bytes").alias("n_bytes"), "shard", F.col("local_depth").cast("bigint").alias("local_depth"))
+
+
+OP4_SQL = f"""
+WITH hashed AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS h FROM documents),
+cut AS (SELECT doc_id, n, h, d, h >> (60 - d) AS p FROM hashed, range(0, 41) t(d)),
+sums AS (SELECT *, sum(n) OVER (PARTITION BY d, p) AS b, min(h) OVER (PARTITION BY d, p) AS lo, max(h) OVER (PARTITION BY d, p) AS hi FROM cut),
+best AS (SELECT doc_id, any_value(n) AS n, any_value(h) AS h, min(d) AS k FROM sums WHERE b <= {SHARD_BYTES} OR lo = hi GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, substr(lpad(bin(h), 60, '0'), 1, k::INT) AS shard, k::BIGINT AS local_depth FROM best"""
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranking = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, ranking).select("doc_id", "held_out", "score", "predicted")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup(docs, min_docs=10, least=1).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+OP8_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(line) AS line, unnest(range(len(line))) AS pos
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS line FROM documents)),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines),
+frequent AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
+FROM keyed k LEFT JOIN frequent f ON k.key = f.key GROUP BY doc_id"""
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return byte_bpe.encode(docs, byte_bpe.vocabulary(docs, RANKS, PATTERN), ["doc_id"], with_ids=False)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"op4_extendible_hashing": OP4_SQL, "op8_line_dedup": OP8_SQL}
