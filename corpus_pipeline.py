@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import byte_bpe, line_dedup, quality
+from quarryline.llm import byte_bpe, decontamination, line_dedup, ngram_join, quality
 from quarryline.llm.common import table, written
 from quarryline.llm.queries import PATTERN, RANKS
 
@@ -24,15 +24,39 @@ def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.where("n_dropped = 0 or trim(text) != ''").withColumn("n_chars", F.length("text").cast("bigint")).select(COLUMNS)
 
 
-STAGES = [("quality classifier", quality_filter), ("line dedup", line_filter)]
+def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each class of near duplicates."""
+    found = ngram_join.classes(docs.select("doc_id", "text"))
+    return docs.select(COLUMNS).join(found.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi")
+
+
+def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    found = decontamination.find(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
+    return found.where("size(matches) = 0").select(COLUMNS)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their token ids, and digests of the ids and of what they decode to."""
+    vocab = byte_bpe.vocabulary(docs, RANKS, PATTERN)
+    return byte_bpe.encode(docs.select(COLUMNS), vocab, COLUMNS).drop("decoded")
+
+
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("line dedup", line_filter),
+    ("n-gram Jaccard join", near_duplicate_filter),
+    ("benchmark decontamination", benchmark_filter),
+    ("byte-level BPE", encoding),
+]
 #: Classifier, similarity and encoding aren't SQL; the stages are tested against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = written(docs, name.replace(" ", "-"))
+            docs = written(docs, f"stage-{k}")
     return docs

@@ -39,17 +39,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def hash_words(words: list[str], known: dict[str, int]) -> np.ndarray:
-    """64-bit hashes of words; ``known`` remembers those seen, and is emptied before it grows past a million."""
-    if len(known) > 1_000_000:
-        known.clear()
-    out = []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            h = known[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(h)
-    return np.array(out, dtype=np.uint64)
+class WordHashes(dict):
+    """64-bit hashes of words, remembered; emptied before it grows past half a million of them."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+def hash_words(words: list[str], known: WordHashes) -> np.ndarray:
+    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarryline.llm.common import WORD, hash_words, mix, shingle_hashes, texts
+from quarryline.llm.common import WORD, WordHashes, hash_words, mix, shingle_hashes, texts
 
 #: Words of a shingle, least similarity, and bits that fingerprints may differ in.
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 20
@@ -66,7 +66,7 @@ class Items:
     @classmethod
     def of(cls, rows: list[tuple[int, str | None]], radius: int = RADIUS) -> Items:
         """Shingles weigh the less the more items hold them: 1 for a shingle of one item, 1/k for one of k. Empty items match nothing."""
-        out, known, spread = cls(radius=radius), {}, Counter()
+        out, known, spread = cls(radius=radius), WordHashes(), Counter()
         for k, text in sorted(rows, key=lambda r: r[0]):
             hashes = hash_words(words_of(text or ""), known)
             if len(hashes):
@@ -200,7 +200,7 @@ def find(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, radiu
     shared = [docs.sparkSession.sparkContext.broadcast(x) for x in pieces]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexes, known = [s.value.prepared() for s in shared], {}
+        indexes, known = [s.value.prepared() for s in shared], WordHashes()
         for batch in batches:
             found = []
             for text in texts(batch.column("text")):

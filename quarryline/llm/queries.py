@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import byte_bpe, line_dedup, quality, sharding, token_lengths, transport_stream
+from quarryline.llm import byte_bpe, decontamination, html_extraction, line_dedup, ngram_join, quality, sharding, token_lengths, transport_stream
 from quarryline.llm.common import table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -16,6 +16,10 @@ RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokeniz
 SHARD_BYTES = 1 << 20
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_lengths.summaries(token_lengths.histogram(docs, RANKS, PATTERN))
@@ -46,6 +50,15 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, ranking).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", (F.size("matches") > 0).alias("contaminated"), F.col("matches.item_id").alias("item_ids"), F.col("matches.similarity").alias("similarities"),
+        F.col("matches.first_word").alias("first_words"),
+    )
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup(docs, min_docs=10, least=1).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
@@ -69,6 +82,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(docs, byte_bpe.vocabulary(docs, RANKS, PATTERN), ["doc_id"], with_ids=False)
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
