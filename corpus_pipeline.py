@@ -19,9 +19,9 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten or more of them have; ``n_chars`` follows. Those that lose all their text go."""
+    """Documents without the lines that ten or more of them have; ``n_chars`` follows. All documents stay, if only as empty texts."""
     out = line_dedup.dedup(docs.select(COLUMNS), min_docs=10, least=1)
-    return out.where("n_dropped = 0 or trim(text) != ''").withColumn("n_chars", F.length("text").cast("bigint")).select(COLUMNS)
+    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(COLUMNS)
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

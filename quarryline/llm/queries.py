@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import byte_bpe, decontamination, html_extraction, line_dedup, ngram_join, quality, sharding, token_lengths, transport_stream
+from quarryline.llm import byte_bpe, decontamination, html_extraction, line_dedup, ngram_join, quality, sharding, substring_dedup, token_lengths, transport_stream
 from quarryline.llm.common import table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -50,6 +50,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, ranking).select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), width=200)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.find(docs, table(spark, sf_dir, "benchmark"))
