@@ -48,9 +48,12 @@ def token_set(a: str | None, b: str | None) -> float:
     return max(together, with_a, with_b)
 
 
-@F.pandas_udf("double")
-def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_set(x, y) for x, y in zip(a, b, strict=True)])
+def _token_sets(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([token_set(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+
+
+def token_set_ratio(a, b) -> Column:
+    return F.pandas_udf(_token_sets, "double")(_c(a), _c(b))
 
 
 def distinctive_tokens(name, generic: tuple[str, ...] = tuple(GENERIC_TOKENS)) -> Column:

@@ -41,12 +41,15 @@ def remove_zero_width(s) -> Column:
     return F.translate(_c(s), ZERO_WIDTH, "")
 
 
-@F.pandas_udf("string")
-def nfc(s: pd.Series) -> pd.Series:
-    """Canonical composition; texts in it already pass unchanged."""
+def _nfc(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFC")
 
 
+def nfc(s) -> Column:
+    """Canonical composition; texts in it already pass unchanged."""
+    return F.pandas_udf(_nfc, "string")(_c(s))
+
+
 def normalize_fa(s, zwnj: str = "keep", digits: bool = True, strip: bool = True, composed: bool = True) -> Column:
     """Equates Arabic and Persian letters, drops diacritics and tatweel. ``composed=False`` composes first, in Python."""
     x = F.coalesce(_c(s), F.lit(""))

@@ -53,9 +53,12 @@ def is_probably_html(content_type, body) -> Column:
     return F.contains(kind, F.lit("html")) | F.contains(start, F.lit("<html")) | F.contains(start, F.lit("<!doctype html"))
 
 
-@F.pandas_udf("string")
-def absolute_url(base: pd.Series, href: pd.Series) -> pd.Series:
+def absolute_url(base, href) -> Column:
     """``href`` resolved against ``base``; null for scripts, mail and anchors."""
+    return F.pandas_udf(_joined, "string")(_c(base), _c(href))
+
+
+def _joined(base: pd.Series, href: pd.Series) -> pd.Series:
     from urllib.parse import urljoin
 
     def one(b: str | None, h: str | None) -> str | None:

@@ -91,9 +91,12 @@ class _Results(HTMLParser):
             self.items[-1][self.into] += data
 
 
-@F.pandas_udf(f"array<struct<{', '.join(p.replace(' ', ': ') for p in ITEM.split(', '))}>>")
-def html_items(body: pd.Series) -> pd.Series:
+def html_items(body) -> Column:
     """Result items of stored result pages."""
+    return F.pandas_udf(_parsed, f"array<struct<{', '.join(p.replace(' ', ': ') for p in ITEM.split(', '))}>>")(F.col(body) if isinstance(body, str) else body)
+
+
+def _parsed(body: pd.Series) -> pd.Series:
     out = []
     for text in body:
         parser = _Results()
