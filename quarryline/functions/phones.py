@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarryline.functions.text import ARABIC_DIGITS, PERSIAN_DIGITS, _c, to_ascii_digits
+from quarryline.functions.text import ARABIC_DIGITS, PERSIAN_DIGITS, _c, let, to_ascii_digits
 
 # Fixed values of the default plan.
 AREA_CODES = {
@@ -55,7 +55,10 @@ def _bare(national: Column) -> Column:
 
 def fake_signals(national) -> Column:
     """Codes of hard signs that a number is made up; of an all-zero or empty one just ``empty``."""
-    d = _bare(_c(national))
+    return let(_bare(_c(national)), _fake_signals)
+
+
+def _fake_signals(d: Column) -> Column:
     kinds = F.size(F.array_distinct(F.split(d, "")))
     n = F.length(d)
     subscriber = F.when(d.startswith("9"), F.substring(d, F.lit(2), n)).when(n > 9, F.substring(d, F.lit(3), n)).otherwise(d)
@@ -76,13 +79,16 @@ def is_synthetic(national) -> Column:
 
 
 def soft_signals(national) -> Column:
-    d = _bare(_c(national))
+    return let(_bare(_c(national)), _soft_signals)
+
+
+def _soft_signals(d: Column) -> Column:
     long_run = F.lit(False)
     for x in LONG_RUNS:
         long_run = long_run | F.contains(d, F.lit(x))
     signals = F.array(
         F.when(d.endswith("0000"), F.lit("four_zeros")), F.when(d.endswith("00000"), F.lit("five_zeros")), F.when(long_run, F.lit("long_sequence")),
-        F.when(is_synthetic(_c(national)), F.lit("synthetic_block")),
+        F.when(is_synthetic(d), F.lit("synthetic_block")),
     )
     return F.array_compact(signals)
 
@@ -90,16 +96,22 @@ def soft_signals(national) -> Column:
 def parse_phone(raw, plan: NumberingPlan = PLAN) -> Column:
     """struct(national, e164, type, area_code, subscriber, valid, reason, signals) of one written number, null if it is none."""
     text = F.coalesce(_c(raw), F.lit(""))
-    c = clean(text)
-    plus = F.contains(text, F.lit("+"))
-    c = F.regexp_replace(c, r"^\++", "")
-    cc = plan.country
-    rest = (
+    both = F.struct(F.regexp_replace(clean(text), r"^\++", "").alias("c"), F.contains(text, F.lit("+")).alias("plus"))
+    rest = let(both, lambda x: F.when(x["c"] != "", _without_prefix(x["c"], x["plus"], plan.country)))
+    return let(rest, lambda r: F.when(r.rlike("^[0-9]+$"), _classified(r, plan)))
+
+
+def _without_prefix(c: Column, plus: Column, cc: str) -> Column:
+    return (
         F.when(c.startswith("00" + cc), F.substring(c, F.lit(3 + len(cc)), F.length(c)))
         .when(c.startswith(cc) & (plus | (F.length(c) >= 12)), F.substring(c, F.lit(1 + len(cc)), F.length(c)))
         .when(c.startswith("0"), F.substring(c, F.lit(2), F.length(c)))
         .otherwise(c)
     )
+
+
+def _classified(rest: Column, plan: NumberingPlan) -> Column:
+    cc = plan.country
     n, national = F.length(rest), F.concat(F.lit("0"), rest)
     e164 = F.concat(F.lit("+" + cc), rest)
     area = F.concat(F.lit("0"), F.substring(rest, 1, 2))
@@ -123,7 +135,7 @@ def parse_phone(raw, plan: NumberingPlan = PLAN) -> Column:
             made(F.when((n == 11) & ~rest.startswith("0"), national).otherwise(rest), F.lit(""), F.lit("UNKNOWN"), none, none, F.lit(False), F.concat(F.lit("bad length ("), n.cast("string"), F.lit(")")), no_signals)
         )
     )
-    return F.when((c != "") & rest.rlike("^[0-9]+$"), out)
+    return out
 
 
 def resolve_local(local, area, plan: NumberingPlan = PLAN) -> Column:
@@ -137,14 +149,15 @@ def resolve_local(local, area, plan: NumberingPlan = PLAN) -> Column:
 
 def phone_quality(parsed, expected_area=None, inferred=None) -> Column:
     """0 to 1: how sound a parsed number is; a null parse is 0."""
-    p = _c(parsed)
+    area, local = (F.lit(None).cast("string") if expected_area is None else _c(expected_area)), (F.lit(False) if inferred is None else _c(inferred))
+    return let(F.struct(_c(parsed).alias("p"), area.alias("area"), local.alias("local")), lambda x: _quality(x["p"], x["area"], x["local"]))
+
+
+def _quality(p: Column, area: Column, local: Column) -> Column:
     q = F.lit(1.0) - F.when(p["valid"], 0.0).otherwise(0.55) - F.least(F.lit(0.75), 0.35 * F.size(p["signals"]))
     q = q - F.least(F.lit(0.25), 0.08 * F.size(soft_signals(p["national"]))) - F.when(p["type"] == "SERVICE", 0.8).otherwise(0.0)
     q = q - F.when(p["type"] == "UNKNOWN", 0.35).otherwise(0.0)
-    if expected_area is not None:
-        q = q - F.when(p["area_code"] != _c(expected_area), 0.35).otherwise(0.0)
-    if inferred is not None:
-        q = q - F.when(_c(inferred), 0.15).otherwise(0.0)
+    q = q - F.when(p["area_code"] != area, 0.35).otherwise(0.0) - F.when(local, 0.15).otherwise(0.0)
     return F.when(p.isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), q)))
 
 

@@ -35,8 +35,6 @@ def weight(text, group: Terms) -> Column:
 
 def score_relevance(df, name: str, body: str, lexicon: Lexicon = DEFAULT, query_category: str | None = None, query_role: str | None = None):
     """``df`` with relevance (0 to 100), category, role and spam_terms, by the terms in a name and in a body of text."""
-    from pyspark.sql import DataFrame  # noqa: F401
-
     rows = df.withColumns({"__n": search_text(name), "__b": search_text(body)})
     cats = {k: 2.2 * weight("__n", t) + 0.8 * weight("__b", t) for k, t in lexicon.categories.items()}
     roles = {k: 2.0 * weight("__n", t) + 0.6 * weight("__b", t) for k, t in lexicon.roles.items()}
@@ -58,10 +56,10 @@ def score_relevance(df, name: str, body: str, lexicon: Lexicon = DEFAULT, query_
     return rows.drop(*(c for c in rows.columns if c.startswith("__")))
 
 
-def spam_flags(text, links=F.lit(0), phones=F.lit(1), lexicon: Lexicon = DEFAULT) -> Column:
+def spam_flags(text, links=None, phones=None, lexicon: Lexicon = DEFAULT) -> Column:
     """Codes of what makes a page likely spam: its terms, many links in little text, many phones."""
     t = F.substring(search_text(text), 1, 20_000)
-    n, links, phones = F.length(t), _c(links), _c(phones)
+    n, links, phones = F.length(t), F.lit(0) if links is None else _c(links), F.lit(1) if phones is None else _c(phones)
     w = weight(t, lexicon.spam)
     flags = F.array(
         F.when(w > 0, F.lit("spam_terms")), F.when(w >= 10, F.lit("spam_density")), F.when((links > 250) & (n < 2500), F.lit("many_links")),

@@ -23,6 +23,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x: Column, f) -> Column:
+    """``f`` of an expression that it uses many times, evaluated once; plain nesting would copy it into the plan each time."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def to_ascii_digits(s) -> Column:
     """Persian and Arabic-Indic digits as ASCII; the length stays."""
     return F.translate(_c(s), PERSIAN_DIGITS + ARABIC_DIGITS, ASCII_DIGITS * 2)
@@ -73,7 +78,10 @@ def light_key(s) -> Column:
 
 def name_key(s, suffixes: tuple[str, ...] = LEGAL_SUFFIXES) -> Column:
     """``light_key`` less one legal suffix, the longest that leaves three characters at least."""
-    key = light_key(s)
+    return let(light_key(s), lambda key: _less_suffix(key, suffixes))
+
+
+def _less_suffix(key: Column, suffixes: tuple[str, ...]) -> Column:
     out = None
     for suffix in sorted({x.translate({ord(a): b for a, b in zip(LETTERS_FROM, LETTERS_TO, strict=True)}).replace(" ", "") for x in suffixes}, key=lambda x: (-len(x), x)):
         fits = key.endswith(suffix) & (F.length(key) - len(suffix) >= 3)
@@ -124,6 +132,10 @@ def strip_html(s) -> Column:
 def clean_name(s) -> Column:
     """A name without its label and punctuation at the ends; null if it can't be one: too short or long, mostly digits."""
     x = F.regexp_replace(collapse_ws(s), r"^[\s\-–—:،.]+|[\s\-–—:،.]+$", "")
+    return let(x, _usable_name)
+
+
+def _usable_name(x: Column) -> Column:
     x = F.regexp_replace(x, "^(نام|عنوان|نام شرکت|نام کسب\\s*وکار)\\s*[:：]\\s*", "")
     digits = F.length(digits_only(x))
     phone = to_ascii_digits(x).rlike(r"(?:\+98|0098|0)[0-9\s\-.()]{8,}[0-9]")

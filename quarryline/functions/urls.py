@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarryline.functions.text import _c
+from quarryline.functions.text import _c, let
 
 # Second-level names that registrars sell below, and hosts that say nothing about who owns a page.
 SECOND_LEVEL = ("co", "com", "net", "org", "gov", "ac", "sch", "id", "or", "ne")
@@ -27,7 +27,10 @@ def domain_of(url) -> Column:
 
 def registrable_domain(url, second_level: tuple[str, ...] = SECOND_LEVEL) -> Column:
     """The last two labels of the host, three if the last but one is a second-level name; addresses stay."""
-    host = domain_of(url)
+    return let(domain_of(url), lambda host: _registrable(host, second_level))
+
+
+def _registrable(host: Column, second_level: tuple[str, ...]) -> Column:
     labels = F.split(host, r"\.")
     last = lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, F.lit(n)), ".")
     address = host.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$") | host.startswith("[")
