@@ -282,3 +282,19 @@ def find_phones(df, text: str, key: str, area: str | None = None, plan: Numberin
     kept = first.select(key, "raw", "start", "stop", "e164", "national", F.col("parsed.type").alias("type"), F.col("parsed.area_code").alias("area_code"), F.col("is_local").alias("inferred"), "hint", "quality", "snippet", "reason")
     lost = rows.where("reason is not null").select(key, "raw", "start", "stop", "e164", "national", F.col("parsed.type").alias("type"), F.col("parsed.area_code").alias("area_code"), F.col("is_local").alias("inferred"), "hint", "quality", "snippet", "reason")
     return kept.unionByName(lost)
+
+
+def find_phones_in_html(df, html: str, key: str, area: str | None = None, plan: NumberingPlan = PLAN, most: int = 200):
+    """(key, e164, kind, quality) of a page: telephone links first (a tenth better), then messenger links (mobile numbers only), then its text."""
+    from quarryline.functions.text import strip_html
+    from quarryline.functions.urls import tel_link_numbers
+
+    messenger = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"(?i)(?:wa\.me/|api\.whatsapp\.com/send\?phone=|whatsapp://send\?phone=)(\+?[0-9]{8,15})"), F.lit(1))
+    tagged = lambda numbers, turn, kind: F.transform(numbers, lambda x: F.struct(F.lit(turn).alias("turn"), F.lit(kind).alias("kind"), x.alias("raw")))
+    linked = df.select(key, F.explode(F.concat(tagged(tel_link_numbers(html), 0, "tel_link"), tagged(messenger, 1, "whatsapp"))).alias("n")).select(key, "n.*").withColumn("p", parse_phone("raw", plan))
+    linked = linked.where("p.valid and p.e164 <> '' and p.type <> 'SERVICE' and (kind <> 'whatsapp' or p.type = 'MOBILE')")
+    linked = linked.select(key, "turn", "kind", F.col("p.e164").alias("e164"), F.least(F.lit(1.0), phone_quality("p") + F.when(F.col("turn") == 0, 0.1).otherwise(0.0)).alias("quality"))
+    plain = df.select(key, *([area] if area else []), strip_html(html).alias("__text"))
+    read = find_phones(plain, "__text", key, area, plan, most).where("reason is null").select(key, F.lit(2).alias("turn"), F.lit("text").alias("kind"), "e164", "quality")
+    best = linked.unionByName(read).groupBy(key, "e164").agg(F.min_by(F.struct("kind", "quality"), "turn").alias("x"))
+    return best.select(key, "e164", "x.*")

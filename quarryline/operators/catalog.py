@@ -177,3 +177,21 @@ def without_evidence(tables: dict[str, DataFrame]) -> DataFrame:
 def newest(df: DataFrame, most: int, *keys: str) -> DataFrame:
     """The last rows by some columns, descending: recent jobs, events, dead letters."""
     return df.orderBy(*(F.desc(k) for k in keys)).limit(most)
+
+
+def phones_list(phones: DataFrame, statuses: tuple[str, ...] = (), kind: str | None = None, min_confidence: int | None = None, include_synthetic: bool = False) -> DataFrame:
+    """Phones by status, kind and least confidence, the most trusted first; a least confidence of 0 narrows nothing."""
+    keep = is_in("status", statuses) & (F.lit(True) if kind is None else F.col("type") == kind) & between("confidence", min_confidence or None)
+    return phones.where(keep & (F.lit(True) if include_synthetic else ~F.col("is_synthetic"))).orderBy(F.desc("confidence"), "id")
+
+
+def queries_list(ledger: DataFrame, states: tuple[str, ...] = (), cities: tuple[str, ...] = (), most: int = 200) -> DataFrame:
+    """Rows of the ledger by state and city, newest first."""
+    return newest(ledger.where(is_in("state", states) & is_in("city", cities)), most, "last_run_at", "id")
+
+
+def locations_list(locations: DataFrame, province: str | None = None) -> DataFrame:
+    """Cities with their county and province, of one province or all."""
+    names = lambda kind, key, name: locations.where(F.col("kind") == kind).select(F.col("id").alias(key), F.col("name").alias(name))
+    out = locations.where("kind = 'city'").select("id", "name", "county_id", "province_id").join(names("county", "county_id", "county"), "county_id", "left").join(names("province", "province_id", "province"), "province_id", "left")
+    return (out if province is None else out.where(F.col("province") == province)).select("id", "name", "county", "province").orderBy("province", "name", "id")

@@ -92,7 +92,7 @@ def link_phones(links: DataFrame, arrived: DataFrame, as_of: Column) -> DataFram
 def gate(candidates: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``candidates`` with what becomes of each: drop (spam), evidence (not relevant enough), skip (no phone, no website) or keep."""
     has = (F.size(F.coalesce("phones", F.array().cast("array<string>"))) > 0) | (F.coalesce("website", F.lit("")) != "")
-    return candidates.withColumn("fate", F.when("is_spam", "drop").when(F.col("relevance") < settings.relevance_gate, "evidence").when(~has, "skip").otherwise("keep"))
+    return candidates.withColumn("fate", F.when(F.col("is_spam"), "drop").when(F.col("relevance") < settings.relevance_gate, "evidence").when(~has, "skip").otherwise("keep"))
 
 
 def identify(candidates: DataFrame, known: DataFrame, known_phones: DataFrame) -> DataFrame:

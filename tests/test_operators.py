@@ -207,3 +207,29 @@ def test_streaming_fold(spark, tmp_path):
     spark.createDataFrame([(3, "c")], "id long, v string").write.mode("append").parquet(str(src))
     ingest.fold(stream(), snap, merge, str(tmp_path / "ck")).awaitTermination()
     assert sorted(r.id for r in snap.read().collect()) == [1, 2, 3] and ingest.Snapshots(spark, str(tmp_path / "snap"), "id long, v string").version == snap.version
+
+
+def test_discovery_run_is_idempotent(spark):
+    from quarryline.plans import discovery
+
+    entry = '<div class="biz-item"><h3>پخش شوینده {0}</h3><p>فروش عمده مواد شوینده و مایع ظرفشویی تلفن: 021-3333445{1} همراه: 0912123456{1}</p></div>'
+    html = "<html><body>" + entry.format("بهرامی", 1) + entry.format("کریمی", 2) + "</body></html>"
+    job = "<html><body><h1>خبر</h1><p>استخدام فوری رزومه 021-33334459</p></body></html>"
+    rows = [("http://a.ir/1", html, 5, 0.8, "تهران", "تهران", 1), ("http://a.ir/2", job, 5, 0.8, "تهران", "تهران", 2)]
+    fetched = spark.createDataFrame(rows, "url string, html string, source_id long, reliability double, city string, province string, arrival long")
+    t = {name: schemas.empty(spark, name) for name in schemas.TABLES}
+    first = discovery.run(t, fetched, F.lit(DAY))
+    count = lambda x: tuple(x[k].count() for k in ("businesses", "phones", "business_phones", "source_observations"))
+    assert count(first.tables) == (2, 4, 4, 5) and {r.fate: r.n for r in first.fates.collect()} == {"keep": 2, "evidence": 1}
+    again = discovery.run(first.tables, fetched, F.lit(DAY + timedelta(days=1)))
+    assert count(again.tables) == (2, 4, 4, 5) and catalog.without_evidence(again.tables).count() == 0
+
+
+def test_lists_and_html_phones(spark):
+    from quarryline.functions.phones import find_phones_in_html
+
+    t = tables(spark)
+    assert [r.id for r in catalog.phones_list(t["phones"].fillna(False, ["is_synthetic"]), kind="MOBILE").collect()] == [11]
+    page = '<a href="tel:+982133334455">x</a><a href="https://wa.me/989121234567">w</a> tel 021-33334455 tel 021-44445566'
+    got = {r.e164: r.kind for r in find_phones_in_html(spark.createDataFrame([(1, page)], "id int, h string"), "h", "id").collect()}
+    assert got == {"+982133334455": "tel_link", "+989121234567": "whatsapp", "+982144445566": "text"}
