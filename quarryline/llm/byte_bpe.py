@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from quarryline.llm.common import texts, written
 
 #: Distinct words that are encoded ahead and sent to all tasks at most, the most frequent ones; bytes of a word at most.
-HEAD, LONGEST = 400_000, 64
+HEAD, LONGEST = 500_000, 64
 _BUCKETS = 1 << 15
 _SEEN_MOST = 200_000
 
@@ -59,6 +59,13 @@ def splitter(pattern: str):
 
 
 _CONTROL = re.compile("[\x1c-\x1f]")
+#: A space beside other white space; where there is none, no match of the usual pattern crosses from before a space to after it.
+_WIDE = re.compile(r"\s | \s")
+
+
+def chunks(text: str) -> list[str] | None:
+    """What stands between the spaces of a text, if each of these and the space before it can be split by itself; else None."""
+    return None if _WIDE.search(text) else text.split(" ")
 
 
 def _odd_ranges() -> list[tuple[int, int]]:
@@ -85,7 +92,12 @@ def rank_map(spark: SparkSession, path: str) -> Column:
     filled = empty.join(maps, "bucket", "left").select("bucket", F.coalesce("m", F.expr("cast(map() as map<binary,int>)")).alias("m"))
     in_order = F.array_sort(F.collect_list(F.struct("bucket", "m")), lambda a, b: a["bucket"] - b["bucket"])
     one = filled.agg(F.transform(in_order, lambda x: x["m"]).alias("ranks"))
-    jvm = spark._jvm.org.apache.spark.sql
+    return _literal(one)
+
+
+def _literal(one: DataFrame) -> Column:
+    """The only value of a frame as a literal of the plan."""
+    jvm = one.sparkSession._jvm.org.apache.spark.sql
     value = jvm.catalyst.expressions.Literal.create(one._jdf.head().get(0), one._jdf.schema().apply(0).dataType())
     return Column(jvm.classic.ExpressionUtils.column(value))
 
@@ -167,13 +179,22 @@ def encode_long(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[raw[i : end[i]]] for i in range(n) if alive[i]]
 
 
+def _each(column: pa.Array, step: int = 500) -> Iterator[str]:
+    for lo in range(0, len(column), step):
+        yield from texts(column.slice(lo, step))
+
+
 def word_counts(docs: DataFrame, pattern: str, longest: int = LONGEST) -> DataFrame:
     """(word, n): the distinct words of ``docs(text)`` of at most ``longest`` bytes, with their occurrences, merged per task first."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = splitter(pattern), Counter()
+        split, seen, parts = splitter(pattern), Counter(), Counter()
 
         def flush() -> Iterator[pa.RecordBatch]:
+            for part, n in parts.items():
+                for w in split(" " + part):
+                    seen[w] += n
+            parts.clear()
             found = [(w, n) for w, n in seen.items() if len(w) <= longest and len(w.encode("utf-8", "surrogatepass")) <= longest]
             for lo in range(0, len(found), 50_000):
                 w, n = zip(*found[lo : lo + 50_000], strict=True)
@@ -181,9 +202,14 @@ def word_counts(docs: DataFrame, pattern: str, longest: int = LONGEST) -> DataFr
             seen.clear()
 
         for batch in batches:
-            for text in texts(batch.column(0)):
-                seen.update(split(text))
-                if len(seen) > _SEEN_MOST:
+            for text in _each(batch.column(0)):
+                cut = chunks(text)
+                if cut is None:
+                    seen.update(split(text))
+                else:
+                    seen.update(split(cut[0]))
+                    parts.update(cut[1:])
+                if len(seen) + len(parts) > _SEEN_MOST:
                     yield from flush()
         yield from flush()
 
@@ -261,6 +287,26 @@ def encode(docs: DataFrame, vocab: Vocabulary, keep: list[str], with_ids: bool =
         head, ranks, pieces = shared.value.opened()
         split, own = splitter(shared.value.pattern), {}
 
+        class Parts(dict):
+            """Ids of what stands after a space, with the space; emptied before it holds too many."""
+
+            def __missing__(self, part: str) -> bytes:
+                raw = b"".join([head.get(w) or rare(w) for w in split(" " + part)])
+                if len(part) <= LONGEST:
+                    if len(self) > _SEEN_MOST:
+                        self.clear()
+                    self[part] = raw
+                return raw
+
+        known = Parts()
+
+        def encoded(text: str) -> bytes:
+            cut = chunks(text)
+            if cut is None:
+                return b"".join([head.get(w) or rare(w) for w in split(text)])
+            first = b"".join([head.get(w) or rare(w) for w in split(cut[0])])
+            return first + b"".join(map(known.__getitem__, cut[1:]))
+
         def rare(word: str) -> bytes:
             raw = own.get(word)
             if raw is None:
@@ -274,8 +320,8 @@ def encode(docs: DataFrame, vocab: Vocabulary, keep: list[str], with_ids: bool =
 
         for batch in batches:
             n, sha, back_sha, all_ids, all_back = [], [], [], [], []
-            for text in texts(batch.column("text")):
-                raw = b"".join([head.get(w) or rare(w) for w in split(text)])
+            for text in _each(batch.column("text")):
+                raw = encoded(text)
                 back = decode(np.frombuffer(raw, dtype="<u4"), pieces)
                 n.append(len(raw) // 4), sha.append(hashlib.sha256(raw).hexdigest()), back_sha.append(hashlib.sha256(back).hexdigest())
                 if with_ids:
@@ -292,7 +338,7 @@ def encode(docs: DataFrame, vocab: Vocabulary, keep: list[str], with_ids: bool =
 
 
 def decode(ids, pieces: list[bytes]) -> bytes:
-    return b"".join([pieces[k] for k in ids.tolist()])
+    return b"".join(map(pieces.__getitem__, ids.tolist()))
 
 
 def decoded(df: DataFrame, ids: str, path: str, to: str = "decoded") -> DataFrame:
@@ -302,8 +348,7 @@ def decoded(df: DataFrame, ids: str, path: str, to: str = "decoded") -> DataFram
     hexed = [b"".hex()] * (max(found.values()) + 1)
     for piece, k in found.items():
         hexed[k] = piece.hex()
-    view = f"bpe_pieces_{abs(hash(path))}"
-    spark.createDataFrame(pa.table({"pieces": pa.array([hexed], pa.list_(pa.string()))})).createOrReplaceTempView(view)
-    df.createOrReplaceTempView("bpe_encoded")
-    own = ", ".join(f"`{c}`" for c in df.columns if c != to)
-    return spark.sql(f"SELECT {own}, unhex(array_join(transform(`{ids}`, k -> get((SELECT pieces FROM {view}), k)), '')) AS `{to}` FROM bpe_encoded")
+    table = _literal(spark.createDataFrame(pa.table({"pieces": pa.array([hexed], pa.list_(pa.string()))})))
+    own = [F.col(f"`{c}`") for c in df.columns if c != to]
+    rows = df.select(*own, table.alias("__pieces"))
+    return rows.select(*own, F.unhex(F.array_join(F.transform(ids, lambda k: F.get("__pieces", k)), "")).alias(to))
