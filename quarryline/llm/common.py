@@ -49,8 +49,34 @@ class WordHashes(dict):
         return h
 
 
-def hash_words(words: list[str], known: WordHashes) -> np.ndarray:
-    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+class TokenHashes(dict):
+    """The word hash of what stands between white space, a tuple of hashes if that is no or several words."""
+
+    def __init__(self):
+        super().__init__()
+        self.words = WordHashes()
+
+    def __missing__(self, token: str) -> int | tuple[int, ...]:
+        if len(self) > 500_000:
+            self.clear()
+        found = tuple(self.words[w] for w in WORD.findall(token))
+        self[token] = out = found[0] if len(found) == 1 else found
+        return out
+
+
+def word_hashes(text: str, known: TokenHashes) -> np.ndarray:
+    """Hashes of the lower-case words of a text, in order."""
+    found = list(map(known.__getitem__, text.lower().split()))
+    try:
+        return np.fromiter(found, dtype=np.uint64, count=len(found))
+    except (TypeError, ValueError):
+        flat = []
+        for x in found:
+            if type(x) is int:
+                flat.append(x)
+            else:
+                flat += x
+        return np.array(flat, dtype=np.uint64)
 
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarryline.llm.common import WORD, WordHashes, hash_words, mix, shingle_hashes, texts
+from quarryline.llm.common import TokenHashes, mix, shingle_hashes, texts, word_hashes
 
 #: Words of a shingle, least similarity, and bits that fingerprints may differ in.
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 20
@@ -29,10 +29,6 @@ MOST_ITEM_BYTES = 64 << 20
 _BITS = np.arange(64, dtype=np.uint64)
 
 
-def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
-
-
 def _signs(hashes: np.ndarray) -> np.ndarray:
     """+1 or -1 for each bit of each hash."""
     return ((mix(hashes)[:, None] >> _BITS) & np.uint64(1)).astype(np.int8) * np.int8(2) - np.int8(1)
@@ -66,9 +62,9 @@ class Items:
     @classmethod
     def of(cls, rows: list[tuple[int, str | None]], radius: int = RADIUS) -> Items:
         """Shingles weigh the less the more items hold them: 1 for a shingle of one item, 1/k for one of k. Empty items match nothing."""
-        out, known, spread = cls(radius=radius), WordHashes(), Counter()
+        out, known, spread = cls(radius=radius), TokenHashes(), Counter()
         for k, text in sorted(rows, key=lambda r: r[0]):
-            hashes = hash_words(words_of(text or ""), known)
+            hashes = word_hashes(text or "", known)
             if len(hashes):
                 out.ids.append(k), out.words.append(hashes)
                 out.shingles.append(Counter(shingle_hashes(hashes, SHINGLE).tolist()))
@@ -86,6 +82,8 @@ class _Index:
     def __init__(self, items: Items):
         self.items = items
         self.all_shingles = np.array(sorted({s for c in items.shingles for s in c}), dtype=np.uint64)
+        self.table = np.zeros(1 << 22, dtype=bool)  # by the lower bits: most shingles of a document are told apart by one look
+        self.table[self.all_shingles & np.uint64((1 << 22) - 1)] = True
         self.totals = [sum(n * items.weights.get(s, 1.0) for s, n in c.items()) for c in items.shingles]
         sizes = defaultdict(list)
         for k, words in enumerate(items.words):
@@ -94,10 +92,10 @@ class _Index:
         self.prints = np.array([fingerprint(w, np.ones(len(w))) for w in items.words], dtype=np.uint64)
         self.tables = {n: [self._table(members, *b) for b in blocks(items.radius)] for n, members in sizes.items()}
         self.widths = sorted({min(SHINGLE, n) for n in sizes})
-        self.sizes_of = defaultdict(set)
+        self.sizes_of: dict[int, set[int]] = {}
         for k, c in enumerate(items.shingles):
             for s in c:
-                self.sizes_of[s].add(len(items.words[k]))
+                self.sizes_of.setdefault(s, set()).add(len(items.words[k]))
 
     def _table(self, members: list[int], shift: int, mask: int) -> tuple[int, int, dict[int, np.ndarray]]:
         held = defaultdict(list)
@@ -139,8 +137,8 @@ class _Index:
         by_size: dict[int, list[int]] = defaultdict(list)
         of_width = {k: shingle_hashes(hashes, k) for k in self.widths if k <= n}
         for shingles in of_width.values():
-            for h in np.flatnonzero(np.isin(shingles, self.all_shingles)).tolist():
-                for size in self.sizes_of[int(shingles[h])]:
+            for h in np.flatnonzero(self.table[shingles & np.uint64((1 << 22) - 1)]).tolist():
+                for size in self.sizes_of.get(int(shingles[h]), ()):
                     by_size[size].append(h)
         for size, at in by_size.items():
             width, k = min(size, n), min(SHINGLE, size)
@@ -200,11 +198,11 @@ def find(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, radiu
     shared = [docs.sparkSession.sparkContext.broadcast(x) for x in pieces]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexes, known = [s.value.prepared() for s in shared], WordHashes()
+        indexes, known = [s.value.prepared() for s in shared], TokenHashes()
         for batch in batches:
             found = []
             for text in texts(batch.column("text")):
-                hashes = hash_words(words_of(text), known)
+                hashes = word_hashes(text, known)
                 rows = [
                     {"item_id": x.items.ids[k], "similarity": got, "first_word": a} for x in indexes for k, (got, a) in x.matches(hashes, least).items()
                 ]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
 from quarryline.llm import byte_bpe, decontamination, html_extraction, line_dedup, ngram_join, quality, queries, sharding, substring_dedup, suffix_sort, token_lengths, transport_stream  # noqa: E402
-from quarryline.llm.common import WordHashes  # noqa: E402
+from quarryline.llm.common import TokenHashes  # noqa: E402
 from quarryline.llm.minhash import shingle_set  # noqa: E402
 
 RANKS, PATTERN = queries.RANKS, queries.PATTERN
@@ -190,7 +190,7 @@ def test_ngram_join(spark):
     base = [" ".join(rnd.choice(WORDS) for _ in range(120)) for _ in range(12)]
     rows = list(enumerate(texts() + base + [b + " more" for b in base[:6]] + [base[0].upper(), "the " + base[1] + " end"] * 2))
     got = {r.doc_id: r for r in ngram_join.classes(frame(spark, rows)).collect()}
-    known = WordHashes()
+    known = TokenHashes()
     sets = {k: set(shingle_set(t or "", known).tolist()) for k, t in rows}
     parent = {k: k for k in sets}
 
