@@ -6,12 +6,11 @@ other. The matched prefix starts at the full depth and is shortened until the
 recall at the least similarity reaches the target. Candidates are verified on
 their whole shingle sets.
 
-A node is never expanded into all its pairs. Texts of equal sets are one
-member. The most central member of a node leads: it is compared with all
-others. Links join members into classes, and those outside a node's largest
-class supply the next leaders, more of them each round, which meet the members
-of other classes, until every member outside it has led. Two members of a node
-were then compared with each other, or are in one class.
+A node's pairs are never rows. Texts of equal sets are one member. The members of
+a node are dealt to chunks by hash; every two chunks meet in a block, which verifies
+all its pairs at once and returns a row per member: how many documents it is linked
+to, and the smallest id that these links connect it to. A pair is verified in the
+first tree in which it shares a node and nowhere else, so the counts add up.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +29,8 @@ from quarryline.llm.minhash import MinHash, digest, shingle_set
 #: Words of a shingle, least similarity, least recall at that similarity.
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.99999
 TREES, DEPTH = 32, 8
+#: Members and shingles that a chunk of a node has about at most.
+MEMBERS, SHINGLES = 256, 500_000
 
 
 def prefix_length(similarity: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
@@ -77,58 +79,119 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(a, b, similarity) of the pairs (a, b) whose Jaccard similarity is ``least`` or more, on whole sets."""
-    own = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    other = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    sized = pairs.join(other, "b").join(own, "a").where(F.least(F.size("sa"), F.size("sb")) >= least * F.greatest(F.size("sa"), F.size("sb")))
-    sized = sized.withColumn("both", both)
-    return sized.select("a", "b", (F.col("both") / (F.size("sa") + F.size("sb") - F.col("both"))).alias("similarity")).where(F.col("similarity") >= least)
-
-
-def links(reps: DataFrame, docs: DataFrame, least: float, shingle: int = SHINGLE) -> DataFrame | None:
-    """Verified links (a, b, similarity) between ``reps(doc_id, nodes)``, enough to hold every class together; None if there are none."""
-    placed = reps.select("doc_id", F.posexplode("nodes").alias("tree", "key")).select("doc_id", F.xxhash64("tree", "key").alias("node"))
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of each key as one batch; rows of a key follow each other."""
+    open_rows = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        starts = np.zeros(batch.num_rows, bool)
+        for key in keys:
+            values = batch.column(key).to_numpy()
+            starts[1:] |= values[1:] != values[:-1]
+        if open_rows and any(open_rows[-1].column(k)[-1] != batch.column(k)[0] for k in keys):
+            yield pa.concat_batches(open_rows)
+            open_rows = []
+        cuts = [0, *np.flatnonzero(starts).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if lo:
+                yield pa.concat_batches(open_rows)
+                open_rows = []
+            open_rows.append(batch.slice(lo, hi - lo))
+    if open_rows:
+        yield pa.concat_batches(open_rows)
+
+
+def meeting(block: pa.RecordBatch, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Members of the two chunks of a block, and which pairs of them are settled here.
+
+    That is where they share this node and none of an earlier tree, and their shared shingles can reach ``least``. A chunk that
+    meets itself has each pair once.
+    """
+    tree, chunk = block.column("tree")[0].as_py(), block.column("chunk").to_numpy()
+    a, b = np.flatnonzero(chunk == block.column("i")[0].as_py()), np.flatnonzero(chunk == block.column("j")[0].as_py())
+    nodes = block.column("nodes").flatten().to_numpy().reshape(block.num_rows, -1)
+    n, shared = block.column("n").to_numpy(), block.column("shared").to_numpy()
+    both = np.minimum(shared[a][:, None], shared[b])
+    here = (both >= least * (n[a][:, None] + n[b] - both) - 1e-6) & (nodes[a, tree][:, None] == nodes[b, tree])
+    if block.column("i")[0] == block.column("j")[0]:
+        here &= a[:, None] < b
+    for k in range(tree):
+        here &= nodes[a, k][:, None] != nodes[b, k]
+    return a, b, here
+
+
+def linked_pairs(block: pa.RecordBatch, a: np.ndarray, b: np.ndarray, here: np.ndarray, least: float) -> np.ndarray:
+    """Which of the pairs ``here`` have a Jaccard similarity of ``least`` or more, on whole sets."""
+    lists = block.column("shingles")
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+    values, codes = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    n, marked = np.diff(ends), np.zeros(len(values), np.int32)
+    out = np.zeros_like(here)
+    for x in np.flatnonzero(here.any(axis=1)):
+        own, others = codes[ends[a[x]] : ends[a[x] + 1]], np.flatnonzero(here[x])
+        marked[own] = 1
+        if len(others) * 8 < len(b):
+            both = np.array([marked[codes[ends[k] : ends[k + 1]]].sum() for k in b[others]])
+        else:
+            both = np.add.reduceat(marked[codes], ends[:-1])[b[others]]
+        marked[own] = 0
+        out[x, others] = both >= least * (n[a[x]] + n[b[others]] - both)
+    return out
+
+
+def links(reps: DataFrame, docs: DataFrame, least: float, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, linked, root) of the verified links between ``reps(doc_id, n_copies, nodes)``, in parts.
+
+    linked: documents of the texts that a part links this one to; a link is in one part, so they add up. root: the smallest id
+    that the links of a part connect this one to.
+    """
+    placed = reps.select("doc_id", F.posexplode("nodes").alias("tree", "key")).select("doc_id", "tree", F.xxhash64("tree", "key").alias("node"))
     sizes = placed.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-    members = written(placed.join(sizes, "node"), "members")
-    central = members.groupBy("doc_id").agg(F.sum("size").alias("rank"))
-    sets = written(shingle_sets(docs.join(central.select("doc_id"), "doc_id", "left_semi"), shingle), "sets")
+    members = written(placed.join(sizes.select("node"), "node"), "members")
+    sets = written(shingle_sets(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), shingle), "sets")
     # shingles of a single document can't be shared: they bound what a pair can reach, before it is made
     once = sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("k"), F.min("doc_id").alias("doc_id")).where("k = 1")
     alone = once.groupBy("doc_id").agg(F.count("*").alias("alone"))
     sized = sets.select("doc_id", F.size("shingles").alias("n")).join(alone, "doc_id", "left").select("doc_id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
-    able = central.join(sized.where(F.col("shared") >= least * F.col("n")), "doc_id")
-    members = written(members.join(able, "doc_id").select("node", "doc_id", "rank", "n", "shared"), "members")
-    found, led, tried, turn = None, None, None, 0
-    classed = members.withColumn("class_id", F.col("doc_id"))
-    open_members = members
-    while not open_members.isEmpty():
-        # the most central open member of each node, and more of them at random in later rounds
-        best = open_members.groupBy("node").agg(F.max(F.struct("rank", (-F.col("doc_id")).alias("m"))).alias("top"), F.count("*").alias("open"))
-        drawn = (F.abs(F.xxhash64("doc_id", F.lit(turn)) % 1_000_000) / 1_000_000) * F.col("open") < (4**turn if turn else 0)
-        leaders = open_members.join(best, "node").where((F.col("doc_id") == -F.col("top.m")) | drawn).select("node", "doc_id")
-        leaders = written(leaders.join(classed.select("node", "doc_id", "class_id", "n", "shared"), ["node", "doc_id"]), "leaders")
-        led = leaders if led is None else led.unionByName(leaders)
-        others = leaders.select("node", F.col("doc_id").alias("leader"), F.col("class_id").alias("own"), F.col("n").alias("ln"), F.col("shared").alias("ls"))
-        both = F.least("shared", "ls")
-        reach = both >= least * (F.col("n") + F.col("ln") - both) - 1e-6
-        met = classed.select("node", "doc_id", "class_id", "n", "shared").join(others, "node").where((F.col("class_id") != F.col("own")) & reach)
-        pairs = met.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        now = written(verified(pairs, sets, least), "links")
-        found = now if found is None else found.unionByName(now)
-        # members of a node's largest class are settled there: what isn't in it will lead and meet them
-        known = components(found)
-        classed = members.join(known, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
-        sizes = classed.groupBy("node", "class_id").agg(F.count("*").alias("n"))
-        largest = sizes.groupBy("node").agg(F.max(F.struct("n", (-F.col("class_id")).alias("m"))).alias("top")).select("node", (-F.col("top.m")).alias("largest"))
-        classed = written(classed, "classed")
-        rest = classed.join(largest, "node").where("class_id <> largest").select("node", "doc_id", "rank")
-        open_members = written(rest.join(led.select("node", "doc_id"), ["node", "doc_id"], "left_anti"), "open")
-        turn += 1
-    return found
+    able = written(reps.join(sized.where(F.col("shared") >= least * F.col("n")), "doc_id"), "able")
+    # a node's members are dealt to chunks, and every two chunks meet in a block, so that no task has more than two chunks at once
+    members = members.join(able.select("doc_id", "n"), "doc_id")
+    parts = F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / SHINGLES)).cast("int")
+    members = members.join(members.groupBy("node").agg(F.count("*").alias("size"), parts.alias("parts")).where("size > 1").drop("size"), "node")
+    members = members.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    blocks = members.select("node", "tree", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "doc_id")
+    key = ["node", "i", "j"]
+
+    def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in grouped(batches, key):
+            if block.num_rows > 1:
+                a, b, here = meeting(block, least)
+                found = np.union1d(a[here.any(axis=1)], b[here.any(axis=0)])
+                if len(found):
+                    yield block.select([*key, "tree", "chunk", "doc_id"]).take(pa.array(found))
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in grouped(batches, key):
+            a, b, here = meeting(block, least)
+            found = linked_pairs(block, a, b, here, least)
+            ids, copies = block.column("doc_id").to_numpy(), block.column("n_copies").to_numpy()
+            linked, root, was = np.zeros(len(ids), np.int64), ids.copy(), None
+            linked[a] += found @ copies[b]
+            linked[b] += copies[a] @ found
+            while not np.array_equal(root, was):
+                was, top = root.copy(), np.iinfo(np.int64).max
+                root[a] = np.minimum(root[a], np.where(found, root[b], top).min(axis=1))
+                root[b] = np.minimum(root[b], np.where(found, root[a][:, None], top).min(axis=0))
+            some = linked > 0
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(linked[some]), pa.array(root[some])], ["doc_id", "linked", "root"])
+
+    # sets go only where a pair is verified: most pairs share nodes of several trees
+    met = blocks.join(able.select("doc_id", "n", "shared", "nodes"), "doc_id").repartition(*key).sortWithinPartitions(*key)
+    met = written(met.mapInArrow(active, "node long, i int, j int, tree int, chunk int, doc_id long"), "blocks")
+    whole = met.join(able, "doc_id").join(sets, "doc_id").repartition(*key).sortWithinPartitions(*key)
+    return written(whole.mapInArrow(settled, "doc_id long, linked long, root long"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -157,25 +220,20 @@ def classes(docs: DataFrame, least: float = SIMILARITY, shingle: int = SHINGLE,
     """(doc_id, class_id, n_links, n_copies) for each row of ``docs(doc_id, text)``; doc_id is unique and not null.
 
     class_id: the smallest id of the documents that links of at least ``least`` connect it to. n_copies: documents of the same
-    shingle set, itself included. n_links: other documents that it is linked to, its copies and those that a verified link
-    joins it to; within a class the links that hold it together are kept, not all. Texts without a word (null, empty,
-    punctuation) are in classes of their own, texts shorter than a shingle are linked to those of the same words.
+    shingle set, itself included. n_links: other documents that it is linked to, its copies and all those that a verified link
+    joins it to. Texts without a word (null, empty, punctuation) are in classes of their own, texts shorter than a shingle are
+    linked to those of the same words.
     """
     k = prefix_length(least, recall, trees)
     sigs = written(signatures(docs, trees, k, shingle), "signatures")
     groups = written(sigs.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "groups")
-    reps = sigs.select("doc_id", "nodes").join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    reps = sigs.select("doc_id", "nodes").join(groups.select(F.col("rep").alias("doc_id"), "n_copies"), "doc_id")
     found = links(reps, docs.select("doc_id", "text"), least, shingle)
-    known = groups.select("d1", "d2", F.col("rep").alias("doc_id"), "n_copies")
-    if found is None:
-        known = known.select("d1", "d2", F.col("doc_id").alias("class_id"), (F.col("n_copies") - 1).alias("n_links"), "n_copies")
-    else:
-        both = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        copies = groups.select(F.col("rep").alias("b"), "n_copies")
-        linked = both.join(copies, "b").groupBy(F.col("a").alias("doc_id")).agg(F.sum("n_copies").alias("linked"))
-        known = known.join(components(found), "doc_id", "left").join(linked, "doc_id", "left").select(
-            "d1", "d2", F.coalesce("class_id", "doc_id").alias("class_id"), (F.col("n_copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), "n_copies"
-        )
+    roots = components(found.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
+    linked = found.groupBy("doc_id").agg(F.sum("linked").alias("linked"))
+    known = groups.select("d1", "d2", F.col("rep").alias("doc_id"), "n_copies").join(roots, "doc_id", "left").join(linked, "doc_id", "left").select(
+        "d1", "d2", F.coalesce("class_id", "doc_id").alias("class_id"), (F.col("n_copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), "n_copies"
+    )
     # texts without a word get keys of their own, so that they don't meet in one task
     known = written(known, "classes")
     words = sigs.where("n > 0").select("doc_id", "d1", "d2").join(known, ["d1", "d2"]).select("doc_id", "class_id", "n_links", "n_copies")

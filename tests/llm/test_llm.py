@@ -209,6 +209,26 @@ def test_ngram_join(spark):
     assert ngram_join.prefix_length(0.8, 0.99999) == 5
 
 
+@pytest.mark.parametrize("members", [256, 9])
+def test_ngram_join_counts_all_links(spark, monkeypatch, members):
+    monkeypatch.setattr(ngram_join, "MEMBERS", members)
+    rnd = random.Random(8)
+    base = [rnd.choice(WORDS) for _ in range(150)]
+    rows = []
+    for k in range(60):  # one group of near copies, some of them more than once
+        words = list(base)
+        for at in rnd.sample(range(150), k % 4):
+            words[at] = f"v{k}"
+        rows += [" ".join(words)] * (1 + (k % 7 == 0))
+    rows = list(enumerate(rows + texts()))
+    known = TokenHashes()
+    sets = {k: set(shingle_set(t or "", known).tolist()) for k, t in rows}
+    like = lambda a, b: sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    want = {a: sum(1 for b in sets if a != b and like(a, b)) for a in sets}
+    assert len(set(map(frozenset, sets.values()))) > 40 and max(want.values()) > 40
+    assert {r.doc_id: r.n_links for r in ngram_join.classes(frame(spark, rows)).collect()} == want
+
+
 def test_byte_bpe(spark, docs):
     encoding = token_lengths.encoding(RANKS, PATTERN)
     odd = ["it's  12²½\x1c\x85\xa0 x", "漢字 😀\n\n  end ", "don't\t'll", "a" * 300]
