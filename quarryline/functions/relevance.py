@@ -58,7 +58,7 @@ def score_relevance(df, name: str, body: str, lexicon: Lexicon = DEFAULT, query_
 
 def spam_flags(text, links=None, phones=None, lexicon: Lexicon = DEFAULT) -> Column:
     """Codes of what makes a page likely spam: its terms, many links in little text, many phones."""
-    t = F.substring(search_text(text), 1, 20_000)
+    t = search_text(text)
     n, links, phones = F.length(t), F.lit(0) if links is None else _c(links), F.lit(1) if phones is None else _c(phones)
     w = weight(t, lexicon.spam)
     flags = F.array(

@@ -255,7 +255,7 @@ FROM (SELECT doc_id, substr(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))),
 def spam_flags(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     flags = relevance.spam_flags(F.lower("text"), lexicon=LEXICON)
-    dense = relevance.weight(F.substring(text.search_text(F.lower("text")), 1, 20_000), LEXICON.spam) >= 7
+    dense = relevance.weight(text.search_text(F.lower("text")), LEXICON.spam) >= 7
     return docs.select("doc_id", F.array_contains(flags, "spam_terms").alias("spam_terms"), dense.alias("dense"))
 
 

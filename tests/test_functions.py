@@ -121,6 +121,17 @@ def test_spam_flags(spark):
     assert [r.f for r in got] == [["many_phones"], [], []]
 
 
+def test_spam_flags_of_whole_texts(spark, tmp_path):
+    from quarryline import queries
+
+    terms = " ".join(t for t, _ in queries.LEXICON.spam)
+    late = "word " * 5000 + terms
+    spark.createDataFrame([(1, late), (2, "word " * 5000)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.spam_terms, r.dense) for r in queries.QUERIES["spam_flags"](spark, str(tmp_path)).collect()}
+    assert got[1][0] and not any(got[2]) and got[1][1] == (sum(w for _, w in queries.LEXICON.spam) >= 7)
+    assert "spam_terms" in one(spark, [(late,)], "t string", f=relevance.spam_flags("t", lexicon=queries.LEXICON))[0].f
+
+
 def test_confidence_bands(spark):
     cols = "reliabilities array<double>, domains int, observations int, has_name boolean, has_address boolean, has_website boolean, has_owner boolean, location_known boolean, business_type_known boolean, phone_quality double, phone_type string, area_matches boolean, fake_signals array<string>, is_synthetic boolean, relevance int, spam boolean, newest timestamp"
     from datetime import datetime
