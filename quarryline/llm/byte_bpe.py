@@ -29,9 +29,10 @@ from pyspark.sql import types as T
 from quarryline.llm.common import texts, written
 
 #: Distinct words that are encoded ahead and sent to all tasks at most, the most frequent ones; bytes of a word at most.
-HEAD, LONGEST = 500_000, 64
+HEAD, LONGEST = 300_000, 64
 _BUCKETS = 1 << 15
-_SEEN_MOST = 200_000
+_SEEN_MOST = 300_000
+ADDED = ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")
 
 
 @cache
@@ -50,22 +51,35 @@ def splitter(pattern: str):
     import regex
 
     general = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-    usual = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    if pattern != usual:
+    if pattern != USUAL:
         return general.findall
     odd_one = re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _odd_ranges()) + "]")
     fast = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
     return lambda text: (general if not text.isascii() and odd_one.search(text) or _CONTROL.search(text) else fast).findall(text)
 
 
+#: The pattern that texts are cut at spaces for, before it is matched.
+USUAL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CONTROL = re.compile("[\x1c-\x1f]")
 #: A space beside other white space; where there is none, no match of the usual pattern crosses from before a space to after it.
 _WIDE = re.compile(r"\s | \s")
 
 
-def chunks(text: str) -> list[str] | None:
+def chunks(text: str, pattern: str = USUAL) -> list[str] | None:
     """What stands between the spaces of a text, if each of these and the space before it can be split by itself; else None."""
-    return None if _WIDE.search(text) else text.split(" ")
+    return None if pattern != USUAL or _WIDE.search(text) else text.split(" ")
+
+
+def spaced(part: str, split) -> list[str]:
+    """The matches in a space and ``part``, which holds no space. Letters alone, or with one mark at their end, need no pattern."""
+    if part.isalpha():
+        return [" " + part]
+    if part[-1:] in _MARKS and part[:-1].isalpha():
+        return [" " + part[:-1], part[-1]]
+    return split(" " + part)
+
+
+_MARKS = frozenset(",.;:!?)")
 
 
 def _odd_ranges() -> list[tuple[int, int]]:
@@ -192,7 +206,7 @@ def word_counts(docs: DataFrame, pattern: str, longest: int = LONGEST) -> DataFr
 
         def flush() -> Iterator[pa.RecordBatch]:
             for part, n in parts.items():
-                for w in split(" " + part):
+                for w in spaced(part, split):
                     seen[w] += n
             parts.clear()
             found = [(w, n) for w, n in seen.items() if len(w) <= longest and len(w.encode("utf-8", "surrogatepass")) <= longest]
@@ -203,7 +217,7 @@ def word_counts(docs: DataFrame, pattern: str, longest: int = LONGEST) -> DataFr
 
         for batch in batches:
             for text in _each(batch.column(0)):
-                cut = chunks(text)
+                cut = chunks(text, pattern)
                 if cut is None:
                     seen.update(split(text))
                 else:
@@ -280,7 +294,9 @@ def encode(docs: DataFrame, vocab: Vocabulary, keep: list[str], with_ids: bool =
 
     Words outside the vocabulary's head (rare or long ones) are folded where they stand, by the same merges. Null and empty
     texts have no ids. Map only; rows stay as they are, also repeated ones. ``decoded`` is what the ids decode to, not the text.
+    Columns of ``keep`` that are called like an added one are replaced by it.
     """
+    keep = [c for c in keep if c not in ADDED[: None if with_ids else 3]]
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +307,7 @@ def encode(docs: DataFrame, vocab: Vocabulary, keep: list[str], with_ids: bool =
             """Ids of what stands after a space, with the space; emptied before it holds too many."""
 
             def __missing__(self, part: str) -> bytes:
-                raw = b"".join([head.get(w) or rare(w) for w in split(" " + part)])
+                raw = b"".join([head.get(w) or rare(w) for w in spaced(part, split)])
                 if len(part) <= LONGEST:
                     if len(self) > _SEEN_MOST:
                         self.clear()
@@ -301,7 +317,7 @@ def encode(docs: DataFrame, vocab: Vocabulary, keep: list[str], with_ids: bool =
         known = Parts()
 
         def encoded(text: str) -> bytes:
-            cut = chunks(text)
+            cut = chunks(text, shared.value.pattern)
             if cut is None:
                 return b"".join([head.get(w) or rare(w) for w in split(text)])
             first = b"".join([head.get(w) or rare(w) for w in split(cut[0])])

@@ -3,9 +3,11 @@
 Items get a 64-bit SimHash of their weighted words. Windows of an item's size
 in words slide over each document; windows whose fingerprint is within the
 radius of an item's are candidates, found by multi-index Hamming blocks: the
-64 bits are cut into one more block than the radius has bits, so fingerprints
-within it agree on a block at least. Candidates are verified by the exact
-weighted similarity of word shingles.
+64 bits are cut into four blocks, so fingerprints within the radius differ by
+at most a quarter of it in one block at least. Items are stored under all block
+values next to their own, windows ask for all values next to theirs, and the
+two meet. Candidates are verified by the exact weighted similarity of word
+shingles.
 """
 
 from __future__ import annotations
@@ -20,12 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarryline.llm.common import TokenHashes, mix, shingle_hashes, texts, word_hashes
+from quarryline.llm.common import TokenHashes, mix, shingle_hashes, texts, word_hashes, written
 
 #: Words of a shingle, least similarity, and bits that fingerprints may differ in.
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 20
-#: Bytes of benchmark text that are sent to every task at most.
-MOST_ITEM_BYTES = 64 << 20
+SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 19
+#: Bytes of benchmark text that are sent to every task at once at most.
+MOST_ITEM_BYTES = 16 << 20
+BLOCKS, BLOCK_BITS = 4, 16
 _BITS = np.arange(64, dtype=np.uint64)
 
 
@@ -43,10 +46,14 @@ def fingerprint(hashes: np.ndarray, weights: np.ndarray) -> int:
     return int(_packed((_signs(hashes) * weights[:, None]).sum(axis=0)))
 
 
-def blocks(radius: int) -> list[tuple[int, int]]:
-    """(shift, mask) of ``radius`` + 1 blocks that cover 64 bits."""
-    edges = [64 * k // (radius + 1) for k in range(radius + 2)]
-    return [(a, (1 << (b - a)) - 1) for a, b in zip(edges, edges[1:], strict=False)]
+def near(most: int) -> np.ndarray:
+    """All block values with at most ``most`` bits set: what a value is changed by to get those next to it."""
+    values = np.arange(1 << BLOCK_BITS, dtype=np.uint16)
+    return values[np.bitwise_count(values) <= most]
+
+
+def block(prints: np.ndarray, k: int) -> np.ndarray:
+    return (prints >> np.uint64(BLOCK_BITS * k)).astype(np.uint16)
 
 
 @dataclass
@@ -60,16 +67,19 @@ class Items:
     radius: int = RADIUS
 
     @classmethod
-    def of(cls, rows: list[tuple[int, str | None]], radius: int = RADIUS) -> Items:
-        """Shingles weigh the less the more items hold them: 1 for a shingle of one item, 1/k for one of k. Empty items match nothing."""
-        out, known, spread = cls(radius=radius), TokenHashes(), Counter()
+    def of(cls, rows: list[tuple[int, str | None]], radius: int = RADIUS, spread: dict[int, int] | None = None) -> Items:
+        """Shingles weigh the less the more items hold them: 1 for a shingle of one item, 1/k for one of k. Empty items match nothing.
+
+        spread: how many items of the whole benchmark hold a shingle, where that is more than one; without it, of these rows.
+        """
+        out, known, own = cls(radius=radius), TokenHashes(), Counter()
         for k, text in sorted(rows, key=lambda r: r[0]):
             hashes = word_hashes(text or "", known)
             if len(hashes):
                 out.ids.append(k), out.words.append(hashes)
                 out.shingles.append(Counter(shingle_hashes(hashes, SHINGLE).tolist()))
-                spread.update(out.shingles[-1].keys())
-        out.weights = {s: 1 / n for s, n in spread.items() if n > 1}
+                own.update(out.shingles[-1].keys())
+        out.weights = {s: 1 / n for s, n in (own if spread is None else spread).items() if n > 1 and s in own}
         return out
 
     def prepared(self) -> _Index:
@@ -90,30 +100,35 @@ class _Index:
             sizes[len(words)].append(k)
         self.by_size = dict(sizes)
         self.prints = np.array([fingerprint(w, np.ones(len(w))) for w in items.words], dtype=np.uint64)
-        self.tables = {n: [self._table(members, *b) for b in blocks(items.radius)] for n, members in sizes.items()}
+        ahead = items.radius // BLOCKS
+        self.stored, self.asked = near(ahead // 2), near(ahead - ahead // 2)
+        self.tables = {n: [self._table(np.array(members), k) for k in range(BLOCKS)] for n, members in sizes.items()}
         self.widths = sorted({min(SHINGLE, n) for n in sizes})
         self.sizes_of: dict[int, set[int]] = {}
         for k, c in enumerate(items.shingles):
             for s in c:
                 self.sizes_of.setdefault(s, set()).add(len(items.words[k]))
 
-    def _table(self, members: list[int], shift: int, mask: int) -> tuple[int, int, dict[int, np.ndarray]]:
-        held = defaultdict(list)
-        for k in members:
-            held[int(self.prints[k]) >> shift & mask].append(k)
-        return shift, mask, {v: np.array(x) for v, x in held.items()}
+    def _table(self, members: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Block values, sorted, and the item stored under each."""
+        values = (block(self.prints[members], k)[:, None] ^ self.stored).ravel()
+        order = np.argsort(values, kind="stable")
+        return values[order], np.repeat(members, len(self.stored))[order]
 
-    def candidates(self, prints: np.ndarray, size: int) -> list[tuple[int, int]]:
+    def candidates(self, prints: np.ndarray, size: int, step: int = 2048) -> list[tuple[int, int]]:
         """(window, item) pairs within the radius, each once."""
-        found = set()
-        for shift, mask, held in self.tables[size]:
-            keys = (prints >> np.uint64(shift)) & np.uint64(mask)
-            for value, members in held.items():
-                at = np.flatnonzero(keys == np.uint64(value))
-                if len(at):
-                    far = np.bitwise_count(prints[at, None] ^ self.prints[members])
-                    rows, cols = np.nonzero(far <= self.items.radius)
-                    found.update(zip(at[rows].tolist(), members[cols].tolist(), strict=True))
+        found: set[tuple[int, int]] = set()
+        for lo in range(0, len(prints), step):
+            some = prints[lo : lo + step]
+            for k, (values, members) in enumerate(self.tables[size]):
+                asked = (block(some, k)[:, None] ^ self.asked).ravel()
+                first = np.searchsorted(values, asked, "left")
+                n = np.searchsorted(values, asked, "right") - first
+                window = np.repeat(np.arange(len(asked)) // len(self.asked), n)
+                at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                item = members[at]
+                close = np.bitwise_count(some[window] ^ self.prints[item]) <= self.items.radius
+                found.update(zip((window[close] + lo).tolist(), item[close].tolist(), strict=True))
         return sorted(found)
 
     def similarity(self, shingles: list[int], item: int) -> float:
@@ -142,7 +157,11 @@ class _Index:
                     by_size[size].append(h)
         for size, at in by_size.items():
             width, k = min(size, n), min(SHINGLE, size)
-            starts = np.unique(np.clip(np.subtract.outer(np.array(at), np.arange(width - k + 1)), 0, n - width))
+            # a hit is in the windows that start up to a window before it: marked by where these begin and end
+            marks, hits = np.zeros(n - width + 2, dtype=np.int32), np.array(at)
+            np.add.at(marks, np.maximum(hits - (width - k), 0), 1)
+            np.add.at(marks, np.minimum(hits, n - width) + 1, -1)
+            starts = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
             prints = self._windows(hashes, starts, width)
             for window, item in self.candidates(prints, size):
                 a = int(starts[window])
@@ -166,47 +185,75 @@ class _Index:
         return out
 
 
-def load_items(benchmark: DataFrame, most_bytes: int = MOST_ITEM_BYTES, radius: int = RADIUS) -> list[Items]:
-    """The benchmark in pieces of at most ``most_bytes`` of text, so that what a task holds at once is bounded.
+def shared_shingles(items: DataFrame) -> DataFrame:
+    """(item_id, shared array<struct<s, n>>): the shingles of each item of ``items(item_id, text)`` that several items hold, and how many do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = TokenHashes()
+        for batch in batches:
+            own = [np.unique(shingle_hashes(word_hashes(text, known), SHINGLE)).view(np.int64) for text in texts(batch.column(1))]
+            ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in own])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(own) if own else [], pa.int64())], ["item_id", "s"])
+
+    rows = items.select("item_id", "text").mapInArrow(run, "item_id long, s long")
+    several = rows.groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
+    return rows.join(several, "s").groupBy("item_id").agg(F.collect_set(F.struct("s", "n")).alias("shared"))
+
+
+def load_items(benchmark: DataFrame, most_bytes: int = MOST_ITEM_BYTES, radius: int = RADIUS) -> Iterator[Items]:
+    """The benchmark in pieces of at most ``most_bytes`` of text, one at a time, so that what the driver and a task hold is bounded.
 
-    Repeated items stay, each with its own id; a single item above the bound is a piece of its own.
+    Shingles are weighed over the whole benchmark, wherever it is cut. Repeated items stay, each with its own id; a single item
+    above the bound is a piece of its own; items of null id are left out, since no match could name them.
     """
-    sized = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null")
-    out, held, size = [], [], 0
-    for row in sized.orderBy("item_id").toLocalIterator():
+    sized = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null")
+    rows = sized.join(shared_shingles(sized), "item_id", "left").select("item_id", "text", "shared").orderBy("item_id")
+    held: list[tuple[int, str]] = []
+    spread: dict[int, int] = {}
+    size = 0
+    for row in rows.toLocalIterator():
         more = len(row["text"].encode("utf-8", "surrogatepass"))
         if held and size + more > most_bytes:
-            out.append(Items.of(held, radius))
-            held, size = [], 0
+            yield Items.of(held, radius, spread)
+            held, size, spread = [], 0, {}
         held.append((row["item_id"], row["text"]))
+        spread.update((x["s"] & 0xFFFFFFFFFFFFFFFF, x["n"]) for x in row["shared"] or ())
         size += more
-    return [*out, Items.of(held, radius)]
+    yield Items.of(held, radius, spread)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, radius: int = RADIUS, most_bytes: int = MOST_ITEM_BYTES) -> DataFrame:
     """``docs`` with ``matches array<struct<item_id, similarity, first_word>>``, best first by item id; map only.
 
-    Empty and null texts match nothing. Equal texts have equal matches. Very long texts are scanned whole, in stretches. A
-    column ``matches`` in ``docs`` is replaced. The benchmark goes to the tasks in pieces of bounded size, and the documents
-    pass each piece in turn.
+    Empty and null texts match nothing. Equal texts have equal matches, rows may repeat. Very long texts are scanned whole, in
+    stretches. A column ``matches`` in ``docs`` is replaced; an empty benchmark leaves it empty. The benchmark goes to the tasks in
+    pieces of bounded size; if there are several, the documents are written after each, so that a task holds one at a time.
     """
+    out, shared = None, None
+    for items in load_items(benchmark, most_bytes, radius):
+        if out is not None:
+            out = written(out, "matched")
+            shared.unpersist()
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+        out = _matched(docs if out is None else out, shared, least, out is not None)
+    return out
+
+
+def _matched(docs: DataFrame, shared, least: float, again: bool) -> DataFrame:
+    """``docs`` with the matches of one piece of the benchmark, after those of the pieces before it."""
+    before = docs
     own = [c for c in docs.columns if c != "matches"]
-    docs = docs.select([F.col(f"`{c}`") for c in own])
+    docs = before.select([F.col(f"`{c}`") for c in own])
     kind = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType())]))
     arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64())]))
-    pieces = load_items(benchmark, radius=radius)
-    shared = [docs.sparkSession.sparkContext.broadcast(x) for x in pieces]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexes, known = [s.value.prepared() for s in shared], TokenHashes()
+        index, known = shared.value.prepared(), TokenHashes()
         for batch in batches:
             found = []
-            for text in texts(batch.column("text")):
-                hashes = word_hashes(text, known)
-                rows = [
-                    {"item_id": x.items.ids[k], "similarity": got, "first_word": a} for x in indexes for k, (got, a) in x.matches(hashes, least).items()
-                ]
-                found.append(sorted(rows, key=lambda r: r["item_id"]))
+            for text, old in zip(texts(batch.column("text")), batch.column("matches").to_pylist() if again else [[]] * batch.num_rows, strict=True):
+                rows = [{"item_id": index.items.ids[k], "similarity": got, "first_word": a} for k, (got, a) in index.matches(word_hashes(text, known), least).items()]
+                found.append(sorted([*old, *rows], key=lambda r: (r["item_id"], r["first_word"])))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(found, arrow)], [*own, "matches"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("matches", kind)]))
+    return (before if again else docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("matches", kind)]))

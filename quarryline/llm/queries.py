@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import byte_bpe, decontamination, html_extraction, line_dedup, ngram_join, quality, sharding, substring_dedup, token_lengths, transport_stream
-from quarryline.llm.common import table
+from quarryline.llm.common import table, written
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 #: Bytes of text in a shard.
@@ -22,7 +22,7 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return token_lengths.summaries(token_lengths.histogram(docs, RANKS, PATTERN))
+    return token_lengths.summaries(written(token_lengths.histogram(docs, RANKS, PATTERN), "lengths"))
 
 
 def op3_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,15 +33,15 @@ def op3_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("n_bytes"))
     out = sharding.shard(docs, ["doc_id"], F.col("n_bytes"), SHARD_BYTES)
-    return out.select("doc_id", F.col("row_bytes").alias("n_bytes"), "shard", F.col("local_depth").cast("bigint").alias("local_depth"))
+    return out.select("doc_id", F.col("row_bytes").alias("n_bytes"), "shard", F.col("local_depth").cast("bigint").alias("local_depth"), "shard_page")
 
 
 OP4_SQL = f"""
-WITH hashed AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS h FROM documents),
+WITH hashed AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n, ('0x' || substr(md5(coalesce('=' || doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
 cut AS (SELECT doc_id, n, h, d, h >> (60 - d) AS p FROM hashed, range(0, 41) t(d)),
 sums AS (SELECT *, sum(n) OVER (PARTITION BY d, p) AS b, min(h) OVER (PARTITION BY d, p) AS lo, max(h) OVER (PARTITION BY d, p) AS hi FROM cut),
 best AS (SELECT doc_id, any_value(n) AS n, any_value(h) AS h, min(d) AS k FROM sums WHERE b <= {SHARD_BYTES} OR lo = hi GROUP BY doc_id)
-SELECT doc_id, n AS n_bytes, substr(lpad(bin(h), 60, '0'), 1, k::INT) AS shard, k::BIGINT AS local_depth FROM best"""
+SELECT doc_id, n AS n_bytes, substr(lpad(bin(h), 60, '0'), 1, k::INT) AS shard, k::BIGINT AS local_depth, 0::BIGINT AS shard_page FROM best"""
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

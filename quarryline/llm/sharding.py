@@ -18,13 +18,14 @@ from pyspark.sql import Window as W
 from quarryline.llm.common import written
 
 BITS = 60
+#: Bits that the directory is split by at once.
+STEP = 12
 
 
 def key_hash(*keys: str) -> Column:
-    """60 bits of the md5 of the keys as text; nulls differ from empty strings."""
+    """60 bits of the md5 of the keys as text, each after an equals sign; a null key has no sign, so it differs from the empty string."""
     parts = [F.coalesce(F.concat(F.lit("="), F.col(f"`{k}`").cast("string")), F.lit("")) for k in keys]
-    text = F.col(f"`{keys[0]}`").cast("string") if len(keys) == 1 else F.concat_ws("\x1f", *parts)
-    return F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 15), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(F.concat_ws("\x1f", *parts)), 1, 15), 16, 10).cast("bigint")
 
 
 def _prefix(h: str, depth) -> Column:
@@ -33,19 +34,25 @@ def _prefix(h: str, depth) -> Column:
 
 
 def _leaves(cells: DataFrame, base: int, depth: int, limit: int) -> DataFrame:
-    """Smallest fitting prefix of each cell.
+    """(cell, local_depth): the shortest prefix of each cell, of ``base`` bits at least, that fits; null where even the cell is over the limit.
 
-    cells: (cell, bytes, rows, lo, hi) at ``depth`` bits. Gives (cell, local_depth), null where even the cell is over the limit.
+    cells: (cell, bytes, rows, lo, hi) at ``depth`` bits. The tree is split from the top, ``STEP`` bits at once: only cells whose
+    prefix still is too large go on to the next bits, so a step has at most 2**STEP prefixes below one that was too large.
     """
-    at = cells.withColumn("d", F.explode(F.sequence(F.lit(base), F.lit(depth))))
-    at = at.withColumn("p", F.expr(f"shiftright(cell, {depth} - d)"))
-    fits = (
-        at.groupBy("d", "p")
-        .agg(F.sum("bytes").alias("b"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        .where((F.col("b") <= limit) | (F.col("lo") == F.col("hi")))
-    )
-    best = at.join(fits.select("d", "p"), ["d", "p"]).groupBy("cell").agg(F.min("d").alias("local_depth"))
-    return cells.join(best, "cell", "left")
+    done, rest, first = None, cells, base == 0
+    while base <= depth:
+        to = min(depth, base + STEP)
+        at = rest.withColumn("q", F.expr(f"shiftright(cell, {depth - to})"))
+        sums = (F.sum("bytes").alias("bytes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        tree = at.groupBy("q").agg(*sums).withColumn("d", F.explode(F.sequence(F.lit(base), F.lit(to)))).withColumn("p", F.expr(f"shiftright(q, {to} - d)"))
+        fits = tree.groupBy("d", "p").agg(*sums).where((F.col("bytes") <= limit) | (F.col("lo") == F.col("hi"))).select("d", "p")
+        # the first step has at most 2**(STEP + 1) prefixes, so they are sent to its rows
+        best = tree.select("d", "p", "q").join(F.broadcast(fits) if first else fits, ["d", "p"]).groupBy("q").agg(F.min("d").alias("local_depth"))
+        at = at.join(F.broadcast(best) if first else best, "q", "left").drop("q")
+        found = at.select("cell", "local_depth") if to == depth else at.where("local_depth is not null").select("cell", "local_depth")
+        done = found if done is None else done.unionByName(found)
+        rest, base, first = at.where("local_depth is null").drop("local_depth"), to + 1, False
+    return done
 
 
 def directory(rows: DataFrame, limit: int, slack_bits: int = 6) -> list[tuple[int, DataFrame]]:
@@ -62,7 +69,7 @@ def directory(rows: DataFrame, limit: int, slack_bits: int = 6) -> list[tuple[in
         cells = left.groupBy(_prefix("h", depth).alias("cell")).agg(
             F.sum("size").alias("bytes"), F.count("*").alias("rows"), F.min("h").alias("lo"), F.max("h").alias("hi")
         )
-        cells = written(_leaves(cells, base, depth, limit).select("cell", "local_depth"), "directory")
+        cells = written(_leaves(written(cells, "cells"), base, depth, limit), "directory")
         levels.append((depth, cells.where("local_depth is not null")))
         over = cells.where("local_depth is null")
         if depth == BITS or over.isEmpty():

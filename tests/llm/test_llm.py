@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
 from quarryline.llm import byte_bpe, decontamination, html_extraction, line_dedup, ngram_join, quality, queries, sharding, substring_dedup, suffix_sort, token_lengths, transport_stream  # noqa: E402
-from quarryline.llm.common import TokenHashes  # noqa: E402
+from quarryline.llm.common import TokenHashes, shingle_hashes, word_hashes  # noqa: E402
 from quarryline.llm.minhash import shingle_set  # noqa: E402
 
 RANKS, PATTERN = queries.RANKS, queries.PATTERN
@@ -46,7 +46,7 @@ def test_sharding_fits_and_follows_bits(spark, docs):
     by = {}
     for r in got:
         by.setdefault((r.shard, r.shard_page), []).append(r.row_bytes)
-        assert format(int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:15], 16), "060b").startswith(r.shard)
+        assert format(int(hashlib.md5(f"={r.doc_id}".encode()).hexdigest()[:15], 16), "060b").startswith(r.shard)
     assert all(sum(v) <= 600 or len(v) == 1 for v in by.values())
     assert sharding.shard(docs.limit(0), ["doc_id"], F.octet_length("text"), 600).count() == 0
 
@@ -185,6 +185,48 @@ def test_decontamination(spark, docs):
         assert index.candidates(prints, size) == want
 
 
+def weighted_brute_force(rows, items, least=0.8):
+    """Item ids of each text by all windows of each item's size: weighted shingle similarity, without fingerprints."""
+    known = TokenHashes()
+    of = lambda t: shingle_hashes(word_hashes(t or "", known)).tolist()
+    bags = {k: Counter(of(t)) for k, t in items}
+    spread = Counter(s for b in bags.values() for s in b)
+    out = {}
+    for doc, t in rows:
+        words, out[doc] = word_hashes(t or "", known), []
+        for k, item in items:
+            size = len(word_hashes(item or "", known))
+            width = min(size, len(words))
+            for a in range(len(words) - width + 1) if width else ():
+                bag = Counter(shingle_hashes(words[a : a + width], min(5, size)).tolist()) if min(5, size) <= width else Counter()
+                both = sum(min(n, bags[k][s]) / spread[s] for s, n in bag.items() if s in bags[k])
+                whole = sum(n / max(1, spread[s]) for s, n in bag.items()) + sum(n / spread[s] for s, n in bags[k].items()) - both
+                if both / whole >= least:
+                    out[doc].append(k)
+                    break
+    return out
+
+
+@pytest.mark.parametrize("most_bytes", [1 << 24, 900])
+def test_decontamination_recall_and_pieces(spark, most_bytes):
+    rnd = random.Random(12)
+    common = [rnd.choice(WORDS) for _ in range(12)]  # two items share it, wherever the benchmark is cut
+    items = [(k, " ".join((common if k % 7 == 0 else []) + [rnd.choice(WORDS) for _ in range(rnd.choice([12, 20, 40, 60]))])) for k in range(24)]
+    rows = []
+    for k, text in items:
+        for j in range(6):
+            words = text.split()
+            for _ in range(j // 2):
+                words[rnd.choice([0, -1, rnd.randrange(len(words))])] = rnd.choice(["edit", "other", "thing"])
+            rows.append((len(rows), " ".join([rnd.choice(WORDS) for _ in range(rnd.randint(0, 30))] + words + [rnd.choice(WORDS) for _ in range(9)])))
+    rows += [(900, " ".join(rnd.choice(WORDS) for _ in range(20_000)) + " " + items[3][1]), (901, None), (902, ""), (903, rows[0][1]), (903, rows[0][1])]
+    bench = frame(spark, items, "item_id long, text string")
+    want = weighted_brute_force(rows, items)
+    assert sum(map(len, want.values())) > 60
+    for r in decontamination.find(frame(spark, rows), bench, most_bytes=most_bytes).collect():
+        assert [m.item_id for m in r.matches] == want[r.doc_id]
+
+
 def test_ngram_join(spark):
     rnd = random.Random(6)
     base = [" ".join(rnd.choice(WORDS) for _ in range(120)) for _ in range(12)]
