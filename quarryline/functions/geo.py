@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -16,6 +17,12 @@ NEED_CONTEXT = frozenset((
     "مرکزی", "فارس", "قم", "البرز", "ایلام", "گلستان", "قزوین", "سمنان", "خراسان رضوی", "خراسان شمالی", "خراسان جنوبی", "آذربایجان شرقی", "آذربایجان غربی",
     "سیستان و بلوچستان", "چهارمحال و بختیاری", "کهگیلویه و بویراحمد", "همدان", "بوشهر", "یزد", "کرمان", "خوزستان",
 ))
+#: Short names that are common words too; of these, names of up to three letters need a marker.
+SHORT_NAMES = (
+    "نور", "بن", "ری", "لالی", "مهر", "جم", "قیر", "خوانسار", "راور", "مانه",
+    "بهاباد", "اردل", "سامان", "بیضا", "خرامه", "کوار", "سرباز", "سرخه", "طالقان",
+    "انار", "رابر", "کوهین", "شال", "گرمدره", "شهرضا",
+)
 MARKERS = ("استان", "شهرستان", "شهر", "بخش", "منطقه")
 SEPARATORS = " \t\n\r‌‍‎‏ -_.،,()[]/\\+*"
 #: Places of a gazetteer at most; it is sent to every task.
@@ -39,27 +46,25 @@ class Gazetteer:
         self.by_key: dict[str, list[tuple]] = {}
         for p in self.places:
             self.by_key.setdefault("".join(_plain(p[1]).split()).replace("-", ""), []).append(p)
-        self.lengths = sorted({len(k) for k in self.by_key}, reverse=True)
+        self.pattern = re.compile("|".join(map(re.escape, sorted(self.by_key, key=len, reverse=True))) or r"(?!)")
 
-    def matches(self, text: str, limit: int = 24) -> list[tuple[tuple, int, int]]:
+    def matches(self, text: str, limit: int | None = None) -> list[tuple[tuple, int, int]]:
         """(place, start, end), leftmost and longest first, none inside another, as whole words; a name that stands in a longer word
-        still covers its span."""
+        still covers its span. ``limit`` ends the search after so many."""
         norm = _plain(text)
         kept = [(c, k) for k, c in enumerate(norm) if c not in SEPARATORS and not c.isspace()]
-        flat, found, seen, at = "".join(c for c, _ in kept), [], set(), 0
-        while at < len(flat) and len(found) < limit:
-            key = next((flat[at : at + n] for n in self.lengths if flat[at : at + n] in self.by_key and at + n <= len(flat)), None)
-            if key is None:
-                at += 1
-                continue
-            a, b = kept[at][1], kept[at + len(key) - 1][1] + 1
-            at += len(key)
+        flat, found, seen = "".join(c for c, _ in kept), [], set()
+        for m in self.pattern.finditer(flat):
+            if limit is not None and len(found) >= limit:
+                break
+            key = m[0]
+            a, b = kept[m.start()][1], kept[m.end() - 1][1] + 1
             edge = lambda c: c in SEPARATORS or c.isspace()
             if not edge(norm[a - 1] if a else " ") or not edge(norm[b] if b < len(norm) else " "):
                 continue
             near = norm[max(0, a - 18) : b + 18]
             places = self.by_key[key]
-            if any(p[1] in self.need_context for p in places) and not any(m in near for m in MARKERS):
+            if (any(p[1] in self.need_context for p in places) or len(key) <= 3 and key in SHORT_NAMES) and not any(m in near for m in MARKERS):
                 continue
             for p in places:
                 if (p[0], p[1]) not in seen:
@@ -101,9 +106,10 @@ def locate(spark: SparkSession, gazetteer: Gazetteer, text, hint_city=None, hint
     need = gazetteer.need_context
 
     @F.pandas_udf("province string, county string, city string, confidence int")
-    def run(text: pd.Series, city: pd.Series, province: pd.Series) -> pd.DataFrame:
-        g = Gazetteer(shared.value, need)
-        return pd.DataFrame([g.locate(t or "", c, p) for t, c, p in zip(text, city, province, strict=True)], columns=["province", "county", "city", "confidence"])
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        g = Gazetteer(shared.value, need)  # once a task
+        for text, city, province in batches:
+            yield pd.DataFrame([g.locate(t or "", c, p) for t, c, p in zip(text, city, province, strict=True)], columns=["province", "county", "city", "confidence"])
 
     none = F.lit(None).cast("string")
     return run(_c(text), _c(hint_city) if hint_city is not None else none, _c(hint_province) if hint_province is not None else none)

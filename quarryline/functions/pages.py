@@ -83,6 +83,23 @@ def tree(html: str) -> Element:
     return parser.root
 
 
+def selected(root: Element, kinds: list[tuple[str | None, str | None, str | None]]) -> Iterator[Element]:
+    """Elements below ``root``, in order, of any of the kinds (inside, tag, class); inside is a tag, or a tag and a class with a dot."""
+
+    def fits(e: Element, tag: str | None, name: str | None) -> bool:
+        return (not tag or e.tag == tag) and (not name or name in e.attrs.get("class", "").split())
+
+    todo = [(c, ()) for c in reversed(root.children) if isinstance(c, Element)]
+    while todo:
+        e, above = todo.pop()
+        for inside, tag, name in kinds:
+            outer, _, outer_name = (inside or "").partition(".")
+            if fits(e, tag, name) and (not inside or any(fits(x, outer, outer_name) for x in above)):
+                yield e
+                break
+        todo.extend((c, (*above, e)) for c in reversed(e.children) if isinstance(c, Element))
+
+
 def json_ld(root: Element) -> list[dict]:
     """Objects of a page's structured data, lists and graphs laid flat; blocks that don't parse are passed over."""
     out: list[dict] = []
@@ -170,32 +187,71 @@ def page_title(root: Element) -> str | None:
     return re.split(r"[|\-–—:]", title)[0].strip()[:200] or None
 
 
-def candidates_of(html: str, most: int = 25) -> list[dict]:
-    """What may be businesses in a page: structured data, else entries of a listing, else the page."""
+def entries(root: Element, selector: str | None = None) -> list[tuple[Element, str]]:
+    """(element, text) of the entries of a listing: the innermost ones that hold a phone, each text once.
+
+    selector: "tag.class" of the entries of a known directory, else those of the usual tags and classes.
+    """
+    tag, _, name = (selector or "").partition(".")
+    is_entry = (lambda e: (not tag or e.tag == tag) and (not name or name in e.attrs.get("class", "").split())) if selector else _is_entry
+    order: list[tuple[Element, int | None]] = []  # parents first, with the entry each stands in
+    todo: list[tuple[Element, int | None]] = [(root, None)]
+    while todo:
+        e, above = todo.pop()
+        here = above
+        if e is not root and is_entry(e):
+            here = len(order)
+            order.append((e, above))
+        todo.extend((c, here) for c in reversed(e.children) if isinstance(c, Element))
+    texts = [e.text() for e, _ in order]
+    has_phone = [bool(_FAST_PHONE.search(t.translate(P._TO_ASCII))) for t in texts]
+    holds_one = [False] * len(order)
+    for k in range(len(order) - 1, -1, -1):
+        above = order[k][1]
+        if above is not None and (has_phone[k] or holds_one[k]):
+            holds_one[above] = True
+    found = {t: e for (e, _), t, phone, inner in reversed(list(zip(order, texts, has_phone, holds_one, strict=True))) if phone and not inner and 12 <= len(t) <= 900}
+    return [(e, t) for t, e in reversed(found.items())]
+
+
+def candidates_of(html: str, most: int | None = None, selector: str | None = None) -> list[dict]:
+    """What may be businesses in a page: structured data, entries of a listing (``most`` of all in all, None: every one), else the page."""
     root = tree(html)
     out = [o | {"kind": "JSON_LD", "hint": 85} for x in json_ld(root) if (o := organisation(x))]
-    seen = set()
-    for e in root.walk():
-        if _is_entry(e) and len(out) < most:
-            inner = any(_is_entry(x) and _FAST_PHONE.search(x.text().translate(P._TO_ASCII)) for x in e.walk() if x is not e)
-            t = e.text()
-            if inner or not 12 <= len(t) <= 900 or t[:160] in seen or not _FAST_PHONE.search(t.translate(P._TO_ASCII)):
-                continue
-            seen.add(t[:160])
-            site, social = _links(e)
-            out.append({"name": _heading(e), "text": t[:1200], "address": None, "website": site, "owner": None, "social": social, "city": None, "kind": "DIRECTORY_ENTRY", "hint": 70})
+    for e, t in entries(root, selector):
+        if most is not None and len(out) >= most:
+            break
+        site, social = _links(e)
+        out.append({"name": _heading(e), "text": t, "address": None, "website": site, "owner": None, "social": social, "city": None, "kind": "DIRECTORY_ENTRY", "hint": 70})
     if not out or len(out) == 1 and not out[0]["name"]:
         t = root.text()
         site, social = _links(root)
         out.append({"name": page_title(root), "text": t, "address": None, "website": site, "owner": None, "social": social, "city": None, "kind": "PAGE_TEXT", "hint": 60})
+    numbers = "".join(" \n " + e.attrs["href"][4:] for e in root.walk() if e.tag == "a" and e.attrs.get("href", "").lower().startswith("tel:"))
+    if len(out) == 1 and numbers:
+        out[0]["text"] += numbers  # a page of one candidate owns its telephone links
     return out
 
 
 _CANDIDATE = "array<struct<name: string, text: string, address: string, website: string, owner: string, social: array<string>, city: string, kind: string, hint: int>>"
 
 
-def _found(html: pd.Series) -> pd.Series:
-    return pd.Series([candidates_of(x) for x in html])
+def _finder(most: int | None, selector: str | None):
+    @F.pandas_udf(_CANDIDATE)
+    def found(html: pd.Series) -> pd.Series:
+        return pd.Series([candidates_of(x, most, selector) for x in html])
+
+    return found
+
+
+def titles(html) -> Column:
+    """``page_title`` of stored pages."""
+
+    @F.pandas_udf("string")
+    def run(html: pd.Series) -> pd.Series:
+        return pd.Series([page_title(tree(x)) for x in html], dtype=object)
+
+    return run(_c(html))
 
 
 def address_from_text(text) -> Column:
@@ -224,13 +280,13 @@ def owner_name(text) -> Column:
     return F.coalesce(fits(one("(?:مدیر\\s*عامل|مدیرعامل|مالک|صاحب)")), fits(one("(?:مسئول\\s*فروش|مدیر\\s*فروش)")))
 
 
-def extract(pages: DataFrame, area: str | None = None, plan: P.NumberingPlan = P.PLAN) -> DataFrame:
+def extract(pages: DataFrame, area: str | None = None, plan: P.NumberingPlan = P.PLAN, gazetteer=None, most: int | None = None, selector: str | None = None) -> DataFrame:
     """Candidates of ``pages(url, html)``: cid, url, name, phones, address, owner, website, social, city, kind, hint, signature.
 
     Only the tree is walked in Python; names, addresses, owners and phones are columns, and equal candidates of a page are one, the
-    best kind of them.
+    best kind of them. With a gazetteer a candidate without a city takes the one that its text names.
     """
-    found = F.pandas_udf(_found, _CANDIDATE)
+    found = _finder(most, selector)
     rows = pages.select("url", *([area] if area else []), F.posexplode(found("html")).alias("nth", "c"))
     rows = rows.select("url", *([area] if area else []), "nth", "c.*").withColumn("cid", F.xxhash64("url", "nth"))
     numbers = P.find_phones(rows, "text", "cid", area, plan).where("reason is null").groupBy("cid").agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "e164"))), lambda x: x["e164"]).alias("phones"))
@@ -238,6 +294,10 @@ def extract(pages: DataFrame, area: str | None = None, plan: P.NumberingPlan = P
         "name": clean_name("name"), "phones": F.coalesce("phones", F.array().cast("array<string>")), "address": F.coalesce("address", address_from_text("text")),
         "owner": F.coalesce("owner", owner_name("text")),
     })
+    if gazetteer is not None:
+        from quarryline.functions.geo import locate
+
+        out = out.withColumn("city", F.coalesce("city", locate(pages.sparkSession, gazetteer, F.concat_ws(" ", "address", "text"))["city"]))
     out = out.withColumn("signature", signature("name", "city", "phones"))
     kept = out.groupBy("url", "signature").agg(F.max_by(F.struct("cid", "name", "phones", "address", "owner", "website", "social", "city", "kind", "hint", "text"), F.struct("hint", (-F.col("nth")).alias("t"))).alias("x"))
     return kept.select("url", "signature", "x.*")

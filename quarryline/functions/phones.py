@@ -247,8 +247,8 @@ def placed_tokens(text) -> Column:
     return run(_c(text))
 
 
-def find_phones(df, text: str, key: str, area: str | None = None, plan: NumberingPlan = PLAN, most: int = 200):
-    """(key, e164, ...): the phones in a text column, one row per number and text, at most ``most`` of each by place; and why others were rejected.
+def find_phones(df, text: str, key: str, area: str | None = None, plan: NumberingPlan = PLAN, most: int | None = None):
+    """(key, e164, ...): the phones in a text column, one row per number and text, the first ``most`` of each by place if that is given; and why others were rejected.
 
     A row has ``reason`` null if it is a phone. Tokens are found in Python, parsed and judged by columns.
     """
@@ -278,13 +278,14 @@ def find_phones(df, text: str, key: str, area: str | None = None, plan: Numberin
     rows = rows.withColumn("quality", F.when(F.col("is_local"), F.least(quality, F.lit(0.6))).otherwise(quality))
     good = rows.where("reason is null")
     order = W.partitionBy(key).orderBy("start")
-    first = good.withColumn("again", F.row_number().over(W.partitionBy(key, "e164").orderBy("start"))).where("again = 1").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+    first = good.withColumn("again", F.row_number().over(W.partitionBy(key, "e164").orderBy("start"))).where("again = 1")
+    first = first if most is None else first.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
     kept = first.select(key, "raw", "start", "stop", "e164", "national", F.col("parsed.type").alias("type"), F.col("parsed.area_code").alias("area_code"), F.col("is_local").alias("inferred"), "hint", "quality", "snippet", "reason")
     lost = rows.where("reason is not null").select(key, "raw", "start", "stop", "e164", "national", F.col("parsed.type").alias("type"), F.col("parsed.area_code").alias("area_code"), F.col("is_local").alias("inferred"), "hint", "quality", "snippet", "reason")
     return kept.unionByName(lost)
 
 
-def find_phones_in_html(df, html: str, key: str, area: str | None = None, plan: NumberingPlan = PLAN, most: int = 200):
+def find_phones_in_html(df, html: str, key: str, area: str | None = None, plan: NumberingPlan = PLAN, most: int | None = None):
     """(key, e164, kind, quality) of a page: telephone links first (a tenth better), then messenger links (mobile numbers only), then its text."""
     from quarryline.functions.text import strip_html
     from quarryline.functions.urls import tel_link_numbers

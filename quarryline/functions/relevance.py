@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarryline.functions.lexicon import DEFAULT, Lexicon, Terms
-from quarryline.functions.text import _c, search_text
+from quarryline.functions.text import _c, let, search_text
 
 
 def _java(text: str) -> str:
@@ -22,28 +22,42 @@ def term_pattern(term: str) -> str:
     return r"(?iU)(?<!\w)" + r"[\s\-_\x{200c}]*".join(parts) + r"(?!\w)"
 
 
-def matched_terms(text, group: Terms) -> Column:
+def folded(text) -> Column:
+    """A text in lower case as patterns without regard to case see it."""
+    return F.lower(F.translate(_c(text), "ſıİ", "sii"))
+
+
+def holds(text, low, term: str) -> Column:
+    """Whether a text holds a term. ``low`` is the text ``folded``: most terms aren't in a text, and a search for their parts tells so without the pattern."""
+    parts = [p.lower() for p in term.replace("\u200c", " ").split()]
+    return reduce(lambda a, b: a & b, (F.contains(_c(low), F.lit(p)) for p in parts), F.lit(True)) & _c(text).rlike(term_pattern(term))
+
+
+def matched_terms(text, group: Terms, low=None) -> Column:
     """The distinct terms of a group that a text holds."""
-    return F.array_compact(F.array(*(F.when(_c(text).rlike(term_pattern(t)), F.lit(t)) for t, _ in group))) if group else F.array().cast("array<string>")
+    near = folded(text) if low is None else low
+    return F.array_compact(F.array(*(F.when(holds(text, near, t), F.lit(t)) for t, _ in group))) if group else F.array().cast("array<string>")
 
 
-def weight(text, group: Terms) -> Column:
+def weight(text, group: Terms, low=None) -> Column:
     """Sum of the weights of the terms that a text holds; how often doesn't count."""
-    x = _c(text)
-    return reduce(lambda a, b: a + b, (F.when(x.rlike(term_pattern(t)), F.lit(float(w))).otherwise(0.0) for t, w in group), F.lit(0.0))
+    if low is None:
+        return let(F.struct(_c(text).alias("t"), folded(text).alias("low")), lambda x: weight(x["t"], group, x["low"]))
+    return reduce(lambda a, b: a + b, (F.when(holds(text, low, t), F.lit(float(w))).otherwise(0.0) for t, w in group), F.lit(0.0))
 
 
 def score_relevance(df, name: str, body: str, lexicon: Lexicon = DEFAULT, query_category: str | None = None, query_role: str | None = None):
     """``df`` with relevance (0 to 100), category, role and spam_terms, by the terms in a name and in a body of text."""
-    rows = df.withColumns({"__n": search_text(name), "__b": search_text(body)})
-    cats = {k: 2.2 * weight("__n", t) + 0.8 * weight("__b", t) for k, t in lexicon.categories.items()}
-    roles = {k: 2.0 * weight("__n", t) + 0.6 * weight("__b", t) for k, t in lexicon.roles.items()}
+    rows = df.withColumns({"__n": search_text(name), "__b": search_text(body)}).withColumns({"__nl": folded("__n"), "__bl": folded("__b")})
+    in_name, in_body = (lambda g: weight("__n", g, "__nl")), (lambda g: weight("__b", g, "__bl"))
+    cats = {k: 2.2 * in_name(t) + 0.8 * in_body(t) for k, t in lexicon.categories.items()}
+    roles = {k: 2.0 * in_name(t) + 0.6 * in_body(t) for k, t in lexicon.roles.items()}
     rows = rows.withColumns({f"__c_{k}": v for k, v in cats.items()} | {f"__r_{k}": v for k, v in roles.items()})
     best = F.greatest(F.lit(0.0), F.lit(0.0), *(F.col(f"__c_{k}") for k in cats))
     best_role = F.greatest(F.lit(0.0), F.lit(0.0), *(F.col(f"__r_{k}") for k in roles))
     first = lambda tag, names, top: F.coalesce(*(F.when((F.col(f"__{tag}_{k}") == top) & (top > 0), F.lit(k)) for k in names))
-    rows = rows.withColumns({"__best": best, "category": first("c", cats, best), "__negative": weight("__b", lexicon.negatives) + 1.5 * weight("__n", lexicon.negatives)})
-    rows = rows.withColumns({"__signal": weight("__b", lexicon.signals), "__spam": weight("__b", lexicon.spam), "spam_terms": F.slice(F.array_sort(F.array_distinct(matched_terms("__b", lexicon.spam))), 1, 8)})
+    rows = rows.withColumns({"__best": best, "category": first("c", cats, best), "__negative": in_body(lexicon.negatives) + 1.5 * in_name(lexicon.negatives)})
+    rows = rows.withColumns({"__signal": in_body(lexicon.signals), "__spam": in_body(lexicon.spam), "spam_terms": F.slice(F.array_sort(F.array_distinct(matched_terms("__b", lexicon.spam, "__bl"))), 1, 8)})
     wanted = F.col(query_category) if query_category else F.lit(None).cast("string")
     raw = (
         2.2 * F.least(F.col("__best"), F.lit(22.0)) + 1.2 * F.least(F.col("__signal"), F.lit(12.0)) + F.when(F.col("category").isNotNull(), 10.0).otherwise(0.0)

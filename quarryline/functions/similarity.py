@@ -77,7 +77,7 @@ def phone_similarity(a, b) -> Column:
 
 
 def compare(pairs: DataFrame, generic: tuple[str, ...] = tuple(GENERIC_TOKENS), settings: Settings = Settings()) -> DataFrame:
-    """``pairs`` with score and verdict (merge, review or null) of the records in its columns a_* and b_*: name, city, address, domain, phones.
+    """``pairs`` with score, verdict (merge, review or null) and reasons of the records in its columns a_* and b_*: name, city, address, domain, phones.
 
     Only names, cores and addresses are compared in Python; the ladder of rules is columns.
     """
@@ -107,4 +107,9 @@ def compare(pairs: DataFrame, generic: tuple[str, ...] = tuple(GENERIC_TOKENS),
     )
     rows = rows.withColumn("score", F.least(F.lit(1.0), F.bround(F.when(anchor, score).otherwise(F.least(score, F.lit(0.55))), 4)))
     verdict = F.when(c("score") >= settings.merge_at, "merge").when(c("score") >= settings.review_at, "review")
+    said = {
+        "shared phone": c("__shared"), "shared domain": c("__dom"), "equal name": c("__exact"), "equal core": F.coalesce(c("__core"), F.lit(0.0)) >= 0.95, "alike address": addr >= 0.85,
+        "different core": c("__core") < 0.75, "no anchor": ~anchor,
+    }
+    rows = rows.withColumn("reasons", F.array_compact(F.array(*(F.when(F.coalesce(x, F.lit(False)), F.lit(k)) for k, x in said.items()))))
     return rows.withColumn("verdict", verdict).drop(*(x for x in rows.columns if x.startswith("__")))

@@ -84,3 +84,21 @@ def verdicts(checks: dict[str, DataFrame]) -> DataFrame:
         row = bad.limit(1).agg((F.count("*") == 0).alias("passed")).select(F.lit(name).alias("name"), "passed")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def registry_summary(sources: DataFrame) -> DataFrame:
+    """How many sources of each kind there are, are enabled, and need a key."""
+    return sources.groupBy("kind").agg(F.count("*").alias("sources"), F.count_if("enabled").alias("enabled"), F.count_if("requires_key").alias("need_key"))
+
+
+def full_stats(businesses: DataFrame, phones: DataFrame, observations: DataFrame, as_of: Column) -> DataFrame:
+    """(section, value, n): totals, and the groups of businesses and phones, as one table."""
+    total = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit("totals").alias("section"), F.lit(name).alias("value"), "n")
+    due = phones.where(F.col("next_check_at").isNull() | (F.col("next_check_at") <= as_of))
+    parts = [total(businesses.where("status <> 'MERGED'"), "businesses"), total(phones, "phones"), total(observations, "observations"), total(due, "due")]
+    parts.append(group_counts(businesses, "status", "confidence_band").withColumnRenamed("dimension", "section"))
+    parts.append(group_counts(phones, "status", "type").select(F.concat(F.lit("phone_"), "dimension").alias("section"), "value", "n"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

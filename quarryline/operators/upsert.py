@@ -137,6 +137,32 @@ def purge(df: DataFrame, doomed: DataFrame, column: str = "id") -> DataFrame:
     return df.join(doomed.select(column), column, "left_anti")
 
 
+def purge_businesses(tables: dict[str, DataFrame], doomed: DataFrame) -> dict[str, DataFrame]:
+    """The tables without the businesses of ``doomed(id)``; their links go too, evidence stays without its business."""
+    out = tables | {"businesses": purge(tables["businesses"], doomed)}
+    ids = doomed.select(F.col("id").alias("business_id"))
+    if "business_phones" in tables:
+        out["business_phones"] = purge(tables["business_phones"], ids, "business_id")
+    if "source_observations" in tables:
+        o = tables["source_observations"].join(ids.distinct().withColumn("__gone", F.lit(True)), "business_id", "left")
+        out["source_observations"] = o.withColumn("business_id", F.when(F.col("__gone").isNull(), F.col("business_id"))).select(tables["source_observations"].columns)
+    return out
+
+
+def seeded_sources(sources: DataFrame, seen: DataFrame, as_of: Column) -> DataFrame:
+    """Sources after ``seen(key)``: unknown keys are added as search engines of middling reliability, known ones stay."""
+    fresh = seen.select("key").where("key is not null").distinct().join(sources.select("key"), "key", "left_anti")
+    made = {"id": F.xxhash64("key"), "key": F.col("key"), "name": F.col("key"), "kind": F.lit("SEARCH_ENGINE"), "reliability": F.lit(0.5), "requires_key": F.lit(False), "official": F.lit(False), "enabled": F.lit(True), "created_at": as_of, "updated_at": as_of}
+    return sources.unionByName(fresh.select(*(made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in sources.schema)))
+
+
+def seeded_locations(locations: DataFrame, places: DataFrame, as_of: Column) -> DataFrame:
+    """Locations by kind and name key after ``places(kind, name)``: known ones keep their id and take the name, new ones are added."""
+    keyed = places.withColumn("name_key", name_key("name")).groupBy("kind", "name_key").agg(F.min("name").alias("name"))
+    rules = {"id": F.coalesce("o_id", F.xxhash64("kind", "name_key")), "created_at": F.coalesce("o_created_at", as_of)}
+    return keyed_upsert(locations, keyed, ["kind", "name_key"], rules)
+
+
 def expire(phones: DataFrame, most: int, as_of: Column) -> DataFrame:
     """The ``most`` most trusted phones become due now."""
     top = phones.orderBy(F.desc("confidence"), "id").limit(most).select("id").withColumn("__due", F.lit(True))

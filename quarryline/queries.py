@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions import confidence, fingerprint, phones, relevance, text, urls
@@ -12,27 +9,12 @@ from quarryline.functions.lexicon import Lexicon
 from quarryline.operators import catalog, dedup, stats, upsert
 from quarryline.operators.components import components
 from quarryline.plans import planner, queue
+from quarryline.registry import QUERIES, query, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 #: The day that time-dependent queries look from.
 AS_OF = "TIMESTAMP '1998-01-01 00:00:00'"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 TOKEN = r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
 
 
@@ -317,21 +299,23 @@ _FIRST = r"regexp_replace(lower(text), '[^a-z]+', '', 'g')"
 def _keyed(spark, sf_dir):
     key = F.regexp_replace(F.lower("text"), "[^a-z]+", "")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), key.alias("k"))
-    return docs.select("id", F.array(F.concat(F.lit("n:"), F.substring("k", 1, 14)), F.concat(F.lit("l:"), F.right("k", F.lit(12)))).alias("keys"))
+    return docs.select("id", "k", F.array(F.concat(F.lit("n:"), F.substring("k", 1, 14)), F.concat(F.lit("l:"), F.right("k", F.lit(12)))).alias("keys"))
 
 
-_KEYED = f"keyed AS (SELECT doc_id AS id, unnest(['n:' || substr({_FIRST}, 1, 14), 'l:' || right({_FIRST}, 12)]) AS key FROM documents)"
+_KEYED = f"""keyed AS (SELECT doc_id AS id, {_FIRST} AS k, unnest(['n:' || substr({_FIRST}, 1, 14), 'l:' || right({_FIRST}, 12)]) AS key FROM documents),
+sizes AS (SELECT key, count(*) AS n FROM keyed GROUP BY 1), large AS (SELECT id, key || '|' || sha1(k) AS key FROM keyed JOIN sizes USING (key) WHERE n > 400), large_sizes AS (SELECT key, count(*) AS n, min(id) AS first FROM large GROUP BY 1),
+blocked AS (SELECT key, id FROM keyed JOIN sizes USING (key) WHERE n BETWEEN 2 AND 400 UNION ALL SELECT key, id FROM large JOIN large_sizes USING (key) WHERE n BETWEEN 2 AND 400)"""
 
 
-@query(f"WITH {_KEYED} SELECT key, count(*) AS n FROM keyed GROUP BY 1 HAVING count(*) BETWEEN 2 AND 400")
+@query(f"WITH {_KEYED} SELECT key, count(*) AS n FROM blocked GROUP BY 1 UNION ALL SELECT key || '|' || id::VARCHAR, 2 FROM large JOIN large_sizes USING (key) WHERE n > 400 AND id <> first")
 def block_sizes(spark, sf_dir):
-    return dedup.blocks(_keyed(spark, sf_dir), "keys").groupBy("key").agg(F.count("*").alias("n"))
+    return dedup.blocks(_keyed(spark, sf_dir), "keys", finer="k").select("key", F.size("ids").cast("bigint").alias("n"))
 
 
-@query(f"""WITH {_KEYED}, ok AS (SELECT key FROM keyed GROUP BY 1 HAVING count(*) BETWEEN 2 AND 400)
-SELECT DISTINCT a.id AS a, b.id AS b FROM keyed a JOIN keyed b ON a.key = b.key AND a.id < b.id WHERE a.key IN (SELECT key FROM ok)""")
+@query(f"""WITH {_KEYED} SELECT DISTINCT a.id AS a, b.id AS b FROM blocked a JOIN blocked b ON a.key = b.key AND a.id < b.id
+UNION SELECT first, id FROM large JOIN large_sizes USING (key) WHERE n > 400 AND id <> first""")
 def blocking_pairs(spark, sf_dir):
-    return dedup.candidate_pairs(dedup.blocks(_keyed(spark, sf_dir), "keys"))
+    return dedup.candidate_pairs(dedup.blocks(_keyed(spark, sf_dir), "keys", finer="k"))
 
 
 def _copies(spark, sf_dir):
@@ -513,10 +497,10 @@ def politeness_schedule(spark, sf_dir):
 def pair_scores(spark, sf_dir):
     """Comparison of documents in shared blocks as records: the first line is the name, the source the city."""
     docs = table(spark, sf_dir, "documents")
-    first = F.substring(F.split("text", "\n")[0], 1, 120)
+    first = F.split("text", "\n")[0]
     none = F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").alias("id"), first.alias("name"), F.col("source").alias("city"), none.alias("address"), none.alias("domain"), F.array().cast("array<string>").alias("phones"))
-    return dedup.scored_pairs(rows)
+    return dedup.scored_pairs(rows).drop("reasons")
 
 
 QUERIES["pair_scores"] = pair_scores

@@ -1,0 +1 @@
+"""stub"""

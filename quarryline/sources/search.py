@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quarryline.functions.pages import selected, tree
 from quarryline.functions.text import normalize_fa
 
 ITEM = "rank int, url string, title string, snippet string"
@@ -52,57 +51,41 @@ def api_items(answers: DataFrame, source: str, body: str = "body") -> DataFrame:
     return rows.select(*[c for c in answers.columns if c != body], (F.col("at") + 1).alias("rank"), F.col(f"item.{url}").alias("url"), F.col(f"item.{title}").alias("title"), F.col(f"item.{snippet}").alias("snippet")).where("url is not null")
 
 
-class _Results(HTMLParser):
-    """Result links of a page: an anchor of a class, then the text of the block of another."""
-
-    # Classes of result links and of their texts.
-    LINKS = ("result__a", "title", "ob")
-    TEXTS = ("result__snippet", "b_caption", "s")
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.items: list[list[str]] = []
-        self.into: int | None = None
-        self.depth = 0
-        self.h2 = False
-
-    def handle_starttag(self, tag, attrs):
-        found = dict(attrs)
-        classes = (found.get("class") or "").split()
-        self.h2 = tag == "h2" or (self.h2 and tag != "p")
-        if tag == "a" and found.get("href", "").startswith(("http", "//", "/l/")) and (self.h2 or any(c in self.LINKS for c in classes)):
-            self.items.append([found["href"], "", ""])
-            self.into, self.depth = 1, 0
-        elif self.items and any(c in self.TEXTS for c in classes):
-            self.into, self.depth = 2, 0
-        elif self.into:
-            self.depth += 1
-
-    def handle_endtag(self, tag):
-        if self.into:
-            self.depth -= 1
-            if self.depth < 0:
-                self.into = None
-        if tag == "h2":
-            self.h2 = False
-
-    def handle_data(self, data):
-        if self.into and self.items:
-            self.items[-1][self.into] += data
-
-
-def html_items(body) -> Column:
-    """Result items of stored result pages."""
-    return F.pandas_udf(_parsed, f"array<struct<{', '.join(p.replace(' ', ': ') for p in ITEM.split(', '))}>>")(F.col(body) if isinstance(body, str) else body)
-
-
-def _parsed(body: pd.Series) -> pd.Series:
-    out = []
-    for text in body:
-        parser = _Results()
-        parser.feed(text or "")
-        out.append([(k + 1, u, " ".join(t.split()), " ".join(s.split())) for k, (u, t, s) in enumerate(parser.items)])
-    return pd.Series(out)
+# The elements of a result page that hold one result, its link and its text, as (inside an element, tag, class), the first kind that is there.
+RESULTS = {
+    "DUCKDUCKGO": ([(None, None, "result"), (None, None, "web-result")], [(None, "a", "result__a"), ("h2", "a", None), (None, "a", None)], [(None, None, "result__snippet"), (None, "div", None)]),
+    "BING_HTML": ([(None, "li", "b_algo")], [("h2", "a", None), (None, "a", None)], [(None, "p", None), (None, None, "b_caption")]),
+    "MOJEEK": ([("ul.results-standard", "li", None), (None, "li", "result")], [(None, "a", "ob"), (None, "a", "title"), ("h2", "a", None)], [(None, "p", "s"), (None, None, "s")]),
+    "SEARX": ([(None, "article", "result"), (None, "div", "result")], [("h3", "a", None), (None, "a", "url")], [(None, "p", "content")]),
+}
+
+
+def html_items(body, source: str) -> Column:
+    """Result items of stored result pages of a search engine, ranked from 1; results without a link give none."""
+    blocks, links, texts = RESULTS[source]
+
+    @F.pandas_udf(f"array<struct<{', '.join(p.replace(' ', ': ') for p in ITEM.split(', '))}>>")
+    def run(pages: pd.Series) -> pd.Series:
+        out = []
+        for page in pages:
+            items = []
+            for block in selected(tree(page), blocks):
+                link = next((e for kind in links for e in selected(block, [kind]) if e.attrs.get("href")), None)
+                text = next((e for kind in texts for e in selected(block, [kind])), None)
+                if link is not None:
+                    items.append((len(items) + 1, link.attrs["href"], link.text(), text.text() if text is not None else ""))
+            out.append(items)
+        return pd.Series(out)
+
+    return run(F.col(body) if isinstance(body, str) else body)
+
+
+def searx_items(body) -> Column:
+    """Result items of an answer that is JSON or, where it isn't, a result page."""
+    text = F.col(body) if isinstance(body, str) else body
+    listed = F.from_json(F.get_json_object(text, "$.results"), "array<struct<url: string, title: string, content: string>>")
+    found = F.transform(listed, lambda x, k: F.struct((k + 1).alias("rank"), x["url"].alias("url"), x["title"].alias("title"), x["content"].alias("snippet")))
+    return F.when(listed.isNotNull(), F.filter(found, lambda x: x["url"].isNotNull())).otherwise(html_items(text, "SEARX"))
 
 
 def unwrapped(url) -> Column:

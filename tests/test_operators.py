@@ -181,7 +181,7 @@ def test_search_sources(spark):
     got = search.api_items(spark.createDataFrame([("q", body), ("z", "nope")], "q string, body string"), "GOOGLE_CSE").collect()
     assert [(r.rank, r.url) for r in got] == [(1, "http://a"), (2, "http://b")]
     page = '<div class="result"><a class="result__a" href="//duckduckgo.com/l/?uddg=https%3A%2F%2Fa.ir%2F">A &amp; B</a><div class="result__snippet">text</div></div>'
-    item = spark.createDataFrame([(page,)], "b string").select(F.explode(search.html_items("b")).alias("i")).select("i.*", search.unwrapped(F.col("i.url")).alias("to")).first()
+    item = spark.createDataFrame([(page,)], "b string").select(F.explode(search.html_items("b", "DUCKDUCKGO")).alias("i")).select("i.*", search.unwrapped(F.col("i.url")).alias("to")).first()
     assert (item.title, item.snippet, item.to) == ("A & B", "text", "https://a.ir/")
     osm = json.dumps({"elements": [{"id": 1, "type": "node", "tags": {"name": "N", "phone": "021"}}, {"id": 2, "type": "node", "tags": {"name": "M"}}]})
     assert [r.name for r in search.overpass_items(spark.createDataFrame([(osm,)], "body string")).collect()] == ["N"]
