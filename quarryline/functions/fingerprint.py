@@ -21,12 +21,12 @@ def hashed(*parts, length: int = 32) -> Column:
 def business_fingerprint(name, city, domain, phone) -> Column:
     """By name (and city), else by an own domain, else by phone, else by what there is; nulls of the last enter as "None"."""
     key, own = name_key(name), registrable_domain(domain)
-    number = F.coalesce(_c(phone), F.lit(""))
+    phone_ = F.coalesce(_c(phone), F.lit(""))
     none = lambda x: F.coalesce(_c(x).cast("string"), F.lit("None"))
     return (
         F.when(key != "", F.concat(F.lit("b:"), hashed(key, name_key(city))))
         .when(own.isNotNull() & ~is_generic_host(own), F.concat(F.lit("d:"), hashed(own)))
-        .when(number != "", F.concat(F.lit("p:"), hashed(number)))
+        .when(phone_ != "", F.concat(F.lit("p:"), hashed(phone_)))
         .otherwise(F.concat(F.lit("x:"), hashed(none(name), none(city), none(domain), none(phone))))
     )
 
@@ -54,7 +54,7 @@ def signature(name, city, phones) -> Column:
 def blocking_keys(name, city, domain, phones, address) -> Column:
     """Keys under which records are compared: starts of the name, name and city, domain, phones, start of the address."""
     key, place, own, street = name_key(name), name_key(city), registrable_domain(domain), name_key(address)
-    numbers = F.coalesce(_c(phones), F.array().cast("array<string>"))
+    listed = F.coalesce(_c(phones), F.array().cast("array<string>"))
     part = lambda ok, tag, *x: F.when(ok, F.concat(F.lit(tag), *x))
     own_keys = F.array(
         part(key != "", "n:", F.substring(key, 1, 14)),
@@ -63,4 +63,4 @@ def blocking_keys(name, city, domain, phones, address) -> Column:
         part(own.isNotNull() & ~is_generic_host(own), "d:", own),
         part(F.length(street) >= 10, "a:", F.substring(street, 1, 16)),
     )
-    return F.array_distinct(F.concat(F.array_compact(own_keys), F.transform(numbers, lambda p: F.concat(F.lit("p:"), p))))
+    return F.array_distinct(F.concat(F.array_compact(own_keys), F.transform(listed, lambda p: F.concat(F.lit("p:"), p))))

@@ -128,15 +128,15 @@ def organisation(x: dict) -> dict | None:
     kinds = " ".join(str(k).lower() for k in _many(x.get("@type")))
     if not any(k in kinds for k in ORGANISATIONS):
         return None
-    numbers = []
+    listed = []
     for field in ("telephone", "phone", "contactPoint"):
         for v in _many(x.get(field)):
-            numbers += [str(n) for n in _many(v.get("telephone"))] if isinstance(v, dict) else [str(v)]
+            listed += [str(n) for n in _many(v.get("telephone"))] if isinstance(v, dict) else [str(v)]
     place = next((a for a in _many(x.get("address"))), None)
     parts = [place.get(k) for k in ("streetAddress", "addressLocality", "addressRegion", "postalCode")] if isinstance(place, dict) else [place]
     person = next((p for k in ("founder", "owner", "employee") for p in _many(x.get(k))), None)
     return {
-        "name": x.get("name") or x.get("legalName"), "text": " \n ".join(numbers), "address": "، ".join(str(p) for p in parts if p) or None, "website": x.get("url"),
+        "name": x.get("name") or x.get("legalName"), "text": " \n ".join(listed), "address": "، ".join(str(p) for p in parts if p) or None, "website": x.get("url"),
         "owner": person.get("name") if isinstance(person, dict) else person, "social": [str(u) for u in _many(x.get("sameAs"))][:8],
         "city": place.get("addressLocality") if isinstance(place, dict) else None,
     }
@@ -227,9 +227,9 @@ def candidates_of(html: str, most: int | None = None, selector: str | None = Non
         t = root.text()
         site, social = _links(root)
         out.append({"name": page_title(root), "text": t, "address": None, "website": site, "owner": None, "social": social, "city": None, "kind": "PAGE_TEXT", "hint": 60})
-    numbers = "".join(" \n " + e.attrs["href"][4:] for e in root.walk() if e.tag == "a" and e.attrs.get("href", "").lower().startswith("tel:"))
-    if len(out) == 1 and numbers:
-        out[0]["text"] += numbers  # a page of one candidate owns its telephone links
+    listed = "".join(" \n " + e.attrs["href"][4:] for e in root.walk() if e.tag == "a" and e.attrs.get("href", "").lower().startswith("tel:"))
+    if len(out) == 1 and listed:
+        out[0]["text"] += listed  # a page of one candidate owns its telephone links
     return out
 
 
@@ -280,7 +280,7 @@ def owner_name(text) -> Column:
     return F.coalesce(fits(one("(?:مدیر\\s*عامل|مدیرعامل|مالک|صاحب)")), fits(one("(?:مسئول\\s*فروش|مدیر\\s*فروش)")))
 
 
-def extract(pages: DataFrame, area: str | None = None, plan: P.NumberingPlan = P.PLAN, gazetteer=None, most: int | None = None, selector: str | None = None) -> DataFrame:
+def extract(pages: DataFrame, area: str | None = None, plan: P.PhonePlan = P.PLAN, gazetteer=None, most: int | None = None, selector: str | None = None) -> DataFrame:
     """Candidates of ``pages(url, html)``: cid, url, name, phones, address, owner, website, social, city, kind, hint, signature.
 
     Only the tree is walked in Python; names, addresses, owners and phones are columns, and equal candidates of a page are one, the
@@ -289,8 +289,8 @@ def extract(pages: DataFrame, area: str | None = None, plan: P.NumberingPlan = P
     found = _finder(most, selector)
     rows = pages.select("url", *([area] if area else []), F.posexplode(found("html")).alias("nth", "c"))
     rows = rows.select("url", *([area] if area else []), "nth", "c.*").withColumn("cid", F.xxhash64("url", "nth"))
-    numbers = P.find_phones(rows, "text", "cid", area, plan).where("reason is null").groupBy("cid").agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "e164"))), lambda x: x["e164"]).alias("phones"))
-    out = rows.join(numbers, "cid", "left").withColumns({
+    listed = P.find_phones(rows, "text", "cid", area, plan).where("reason is null").groupBy("cid").agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "e164"))), lambda x: x["e164"]).alias("phones"))
+    out = rows.join(listed, "cid", "left").withColumns({
         "name": clean_name("name"), "phones": F.coalesce("phones", F.array().cast("array<string>")), "address": F.coalesce("address", address_from_text("text")),
         "owner": F.coalesce("owner", owner_name("text")),
     })

@@ -1,4 +1,4 @@
-"""Phone numbers as columns, by a numbering plan: parse, local completion, signals of invention, quality; and phones in texts."""
+"""Phones as columns, by a plan of a country's digits: parse, local completion, signals of invention, quality; and phones in texts."""
 
 from __future__ import annotations
 
@@ -20,11 +20,12 @@ AREA_CODES = {
     "074": "کهگیلویه و بویراحمد", "076": "هرمزگان", "077": "بوشهر", "081": "همدان", "083": "کرمانشاه", "084": "ایلام", "086": "مرکزی", "087": "کردستان",
 }
 MOBILE_SECOND = "01239"
-SERVICE_NUMBERS = (
-    "110 112 115 116 117 118 119 120 121 122 123 124 125 126 129 131 133 134 137 138 141 144 145 147 148 149 152 153 154 156 158 160 161 162 163 164 165 "
-    "166 167 168 169 172 173 174 175 176 177 178 180 181 182 183 185 187 188 189 190 191 192 193 194 195 196 197 198 199 911 999 096400 09640 1190 1888 "
-    "1220 1241"
-).split()
+SERVICE_LINES = (
+    "110", "112", "115", "116", "117", "118", "119", "120", "121", "122", "123", "124", "125", "126", "129", "131", "133", "134", "137", "138",
+    "141", "144", "145", "147", "148", "149", "152", "153", "154", "156", "158", "160", "161", "162", "163", "164", "165", "166", "167", "168",
+    "169", "172", "173", "174", "175", "176", "177", "178", "180", "181", "182", "183", "185", "187", "188", "189", "190", "191", "192", "193",
+    "194", "195", "196", "197", "198", "199", "911", "999", "096400", "09640", "1190", "1888", "1220", "1241",
+)
 SERVICE_PREFIXES = ("096", "095", "09999")
 SEQUENCES = ("0123456789", "1234567890", "9876543210", "0987654321")
 SAMPLES = ("00000000", "11111111", "22222222", "12345678", "87654321", "0000000", "1234567")
@@ -32,16 +33,16 @@ LONG_RUNS = ("0123456789", "9876543210", "12345678", "87654321")
 
 
 @dataclass(frozen=True)
-class NumberingPlan:
-    """What a country's numbers look like: country code, area codes with their regions, second digits of mobile numbers, service numbers."""
+class PhonePlan:
+    """What a country's phones look like: country code, area codes with their regions, second digits of mobile phones, service phones."""
 
     country: str = "98"
     areas: tuple[str, ...] = tuple(AREA_CODES)
     mobile_second: str = MOBILE_SECOND
-    service: tuple[str, ...] = tuple(SERVICE_NUMBERS)
+    service: tuple[str, ...] = tuple(SERVICE_LINES)
 
 
-PLAN = NumberingPlan()
+PLAN = PhonePlan()
 _SEPARATORS = r"(?U)[\s\-\.\(\)\[\]\x{200c}\x{a0}_]+"
 
 
@@ -54,7 +55,7 @@ def _bare(national: Column) -> Column:
 
 
 def fake_signals(national) -> Column:
-    """Codes of hard signs that a number is made up; of an all-zero or empty one just ``empty``."""
+    """Codes of hard signs that a phone is made up; of an all-zero or empty one just ``empty``."""
     return let(_bare(_c(national)), _fake_signals)
 
 
@@ -73,7 +74,7 @@ def _fake_signals(d: Column) -> Column:
 
 
 def is_synthetic(national) -> Column:
-    """Numbers of the block that test corpora use: the last seven digits begin with 000."""
+    """Phones of the block that test corpora use: the last seven digits begin with 000."""
     d = _bare(_c(national))
     return (F.length(d) >= 9) & F.startswith(F.right(d, F.lit(7)), F.lit("000"))
 
@@ -93,8 +94,8 @@ def _soft_signals(d: Column) -> Column:
     return F.array_compact(signals)
 
 
-def parse_phone(raw, plan: NumberingPlan = PLAN) -> Column:
-    """struct(national, e164, type, area_code, subscriber, valid, reason, signals) of one written number, null if it is none."""
+def parse_phone(raw, plan: PhonePlan = PLAN) -> Column:
+    """struct(national, e164, type, area_code, subscriber, valid, reason, signals) of one written phone, null if it is none."""
     text = F.coalesce(_c(raw), F.lit(""))
     both = F.struct(F.regexp_replace(clean(text), r"^\++", "").alias("c"), F.contains(text, F.lit("+")).alias("plus"))
     rest = let(both, lambda x: F.when(x["c"] != "", _without_prefix(x["c"], x["plus"], plan.country)))
@@ -110,7 +111,7 @@ def _without_prefix(c: Column, plus: Column, cc: str) -> Column:
     )
 
 
-def _classified(rest: Column, plan: NumberingPlan) -> Column:
+def _classified(rest: Column, plan: PhonePlan) -> Column:
     cc = plan.country
     n, national = F.length(rest), F.concat(F.lit("0"), rest)
     e164 = F.concat(F.lit("+" + cc), rest)
@@ -138,8 +139,8 @@ def _classified(rest: Column, plan: NumberingPlan) -> Column:
     return out
 
 
-def resolve_local(local, area, plan: NumberingPlan = PLAN) -> Column:
-    """struct(national, e164, area_code, subscriber) of a 7- or 8-digit number with the area it is in; null if either is odd."""
+def resolve_local(local, area, plan: PhonePlan = PLAN) -> Column:
+    """struct(national, e164, area_code, subscriber) of a 7- or 8-digit phone with the area it is in; null if either is odd."""
     d, a = _c(local), F.coalesce(_c(area), F.lit(""))
     a = F.when(a.startswith("0"), a).otherwise(F.concat(F.lit("0"), a))
     national = F.concat(a, d)
@@ -148,7 +149,7 @@ def resolve_local(local, area, plan: NumberingPlan = PLAN) -> Column:
 
 
 def phone_quality(parsed, expected_area=None, inferred=None) -> Column:
-    """0 to 1: how sound a parsed number is; a null parse is 0."""
+    """0 to 1: how sound a parsed phone is; a null parse is 0."""
     area, local = (F.lit(None).cast("string") if expected_area is None else _c(expected_area)), (F.lit(False) if inferred is None else _c(inferred))
     return let(F.struct(_c(parsed).alias("p"), area.alias("area"), local.alias("local")), lambda x: _quality(x["p"], x["area"], x["local"]))
 
@@ -161,7 +162,7 @@ def _quality(p: Column, area: Column, local: Column) -> Column:
     return F.when(p.isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), q)))
 
 
-def is_service_number(national, plan: NumberingPlan = PLAN) -> Column:
+def is_service_line(national, plan: PhonePlan = PLAN) -> Column:
     d = _bare(_c(national))
     out = d.isin(*plan.service)
     for x in SERVICE_PREFIXES:
@@ -169,7 +170,7 @@ def is_service_number(national, plan: NumberingPlan = PLAN) -> Column:
     return out
 
 
-def is_mobile_prefix_known(national, plan: NumberingPlan = PLAN) -> Column:
+def is_mobile_prefix_known(national, plan: PhonePlan = PLAN) -> Column:
     return _c(national).rlike(f"^09[{plan.mobile_second}][0-9]{{8}}$")
 
 
@@ -185,13 +186,13 @@ def comparable_key(national) -> Column:
 
 
 def phone_tokens(text) -> Column:
-    """Number-like runs of a text; the simple, native form without regard to what stands around them."""
+    """Phone-like runs of a text; the simple, native form without regard to what stands around them."""
     return F.regexp_extract_all(to_ascii_digits(F.coalesce(_c(text), F.lit(""))), F.lit(r"[+0-9][0-9\s\-\x{200c}.()]{5,22}[0-9]"), F.lit(0))
 
 
-# What follows depends on the place of a number in its text, so it runs in Python over Arrow batches.
+# What follows depends on the place of a phone in its text, so it runs in Python over Arrow batches.
 _TOKEN = re.compile(r"[+0-9][0-9\s\-‌\.\(\)]{5,22}[0-9]")
-# Labels before numbers that are no phones, and those before phones.
+# Labels before phones that are no phones, and those before phones.
 _OTHER_LABEL = re.compile(
     r"کد\s*ملی|کدملی|کد\s*پستی|کدپستی|شماره\s*کارت|شماره\s*حساب|شبا|شناسه\s*ملی|سریال|شماره\s*سند|شماره\s*فاکتور|شماره\s*پلاک|پلاک\s*خودرو|کد\s*اقتصادی|"
     r"کد\s*رهگیری|بارکد|کد\s*کالا|شماره\s*قرارداد|مبلغ|قیمت|تومان|ریال|درصد|سال\s*|تاریخ|کد\s*شناسه|کد\s*بورس|شماره\s*چک|شماره\s*بارنامه",
@@ -204,7 +205,7 @@ _TO_ASCII = {ord(a): str(k) for digits in (PERSIAN_DIGITS, ARABIC_DIGITS) for k,
 
 
 def _pieces(text: str) -> Iterator[tuple[str, int, int]]:
-    """Numbers of a text with their places: a run is cut at line ends, and where a whole number follows one of eight digits."""
+    """Phones of a text with their places: a run is cut at line ends, and where a whole phone follows one of eight digits."""
     for m in _TOKEN.finditer(text):
         at = m.start()
         for line in re.split(r"([\n\r]+)", m[0]):
@@ -227,7 +228,7 @@ PLACED = "array<struct<raw: string, start: int, stop: int, labelled: boolean, ph
 
 
 def placed_tokens(text) -> Column:
-    """Numbers of a text with their places and what the words around them say; parsing and judging stay columns."""
+    """Phones of a text with their places and what the words around them say; parsing and judging stay columns."""
 
     @F.pandas_udf(PLACED)
     def run(batch: pd.Series) -> pd.Series:
@@ -247,8 +248,8 @@ def placed_tokens(text) -> Column:
     return run(_c(text))
 
 
-def find_phones(df, text: str, key: str, area: str | None = None, plan: NumberingPlan = PLAN, most: int | None = None):
-    """(key, e164, ...): the phones in a text column, one row per number and text, the first ``most`` of each by place if that is given; and why others were rejected.
+def find_phones(df, text: str, key: str, area: str | None = None, plan: PhonePlan = PLAN, most: int | None = None):
+    """(key, e164, ...): the phones in a text column, one row per phone and text, the first ``most`` of each by place if that is given; and why others were rejected.
 
     A row has ``reason`` null if it is a phone. Tokens are found in Python, parsed and judged by columns.
     """
@@ -264,7 +265,7 @@ def find_phones(df, text: str, key: str, area: str | None = None, plan: Numberin
     reason = (
         F.when(F.col("labelled"), "label")
         .when(F.length("digits") > 14, "too long")
-        .when(F.col("parsed").isNull(), "no number")
+        .when(F.col("parsed").isNull(), "no phone")
         .when(F.col("is_local") & F.col("local").isNull(), "local without area")
         .when(~F.col("is_local") & ~F.col("parsed.valid"), F.col("parsed.reason"))
         .when(~F.col("is_local") & bare, "bare ten digits")
@@ -285,14 +286,14 @@ def find_phones(df, text: str, key: str, area: str | None = None, plan: Numberin
     return kept.unionByName(lost)
 
 
-def find_phones_in_html(df, html: str, key: str, area: str | None = None, plan: NumberingPlan = PLAN, most: int | None = None):
-    """(key, e164, kind, quality) of a page: telephone links first (a tenth better), then messenger links (mobile numbers only), then its text."""
+def find_phones_in_html(df, html: str, key: str, area: str | None = None, plan: PhonePlan = PLAN, most: int | None = None):
+    """(key, e164, kind, quality) of a page: telephone links first (a tenth better), then messenger links (mobile phones only), then its text."""
     from quarryline.functions.text import strip_html
-    from quarryline.functions.urls import tel_link_numbers
+    from quarryline.functions.urls import tel_link_targets
 
     messenger = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"(?i)(?:wa\.me/|api\.whatsapp\.com/send\?phone=|whatsapp://send\?phone=)(\+?[0-9]{8,15})"), F.lit(1))
-    tagged = lambda numbers, turn, kind: F.transform(numbers, lambda x: F.struct(F.lit(turn).alias("turn"), F.lit(kind).alias("kind"), x.alias("raw")))
-    linked = df.select(key, F.explode(F.concat(tagged(tel_link_numbers(html), 0, "tel_link"), tagged(messenger, 1, "whatsapp"))).alias("n")).select(key, "n.*").withColumn("p", parse_phone("raw", plan))
+    tagged = lambda listed, turn, kind: F.transform(listed, lambda x: F.struct(F.lit(turn).alias("turn"), F.lit(kind).alias("kind"), x.alias("raw")))
+    linked = df.select(key, F.explode(F.concat(tagged(tel_link_targets(html), 0, "tel_link"), tagged(messenger, 1, "whatsapp"))).alias("n")).select(key, "n.*").withColumn("p", parse_phone("raw", plan))
     linked = linked.where("p.valid and p.e164 <> '' and p.type <> 'SERVICE' and (kind <> 'whatsapp' or p.type = 'MOBILE')")
     linked = linked.select(key, "turn", "kind", F.col("p.e164").alias("e164"), F.least(F.lit(1.0), phone_quality("p") + F.when(F.col("turn") == 0, 0.1).otherwise(0.0)).alias("quality"))
     plain = df.select(key, *([area] if area else []), strip_html(html).alias("__text"))

@@ -57,7 +57,7 @@ def token_set_ratio(a, b) -> Column:
 
 
 def distinctive_tokens(name, generic: tuple[str, ...] = tuple(GENERIC_TOKENS)) -> Column:
-    """Words of a name of three characters at least that aren't numbers or general words."""
+    """Words of a name of three characters at least that aren't digits or general words."""
     words = F.split(F.lower(normalize_fa(name, "remove")), "(?U)[\\s\u200c\u200f\\-_.،,()/\\\\]+")
     kept = F.filter(words, lambda w: (F.length(w) >= 3) & ~w.rlike("^[0-9]+$"))
     return F.array_distinct(F.array_except(kept, F.array(*map(F.lit, generic))))

@@ -45,7 +45,7 @@ def url_hash_key(url) -> Column:
     return F.sha1(F.lower(F.btrim(F.coalesce(_c(url), F.lit("")))))
 
 
-def tel_link_numbers(html) -> Column:
+def tel_link_targets(html) -> Column:
     """Targets of telephone links, unquoted."""
     found = F.regexp_extract_all(F.coalesce(_c(html), F.lit("")), F.lit(r"(?i)href\s*=\s*[\"']\s*tel:([^\"']+)"), F.lit(1))
     return F.transform(found, lambda x: F.try_url_decode(F.replace(F.btrim(x), F.lit("+"), F.lit("%2B"))))

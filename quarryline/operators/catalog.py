@@ -102,7 +102,7 @@ def count(tables: dict[str, DataFrame], f: BusinessFilter) -> DataFrame:
 def children(df: DataFrame, key: str, name: str, order: list[Column], fields: list[str], most: int | None = None) -> DataFrame:
     """(key, name): the rows of each key as an array of structs in an order; the order's columns are compared first to last.
 
-    ``most`` keeps the first so many: where an order is by rows, a window numbers them before they are gathered, so an array
+    ``most`` keeps the first so many: where an order is by rows, a window ranks them before they are gathered, so an array
     never holds more than that.
     """
     from pyspark.sql import Window as W
@@ -152,7 +152,7 @@ def details(tables: dict[str, DataFrame], kept: DataFrame | None = None) -> Data
 
 
 def source_usage(sources: DataFrame, observations: DataFrame) -> DataFrame:
-    """Sources with the number of their observations, 0 for none; counted before the join, so that only counts are shuffled."""
+    """Sources with the count of their observations, 0 for none; counted before the join, so that only counts are shuffled."""
     n = observations.groupBy("source_id").agg(F.count("*").alias("observations"))
     return sources.join(n.withColumnRenamed("source_id", "id"), "id", "left").fillna(0, ["observations"])
 

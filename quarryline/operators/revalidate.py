@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions.confidence import rank, score_confidence, status
-from quarryline.functions.phones import PLAN, NumberingPlan, parse_phone, phone_quality
+from quarryline.functions.phones import PLAN, PhonePlan, parse_phone, phone_quality
 from quarryline.operators.catalog import due
 from quarryline.operators.stats import best_of, evidence_rollup
 from quarryline.session import Settings
@@ -17,7 +17,7 @@ def due_phones(phones: DataFrame, as_of: Column, most: int | None = None) -> Dat
     return out.orderBy(F.desc("confidence"), "id").limit(most) if most else out
 
 
-def evaluate_pairs(pairs: DataFrame, observations: DataFrame, businesses: DataFrame, as_of: Column, plan: NumberingPlan = PLAN, settings: Settings = Settings()) -> DataFrame:
+def evaluate_pairs(pairs: DataFrame, observations: DataFrame, businesses: DataFrame, as_of: Column, plan: PhonePlan = PLAN, settings: Settings = Settings()) -> DataFrame:
     """``pairs(business_id, phone_id, link_id, e164, national, is_synthetic)`` with total, band, components, penalties, new_status.
 
     The evidence of a pair is what was seen of its phone, else all that was seen of the business.

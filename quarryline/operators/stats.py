@@ -58,7 +58,7 @@ def having_shared(df: DataFrame, key: str, value: str, least: int = 2) -> DataFr
 
 
 def evidence_rollup(observations: DataFrame, *keys: str) -> DataFrame:
-    """What confidence scores need of the observations of a pair: reliabilities, domains, number, newest, any spam."""
+    """What confidence scores need of the observations of a pair: reliabilities, domains, count, newest, any spam."""
     one = observations.groupBy(*keys, "source_reliability").agg(
         F.count("*").alias("k"), F.max("observed_at").alias("newest"), F.max((F.col("status") == "SPAM").cast("int")).alias("spam")
     )

@@ -121,8 +121,12 @@ def identify(candidates: DataFrame, known: DataFrame, known_phones: DataFrame) -
 
 
 def fold_businesses(candidates: DataFrame) -> DataFrame:
-    """A row per business_id: the first value of each attribute, united categories and links, best relevance, states of the fields."""
+    """A row per business_id: the first value of each attribute, united categories and links, best relevance, states of the fields.
+
+    ``fp``, what ``identify`` looked a candidate up by, is kept, so that the next run finds the business by it.
+    """
     text = ["name", "owner_name", "address", "province", "county", "city", "website", "domain", "description", "business_type"]
+    text += ["fp"] if "fp" in candidates.columns else []
     one = first_values(candidates, "business_id", ["arrival", "cid"], text)
     more = candidates.groupBy("business_id").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("categories")))).alias("categories"), F.max("relevance").alias("relevance"), F.min("location_confidence").alias("location_confidence"), F.count("*").alias("seen")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarryline.functions import pages as pages_of
 from quarryline.functions.fingerprint import business_fingerprint, observation_fingerprint
 from quarryline.functions.lexicon import DEFAULT, Lexicon
-from quarryline.functions.phones import PLAN, NumberingPlan, is_synthetic, parse_phone
+from quarryline.functions.phones import PLAN, PhonePlan, is_synthetic, parse_phone
 from quarryline.functions.relevance import score_relevance, spam_flags
 from quarryline.functions.text import name_key
 from quarryline.functions.urls import domain_of, url_hash_key
@@ -27,7 +27,7 @@ class Outcome:
     fates: DataFrame
 
 
-def candidates(fetched: DataFrame, lexicon: Lexicon = DEFAULT, plan: NumberingPlan = PLAN) -> DataFrame:
+def candidates(fetched: DataFrame, lexicon: Lexicon = DEFAULT, plan: PhonePlan = PLAN) -> DataFrame:
     """Scored candidates of ``fetched(url, html, source_id, reliability, city, province, arrival)``; the place is the query's if a page names none."""
     found = pages_of.extract(fetched.select("url", "html"), plan=plan).withColumnRenamed("city", "named_city")
     rows = found.join(fetched.drop("html"), "url").withColumns({"city": F.coalesce("named_city", "city"), "location_confidence": F.when(F.col("named_city").isNotNull(), 80).otherwise(40)})
@@ -37,7 +37,7 @@ def candidates(fetched: DataFrame, lexicon: Lexicon = DEFAULT, plan: NumberingPl
     return rows.withColumns({"is_spam": F.size(flags) > 0, "domain": domain_of("website"), "categories": F.array_compact(F.array("category")), "business_type": F.col("role")})
 
 
-def run(tables: dict[str, DataFrame], fetched: DataFrame, as_of: Column, lexicon: Lexicon = DEFAULT, plan: NumberingPlan = PLAN, settings: Settings = Settings()) -> Outcome:
+def run(tables: dict[str, DataFrame], fetched: DataFrame, as_of: Column, lexicon: Lexicon = DEFAULT, plan: PhonePlan = PLAN, settings: Settings = Settings()) -> Outcome:
     """One batch of pages folded in; the same batch again changes no counts.
 
     Spam is dropped, what isn't relevant leaves evidence without a business, what has neither phone nor website is skipped.
@@ -47,11 +47,11 @@ def run(tables: dict[str, DataFrame], fetched: DataFrame, as_of: Column, lexicon
     links = tables["business_phones"].join(tables["phones"].select(F.col("id").alias("phone_id"), "e164"), "phone_id").select(F.col("business_id").alias("id"), "e164")
     known = tables["businesses"].where("status <> 'MERGED'").select("id", "fingerprint", "name", F.col("city_name").alias("city"))
     named = cut(upsert.identify(kept, known, links), "identified")
-    numbers = named.select("business_id", "cid", "arrival", F.explode("phones").alias("e164")).withColumn("p", parse_phone("e164", plan))
-    seen = numbers.select("e164", "p.national", "p.type", "p.area_code", "p.subscriber", is_synthetic(F.col("p.national")).alias("is_synthetic"))
+    listed = named.select("business_id", "cid", "arrival", F.explode("phones").alias("e164")).withColumn("p", parse_phone("e164", plan))
+    seen = listed.select("e164", "p.national", "p.type", "p.area_code", "p.subscriber", is_synthetic(F.col("p.national")).alias("is_synthetic"))
     phones = cut(upsert.upsert_phones(tables["phones"], seen, as_of), "phones")
     ids = phones.select("e164", F.col("id").alias("phone_id"))
-    arrived = numbers.join(ids, "e164").select("business_id", "phone_id", F.lit("main").alias("label"), "arrival")
+    arrived = listed.join(ids, "e164").select("business_id", "phone_id", F.lit("main").alias("label"), "arrival")
     out = dict(tables) | {"phones": phones, "business_phones": cut(upsert.link_phones(tables["business_phones"], arrived, as_of), "links")}
     out["businesses"] = cut(_businesses(tables["businesses"], upsert.fold_businesses(named.withColumn("county", F.lit(None).cast("string")).withColumn("description", F.lit(None).cast("string"))), as_of), "businesses")
     evidence = gated.where("fate in ('keep', 'evidence')").withColumn("e164", F.explode_outer("phones")).join(named.select("cid", "business_id"), "cid", "left").join(ids, "e164", "left")
@@ -70,12 +70,12 @@ def run(tables: dict[str, DataFrame], fetched: DataFrame, as_of: Column, lexicon
 def _businesses(old: DataFrame, folded: DataFrame, as_of: Column) -> DataFrame:
     new = folded.select(
         F.col("business_id").alias("id"), "name", name_key("name").alias("name_key"), "owner_name", "address", F.col("province").alias("province_name"), F.col("county").alias("county_name"),
-        F.col("city").alias("city_name"), "website", "domain", "business_type", "categories", F.get("categories", F.lit(0)).alias("primary_category"), F.col("relevance").alias("relevance_score"), "field_status", "description",
+        F.col("city").alias("city_name"), "website", "domain", "business_type", "categories", F.get("categories", F.lit(0)).alias("primary_category"), F.col("relevance").alias("relevance_score"), "field_status", "description", F.col("fp").alias("fingerprint"),
     )
     first = lambda c: F.coalesce(F.nullif(F.col(f"o_{c}"), F.lit("NOT_FOUND")), F.col(f"n_{c}"))
     rules = {c: first(c) for c in ("name", "name_key", "owner_name", "address", "province_name", "county_name", "city_name", "website", "domain", "business_type", "primary_category", "description")}
     rules |= {
-        "fingerprint": F.coalesce("o_fingerprint", business_fingerprint("n_name", "n_city_name", "n_website", F.lit(None).cast("string"))), "categories": F.array_sort(F.array_distinct(F.concat(F.coalesce("o_categories", F.array().cast("array<string>")), F.coalesce("n_categories", F.array().cast("array<string>"))))),
+        "fingerprint": F.coalesce("o_fingerprint", "n_fingerprint"), "categories": F.array_sort(F.array_distinct(F.concat(F.coalesce("o_categories", F.array().cast("array<string>")), F.coalesce("n_categories", F.array().cast("array<string>"))))),
         "relevance_score": F.greatest("o_relevance_score", "n_relevance_score"), "field_status": F.coalesce("o_field_status", "n_field_status"), "status": F.coalesce("o_status", F.lit("ACTIVE")),
         "is_synthetic": F.coalesce("o_is_synthetic", F.lit(False)), "confidence": F.coalesce("o_confidence", F.lit(0)), "confidence_band": F.coalesce("o_confidence_band", F.lit("INVALID")),
         "discovered_at": F.coalesce("o_discovered_at", as_of), "last_seen_at": F.when(F.col("__n"), as_of).otherwise(F.col("o_last_seen_at")), "created_at": F.coalesce("o_created_at", as_of), "updated_at": F.when(F.col("__n"), as_of).otherwise(F.col("o_updated_at")),

@@ -18,12 +18,12 @@ AS_OF = "TIMESTAMP '1998-01-01 00:00:00'"
 TOKEN = r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
 
 
-@query(rf"""SELECT regexp_replace(x, '[^0-9]', '', 'g') AS number, count(DISTINCT doc_id) AS n_docs, count(*) AS n_seen
+@query(rf"""SELECT regexp_replace(x, '[^0-9]', '', 'g') AS phone, count(DISTINCT doc_id) AS n_docs, count(*) AS n_seen
 FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{TOKEN}')) AS x FROM documents) GROUP BY 1""")
 def phone_directory(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("x"))
-    return rows.groupBy(text.digits_only("x").alias("number")).agg(F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n_seen"))
+    return rows.groupBy(text.digits_only("x").alias("phone")).agg(F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n_seen"))
 
 
 @query(r"""SELECT doc_id, regexp_replace(x, '[^0-9]', '', 'g') AS digits, count(*) AS n
@@ -34,22 +34,22 @@ def phone_tokens(spark, sf_dir):
     return rows.groupBy("doc_id", text.digits_only("x").alias("digits")).agg(F.count("*").alias("n"))
 
 
-_NUMBERS = "concat('0', CASE WHEN c_custkey % 3 = 0 THEN concat('9', lpad(CAST(c_custkey * 7919 % 1000000000 AS VARCHAR), 9, '0')) WHEN c_custkey % 3 = 1 THEN concat('21', lpad(CAST(c_custkey * 104729 % 100000000 AS VARCHAR), 8, '0')) ELSE lpad(CAST(c_custkey * 31 % 10000000 AS VARCHAR), 6 + CAST(c_custkey % 5 AS INT), '0') END)"
-_NUMBERS_SPARK = _NUMBERS.replace("VARCHAR", "STRING")
+_RAW_PHONES = "concat('0', CASE WHEN c_custkey % 3 = 0 THEN concat('9', lpad(CAST(c_custkey * 7919 % 1000000000 AS VARCHAR), 9, '0')) WHEN c_custkey % 3 = 1 THEN concat('21', lpad(CAST(c_custkey * 104729 % 100000000 AS VARCHAR), 8, '0')) ELSE lpad(CAST(c_custkey * 31 % 10000000 AS VARCHAR), 6 + CAST(c_custkey % 5 AS INT), '0') END)"
+_RAW_SPARK = _RAW_PHONES.replace("VARCHAR", "STRING")
 _AREAS = ", ".join(f"'{a}'" for a in phones.AREA_CODES)
 _PARSED_SQL = f"""
-raw AS (SELECT c_custkey, {_NUMBERS} AS raw FROM customer),
+raw AS (SELECT c_custkey, {_RAW_PHONES} AS raw FROM customer),
 r AS (SELECT c_custkey, raw, substr(raw, 2) AS rest FROM raw),
 p AS (SELECT c_custkey, raw, rest, CASE WHEN length(rest) = 10 AND rest LIKE '9%' THEN 'MOBILE'
   WHEN length(rest) IN (9, 10) AND '0' || substr(rest, 1, 2) IN ({_AREAS}) THEN 'LANDLINE' WHEN length(rest) IN (9, 10) THEN 'UNKNOWN'
-  WHEN length(rest) = 8 THEN 'LANDLINE' WHEN length(rest) <= 6 AND rest IN ({", ".join(f"'{x}'" for x in phones.SERVICE_NUMBERS)}) THEN 'SERVICE' ELSE 'UNKNOWN' END AS type,
+  WHEN length(rest) = 8 THEN 'LANDLINE' WHEN length(rest) <= 6 AND rest IN ({", ".join(f"'{x}'" for x in phones.SERVICE_LINES)}) THEN 'SERVICE' ELSE 'UNKNOWN' END AS type,
   CASE WHEN length(rest) = 10 AND rest LIKE '9%' THEN substr(rest, 2, 1) IN ('0', '1', '2', '3', '9')
   WHEN length(rest) IN (9, 10) THEN '0' || substr(rest, 1, 2) IN ({_AREAS}) ELSE false END AS valid FROM r)"""
 
 
 @query(f"WITH {_PARSED_SQL} SELECT type, valid, count(*) AS n, min(raw) AS least, max(raw) AS most FROM p GROUP BY type, valid")
 def phone_parse_classes(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_NUMBERS_SPARK).alias("raw"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_RAW_SPARK).alias("raw"))
     return rows.withColumn("p", phones.parse_phone("raw")).groupBy("p.type", "p.valid").agg(F.count("*").alias("n"), F.min("raw").alias("least"), F.max("raw").alias("most"))
 
 
@@ -59,7 +59,7 @@ SELECT c_custkey, raw AS national, len(list_distinct(string_split(d, ''))) AS ki
   (len(list_distinct(string_split(d, ''))) <= 2 AND length(d) >= 8) OR regexp_matches(d, '0{{5}}|1{{5}}|2{{5}}|3{{5}}|4{{5}}|5{{5}}|6{{5}}|7{{5}}|8{{5}}|9{{5}}') AS is_fake,
   length(d) >= 9 AND substr(d, -7) LIKE '000%' AS is_synthetic FROM d""")
 def phone_signals(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_NUMBERS_SPARK).alias("raw")).withColumn("p", phones.parse_phone("raw"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_RAW_SPARK).alias("raw")).withColumn("p", phones.parse_phone("raw"))
     d = F.ltrim("raw", F.lit("0"))
     return rows.where("p.type = 'MOBILE'").select(
         "c_custkey", F.col("raw").alias("national"), F.size(F.array_distinct(F.split(d, ""))).cast("bigint").alias("kinds"),
@@ -70,7 +70,7 @@ def phone_signals(spark, sf_dir):
 @query(f"""WITH {_PARSED_SQL} SELECT c_custkey, type, greatest(0.0, least(1.0, round(1.0 - CASE WHEN valid THEN 0 ELSE 0.55 END - CASE WHEN type = 'UNKNOWN' THEN 0.35 ELSE 0 END
  - CASE WHEN type = 'SERVICE' THEN 0.8 ELSE 0 END, 2)))::DOUBLE AS base_quality FROM p""")
 def phone_quality(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_NUMBERS_SPARK).alias("raw")).withColumn("p", phones.parse_phone("raw"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_RAW_SPARK).alias("raw")).withColumn("p", phones.parse_phone("raw"))
     unsigned = F.struct(F.lit("").alias("national"), F.col("p.type"), F.col("p.area_code"), F.col("p.valid"), F.array().cast("array<string>").alias("signals"))
     return rows.select("c_custkey", "p.type", F.round(phones.phone_quality(unsigned), 2).alias("base_quality"))
 

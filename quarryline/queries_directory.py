@@ -13,7 +13,9 @@ from quarryline.plans import jobs, planner, queue
 from quarryline.registry import query, table
 from quarryline.sources import export, politeness, search
 
-_NOW = F.expr(f"TIMESTAMP_NTZ {NOW}")
+def _now():
+    return F.expr(f"TIMESTAMP_NTZ {NOW}")
+
 _LISTED = "NOT is_synthetic AND status IN ('ACTIVE', 'QUARANTINED')"
 
 # ---- lists, pages and details
@@ -155,7 +157,7 @@ def businesses_without_evidence(spark, sf_dir):
  (SELECT count(*) FROM phones) AS phones_total, (SELECT count(*) FROM phones WHERE next_check_at IS NULL OR next_check_at <= TIMESTAMP {NOW}) AS phones_due FROM businesses""")
 def dashboard_totals(spark, sf_dir):
     t = directory(spark, sf_dir, "businesses", "phones")
-    return stats.dashboard(t["businesses"], t["phones"], _NOW)
+    return stats.dashboard(t["businesses"], t["phones"], _now())
 
 
 @query(f"""WITH {ctes("source_observations")} SELECT business_id, phone_id, round(sum(source_reliability), 4) AS sum_reliability, max(source_reliability) AS max_reliability, count(*) AS observations, max(observed_at) AS newest,
@@ -193,7 +195,7 @@ UNION ALL SELECT 'status', status, count(*) FROM b GROUP BY 2 UNION ALL SELECT '
 UNION ALL SELECT 'phone_type', type, count(*) FROM phones GROUP BY 2""")
 def full_statistics(spark, sf_dir):
     t = directory(spark, sf_dir, "businesses", "phones", "source_observations")
-    return stats.full_stats(t["businesses"], t["phones"], t["source_observations"], _NOW)
+    return stats.full_stats(t["businesses"], t["phones"], t["source_observations"], _now())
 
 
 # ---- writes
@@ -215,7 +217,7 @@ def upserted_phones(spark, sf_dir):
     old = directory(spark, sf_dir, "phones")["phones"]
     old = old.groupBy("e164").agg(F.min_by(F.struct(*[c for c in old.columns if c != "e164"]), "id").alias("x")).select("e164", "x.*")
     seen = spark.sql(_seen(f"parquet.`{sf_dir}/customer.parquet`", 500))
-    new = upsert.upsert_phones(old, seen, _NOW)
+    new = upsert.upsert_phones(old, seen, _now())
     both = new.join(old.select("e164", F.col("last_seen_at").alias("was")), "e164", "left")
     return both.select("e164", "type", "status", "confidence", F.col("was").isNull().alias("added"), F.coalesce((F.col("was") != F.col("last_seen_at")), F.lit(False)).alias("seen_again"))
 
@@ -226,7 +228,7 @@ FROM source_observations o FULL JOIN arrived a ON a.dedupe_hash = o.dedupe_hash"
 def inserted_observations(spark, sf_dir):
     old = directory(spark, sf_dir, "source_observations")["source_observations"].select("dedupe_hash", "page_title", "observed_at")
     o = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").selectExpr("concat('h', o_orderkey * 2) AS dedupe_hash", "concat('New ', o_orderkey) AS page_title", "o_orderdate AS observed_at")
-    return upsert.insert_observations(old, o.unionByName(o.where("page_title < 'New 3'")), _NOW)
+    return upsert.insert_observations(old, o.unionByName(o.where("page_title < 'New 3'")), _now())
 
 
 @query(f"""WITH {ctes("business_phones")}, arrived AS (SELECT o_custkey AS business_id, o_orderkey % 40 AS phone_id, o_orderkey AS arrival FROM orders),
@@ -236,8 +238,8 @@ SELECT business_id, phone_id, is_primary, false AS seen_now FROM made UNION ALL
 def linked_phones(spark, sf_dir):
     links = directory(spark, sf_dir, "business_phones")["business_phones"]
     arrived = table(spark, sf_dir, "orders").selectExpr("o_custkey AS business_id", "o_orderkey % 40 AS phone_id", "'main' AS label", "o_orderkey AS arrival")
-    new = upsert.link_phones(links, arrived, _NOW)
-    return new.select("business_id", "phone_id", "is_primary", ((F.col("last_seen_at") == _NOW) & (F.col("first_seen_at") != _NOW)).alias("seen_now"))
+    new = upsert.link_phones(links, arrived, _now())
+    return new.select("business_id", "phone_id", "is_primary", ((F.col("last_seen_at") == _now()) & (F.col("first_seen_at") != _now())).alias("seen_now"))
 
 
 @query(f"""WITH {ctes("businesses")}, g AS (SELECT c_custkey AS cid, c_custkey % 23 = 0 AS is_spam, CAST(c_custkey % 60 AS INT) AS relevance, c_custkey % 5 = 0 AS no_phone, c_custkey % 2 = 0 AS no_site FROM customer)
@@ -302,12 +304,12 @@ def purged_tables(spark, sf_dir):
 
 @query(f"WITH {ctes('phones')}, top AS (SELECT id FROM phones ORDER BY confidence DESC, id LIMIT 25) SELECT id, CASE WHEN id IN (SELECT id FROM top) THEN TIMESTAMP {NOW} ELSE next_check_at END AS next_check_at FROM phones")
 def expired_phones(spark, sf_dir):
-    return upsert.expire(directory(spark, sf_dir, "phones")["phones"], 25, _NOW).select("id", "next_check_at")
+    return upsert.expire(directory(spark, sf_dir, "phones")["phones"], 25, _now()).select("id", "next_check_at")
 
 
 @query(f"WITH {ctes('phones')} SELECT id FROM phones WHERE next_check_at IS NULL OR next_check_at <= TIMESTAMP {NOW} ORDER BY confidence DESC, id LIMIT 70")
 def due_phones(spark, sf_dir):
-    return revalidate.due_phones(directory(spark, sf_dir, "phones")["phones"], _NOW, 70).select("id")
+    return revalidate.due_phones(directory(spark, sf_dir, "phones")["phones"], _now(), 70).select("id")
 
 
 @query(f"""WITH {ctes("businesses", "business_phones", "source_observations")}, m AS (SELECT id, id - id % 3 AS canonical FROM businesses), l AS (SELECT l.id, coalesce(m.canonical, l.business_id) AS business_id, l.phone_id FROM business_phones l LEFT JOIN m ON m.id = l.business_id)
@@ -341,7 +343,7 @@ def duplicate_log(spark, sf_dir):
     none = F.lit(None).cast("string")
     rows = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "concat('shop ', s_suppkey % 40) AS name", "concat('town ', s_nationkey % 3) AS city", "s_suppkey * 7919 % 101 AS confidence", "1 AS completeness")
     rows = rows.withColumns({"address": none, "domain": none, "phones": F.array().cast("array<string>")})
-    return dedup.duplicate_log(rows, _NOW).select("canonical_id", "merged_id", "score")
+    return dedup.duplicate_log(rows, _now()).select("canonical_id", "merged_id", "score")
 
 
 # ---- planning, queue and jobs
@@ -358,7 +360,7 @@ FROM old FULL JOIN runs USING (source_key, query_hash)""")
 def finalised_ledger(spark, sf_dir):
     source = f"parquet.`{sf_dir}/orders.parquet`"
     old, runs = (spark.sql(f"WITH {x.format(orders=source)} SELECT * FROM {n}") for x, n in ((_OLD, "old"), (_RUNS, "runs")))
-    return planner.finalise(old, runs, _NOW).select("source_key", "query_hash", "state", "run_count", "failures", "depth", F.col("next_run_at").cast("timestamp_ntz").alias("next_run_at"))
+    return planner.finalise(old, runs, _now()).select("source_key", "query_hash", "state", "run_count", "failures", "depth", F.col("next_run_at").cast("timestamp_ntz").alias("next_run_at"))
 
 
 _QUEUE = """queue AS (SELECT event_id AS id, concat('k', CAST(event_id AS STRING)) AS dedupe_key, event_type AS kind, props AS payload, CAST(user_id % 3 AS INT) AS priority, CASE event_id % 5 WHEN 0 THEN 'DONE' WHEN 1 THEN 'LEASED' WHEN 2 THEN 'DEAD' ELSE 'QUEUED' END AS state,
@@ -374,25 +376,25 @@ SELECT coalesce(q.dedupe_key, a.dedupe_key) AS dedupe_key, CASE WHEN q.id IS NUL
  CASE WHEN q.id IS NULL OR (q.state = 'DEAD' AND a.dedupe_key IS NOT NULL) THEN 0 ELSE q.attempts END AS attempts FROM queue q FULL JOIN a ON a.dedupe_key = q.dedupe_key""")
 def enqueued_items(spark, sf_dir):
     arrived = table(spark, sf_dir, "events").selectExpr("concat('k', event_id * 2) AS dedupe_key", "event_type AS kind", "props AS payload", "1 AS priority")
-    return queue.enqueue(_queue(spark, sf_dir), arrived.unionByName(arrived), _NOW).select("dedupe_key", "state", "attempts")
+    return queue.enqueue(_queue(spark, sf_dir), arrived.unionByName(arrived), _now()).select("dedupe_key", "state", "attempts")
 
 
 @query(f"""WITH {_QUEUE.format(events="events")}, t AS (SELECT id FROM queue WHERE (state = 'QUEUED' AND available_at <= TIMESTAMP {NOW}) OR (state = 'LEASED' AND leased_until < TIMESTAMP {NOW}) ORDER BY priority, id LIMIT 80)
 SELECT id, CASE WHEN id IN (SELECT id FROM t) THEN 'LEASED' ELSE state END AS state, (attempts + CASE WHEN id IN (SELECT id FROM t) THEN 1 ELSE 0 END)::INT AS attempts, CASE WHEN id IN (SELECT id FROM t) THEN TIMESTAMP {NOW} + INTERVAL 300 SECOND ELSE leased_until END AS leased_until FROM queue""")
 def claimed_items(spark, sf_dir):
-    return queue.claim(_queue(spark, sf_dir), 80, _NOW)[1].select("id", "state", "attempts", "leased_until")
+    return queue.claim(_queue(spark, sf_dir), 80, _now())[1].select("id", "state", "attempts", "leased_until")
 
 
 @query(f"""WITH {_QUEUE.format(events="events")} SELECT id, CASE WHEN id % 3 = 2 THEN state WHEN id % 3 = 0 THEN 'DONE' WHEN attempts >= 3 THEN 'DEAD' ELSE 'QUEUED' END AS state,
  CASE WHEN id % 3 = 1 AND attempts < 3 THEN TIMESTAMP {NOW} + INTERVAL 1 SECOND * (30 * 2 ** (greatest(attempts, 1) - 1))::INT ELSE available_at END AS available_at FROM queue""")
 def settled_items(spark, sf_dir):
     outcomes = table(spark, sf_dir, "events").where("event_id % 3 < 2").selectExpr("event_id AS id", "event_id % 3 = 0 AS ok", "'why' AS message")
-    return queue.settle(_queue(spark, sf_dir), outcomes, _NOW).select("id", "state", F.col("available_at").cast("timestamp_ntz").alias("available_at"))
+    return queue.settle(_queue(spark, sf_dir), outcomes, _now()).select("id", "state", F.col("available_at").cast("timestamp_ntz").alias("available_at"))
 
 
 @query(f"""WITH {_QUEUE.format(events="events")} SELECT id, CASE WHEN state = 'LEASED' AND leased_until < TIMESTAMP {NOW} THEN 'QUEUED' ELSE state END AS state FROM queue WHERE NOT (state = 'DONE' AND updated_at < TIMESTAMP {NOW} - INTERVAL 48 HOUR)""")
 def released_items(spark, sf_dir):
-    return queue.purge_done(queue.release(_queue(spark, sf_dir), _NOW), _NOW).select("id", "state")
+    return queue.purge_done(queue.release(_queue(spark, sf_dir), _now()), _now()).select("id", "state")
 
 
 @query(f"WITH {_QUEUE.format(events='events')} SELECT id FROM queue WHERE state = 'DEAD' ORDER BY updated_at DESC, id DESC LIMIT 50")
@@ -508,7 +510,7 @@ def cached_answers(spark, sf_dir):
 
     e = table(spark, sf_dir, "events").withColumn("url", F.concat(F.lit("http://a.ir/"), F.col("event_id").cast("string")))
     cache = e.where("event_id % 3 = 0").select(url_hash_key("url").alias("url_hash"), F.when(F.col("event_id") % 2 == 0, 200).otherwise(404).alias("status"), F.lit("x").alias("body"), (F.col("ts") + F.expr("INTERVAL 150 DAYS")).alias("expires_at"))
-    return politeness.cache_read(e.select("url"), cache, _NOW).select("url", "ok")
+    return politeness.cache_read(e.select("url"), cache, _now()).select("url", "ok")
 
 
 @query(f"""SELECT concat('http://a.ir/', CAST(event_id AS VARCHAR)) AS url, event_id % 2 = 0 AS fresh FROM events WHERE event_id % 2 = 0 OR (event_id % 3 = 0 AND ts + INTERVAL 150 DAY >= TIMESTAMP {NOW})""")
@@ -520,7 +522,7 @@ def cache_after_writes(spark, sf_dir):
         url_hash_key("url").alias("url_hash"), "url", F.lit(200).alias("status"), F.lit("html").alias("content_type"), F.lit("old").alias("body"), F.col("ts").alias("fetched_at"), (F.col("ts") + F.expr("INTERVAL 150 DAYS")).alias("expires_at")
     )
     answers = e.where("event_id % 2 = 0").select("url", F.lit(200).alias("status"), F.lit("html").alias("content_type"), F.lit("new").alias("body"))
-    return politeness.cache_write(cache, answers.unionByName(answers), _NOW).select("url", (F.col("body") == "new").alias("fresh"))
+    return politeness.cache_write(cache, answers.unionByName(answers), _now()).select("url", (F.col("body") == "new").alias("fresh"))
 
 
 def _api_answers(spark, sf_dir):
@@ -619,7 +621,7 @@ def evaluated_pairs(spark, sf_dir):
     p = t["phones"].where("type <> 'UNKNOWN'").select(F.col("id").alias("phone_id"), "e164", "national", "is_synthetic")
     pairs = t["business_phones"].select("business_id", "phone_id", F.col("id").alias("link_id")).join(p, "phone_id")
     b = t["businesses"].select(F.col("id").alias("business_id"), "name", "address", "website", "owner_name", "city_name", F.lit("021").alias("area_code"), "business_type", "relevance_score")
-    got = revalidate.evaluate_pairs(pairs, t["source_observations"], b, _NOW)
+    got = revalidate.evaluate_pairs(pairs, t["source_observations"], b, _now())
     counted = F.filter("penalties", lambda x: ~x["code"].isin("FAKE", "AREA_MISMATCH"))
     return got.select("link_id", F.round("components.source", 6).alias("source"), "components.corroboration", "components.fields", F.aggregate(counted, F.lit(0), lambda a, x: a + x["amount"]).cast("bigint").alias("penalty"))
 
@@ -643,7 +645,7 @@ SELECT id, CASE WHEN take THEN total ELSE confidence END AS confidence, CASE WHE
  CASE WHEN total IS NOT NULL THEN TIMESTAMP {NOW} + INTERVAL 90 DAY ELSE next_check_at END AS next_check_at, (validation_count + CASE WHEN total IS NULL THEN 0 ELSE 1 END)::BIGINT AS validation_count FROM taken""")
 def revalidated_phones(spark, sf_dir):
     t = directory(spark, sf_dir, "business_phones", "phones")
-    return revalidate.apply_evaluations(t["phones"], _evaluated(t), _NOW)[0].select("id", "confidence", "confidence_band", "status", "next_check_at", "validation_count")
+    return revalidate.apply_evaluations(t["phones"], _evaluated(t), _now())[0].select("id", "confidence", "confidence_band", "status", "next_check_at", "validation_count")
 
 
 @query(f"""WITH {ctes("business_phones", "phones")}, {_EVALUATED.format(links="business_phones")}, {_BEST}, r(name, k) AS (VALUES ('INVALID', 0), ('LOW', 1), ('MEDIUM', 2), ('HIGH', 3), ('VERY_HIGH', 4)),
@@ -651,7 +653,7 @@ h AS (SELECT (SELECT k FROM r WHERE name = CASE WHEN take THEN band ELSE confide
 SELECT count(*) AS checked, count(*) FILTER (move > 0) AS upgraded, count(*) FILTER (move < 0) AS downgraded, count(*) FILTER (changed) AS changed FROM h""")
 def validation_transitions(spark, sf_dir):
     t = directory(spark, sf_dir, "business_phones", "phones")
-    return revalidate.transitions(revalidate.apply_evaluations(t["phones"], _evaluated(t), _NOW)[1])
+    return revalidate.transitions(revalidate.apply_evaluations(t["phones"], _evaluated(t), _now())[1])
 
 
 @query(f"""WITH {ctes("business_phones", "businesses", "source_observations")}, {_EVALUATED.format(links="business_phones")}, best AS (SELECT business_id, arg_max(total, (total, -link_id)) AS total FROM evaluated GROUP BY 1)
@@ -675,8 +677,8 @@ def _drained(frame, spark, label: str, mode: str):
 
     path, schema = shared_path(spark, label), frame.schema
 
-    def keep(batch, number):
-        batch.write.mode("overwrite").parquet(f"{path}/{0 if mode == 'complete' else number}")
+    def keep(batch, turn):
+        batch.write.mode("overwrite").parquet(f"{path}/{0 if mode == 'complete' else turn}")
 
     frame.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)

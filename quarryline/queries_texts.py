@@ -37,9 +37,9 @@ def suffixless_names(spark, sf_dir):
     return p.select("p_partkey", text.name_key("n").alias("key"))
 
 
-@query("SELECT p_partkey, trim(regexp_replace(substr(concat(p_name, ' number ', p_type, ' and more of it'), greatest(p_size - 10, 0) + 1, p_size + 2 + 10 - greatest(p_size - 10, 0)), '\\s+', ' ', 'g')) AS snippet FROM part")
+@query("SELECT p_partkey, trim(regexp_replace(substr(concat(p_name, ' counted ', p_type, ' and more of it'), greatest(p_size - 10, 0) + 1, p_size + 2 + 10 - greatest(p_size - 10, 0)), '\\s+', ' ', 'g')) AS snippet FROM part")
 def snippets(spark, sf_dir):
-    p = table(spark, sf_dir, "part").selectExpr("p_partkey", "concat(p_name, ' number ', p_type, ' and more of it') AS t", "p_size AS a", "p_size + 2 AS b")
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey", "concat(p_name, ' counted ', p_type, ' and more of it') AS t", "p_size AS a", "p_size + 2 AS b")
     return p.select("p_partkey", text.snippet_around("t", "a", "b", 10).alias("snippet"))
 
 
@@ -131,7 +131,7 @@ def url_functions(spark, sf_dir):
         "CASE page_id % 4 WHEN 0 THEN concat('x', page_id) WHEN 1 THEN concat('/y', page_id) WHEN 2 THEN concat('//c.ir/', page_id) ELSE 'javascript:x' END AS h",
         "concat('<a href=\"tel:%2B98912000', lpad(page_id, 4, '0'), '\">call</a>') AS t",
     )
-    return p.select("page_id", urls.is_generic_host("d").alias("generic"), urls.is_probably_html("k", "b").alias("html"), urls.absolute_url(F.lit("http://a.ir/d/z"), "h").alias("absolute"), F.get(urls.tel_link_numbers("t"), F.lit(0)).alias("tel"))
+    return p.select("page_id", urls.is_generic_host("d").alias("generic"), urls.is_probably_html("k", "b").alias("html"), urls.absolute_url(F.lit("http://a.ir/d/z"), "h").alias("absolute"), F.get(urls.tel_link_targets("t"), F.lit(0)).alias("tel"))
 
 
 # ---- phones
@@ -173,7 +173,7 @@ def judged_phones(spark, sf_dir):
 @query(f"""WITH n AS (SELECT c_custkey, {_ODD} AS n FROM customer) SELECT c_custkey, regexp_matches(n, '^09[01239][0-9]{{8}}$') AS known_prefix, c_custkey % 2 = 0 AS national_id, c_custkey % 6 = 0 AS service, substr(n, 2) AS key FROM n""")
 def phone_predicates(spark, sf_dir):
     c = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_ODD} AS n", "if(c_custkey % 2 = 0, '0012345678', '0112345678') AS i", "CASE c_custkey % 6 WHEN 0 THEN '110' WHEN 3 THEN '0961234' ELSE '02133334444' END AS s")
-    return c.select("c_custkey", phones.is_mobile_prefix_known("n").alias("known_prefix"), phones.looks_like_national_id("i").alias("national_id"), phones.is_service_number("s").alias("service"), phones.comparable_key("n").alias("key"))
+    return c.select("c_custkey", phones.is_mobile_prefix_known("n").alias("known_prefix"), phones.looks_like_national_id("i").alias("national_id"), phones.is_service_line("s").alias("service"), phones.comparable_key("n").alias("key"))
 
 
 _MOBILE = "concat('0912', lpad(CAST(p_partkey AS STRING), 7, '3'))"
@@ -188,7 +188,7 @@ def phones_in_texts(spark, sf_dir):
 
 
 @query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'label' WHEN 1 THEN 'bare ten digits' WHEN 2 THEN 'local without area' ELSE 'unknown area code' END AS reason FROM part")
-def rejected_numbers(spark, sf_dir):
+def rejected_tokens(spark, sf_dir):
     t = "CASE p_partkey % 4 WHEN 0 THEN 'کد ملی 0912345678' WHEN 1 THEN concat('x 21', lpad(p_partkey, 8, '4')) WHEN 2 THEN concat('x 3', lpad(p_partkey, 7, '4')) ELSE concat('x 065', lpad(p_partkey, 8, '4')) END"
     p = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{t} AS t")
     return phones.find_phones(p, "t", "p_partkey").where("reason is not null").select("p_partkey", "reason")
@@ -293,7 +293,7 @@ def listing_candidates(spark, sf_dir):
 
 @query(f"""WITH {ctes("places")} SELECT n_nationkey, concat('Shop ', CAST(n_nationkey AS VARCHAR)) AS name, concat('+98912', lpad(CAST(n_nationkey AS VARCHAR), 7, '3')) AS phones, concat('Kart ', CAST(n_nationkey AS VARCHAR)) AS city, 'PAGE_TEXT' AS kind FROM nation""")
 def page_candidates(spark, sf_dir):
-    """A page as a whole: its heading, the number of its telephone link, and the place that its prose names."""
+    """A page as a whole: its heading, the phone of its telephone link, and the place that its prose names."""
     p = directory(spark, sf_dir, "places")["places"]
     g = geo.load(p.select(F.lit("city").alias("kind"), F.concat(F.lit("Kart "), F.col("id").cast("string")).alias("name"), "county", "province"))
     n = table(spark, sf_dir, "nation").selectExpr("n_nationkey", "concat('http://a.ir/', n_nationkey) AS url", "concat('<html><body><h1>Shop ', n_nationkey, '</h1><p>we are in Kart ', n_nationkey, ' now</p><a href=\"tel:0912', lpad(n_nationkey, 7, '3'), '\">call</a></body></html>') AS html")

@@ -35,7 +35,7 @@ def schedule(fetches: DataFrame, domain: str, order: list[str], rate: float = 1.
 
 
 def failure_streaks(log: DataFrame, domain: str, order: list[str], failed: str) -> DataFrame:
-    """Failures of a log with their number in a row, ``streak``: a success starts anew."""
+    """Failures of a log with how many there are in a row, ``streak``: a success starts anew."""
     w = W.partitionBy(domain).orderBy(*order)
     island = log.withColumn("__island", F.count_if(~F.col(failed)).over(w)).where(failed)
     return island.withColumn("streak", F.count("*").over(W.partitionBy(domain, "__island").orderBy(*order))).drop("__island")

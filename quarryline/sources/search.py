@@ -105,7 +105,7 @@ def rank_fixture(pages: DataFrame, query: str, haystack: str, key: str, page: in
     words = [w for w in dict.fromkeys(query.lower().split()) if len(w) >= 2]
     score = sum((F.when(F.contains(F.col(haystack), F.lit(w)), 2).otherwise(0) for w in words[1:]), F.when(F.contains(F.col(haystack), F.lit(words[0])), 2).otherwise(0)) if words else F.lit(0)
     size = max(5, per_page)
-    # no rank beyond the page is needed, so the page is cut out before ranks are numbered
+    # no rank beyond the page is needed, so the page is cut out before ranks are ranked
     top = pages.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), key).limit(page * size)
     ranked = top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), key)).cast("bigint"))
     return ranked.where(F.col("rank") > (page - 1) * size)

@@ -26,7 +26,7 @@ def sessions(stream: DataFrame, at: str, key: str, gap: str = "30 minutes", late
 
 
 class Snapshots:
-    """A table kept as numbered snapshot folders; the newest complete one is the table, so no job reads what it overwrites."""
+    """A table kept as versioned snapshot folders; the newest complete one is the table, so no job reads what it overwrites."""
 
     def __init__(self, spark, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema

@@ -149,6 +149,10 @@ def test_places(spark):
     g = geo.Gazetteer([("city", "بندر گز", "بندر گز", "گلستان"), ("province", "گلستان", None, "گلستان"), ("city", "قم", "قم", "قم"), ("city", "تهران", "تهران", "تهران")])
     assert g.locate("فروشگاه در بندر گز")[2] == "بندر گز" and g.locate("بندرگز")[0] == "گلستان"
     assert g.locate("مقمه")[2] is None and g.locate("در قم")[2] is None and g.locate("شهر قم")[2:] == ("قم", 70)
+    short = geo.Gazetteer([("city", "نور", "نور", "مازندران"), ("city", "بن", "بن", "چهارمحال"), ("city", "سامان", "سامان", "چهارمحال")])
+    assert short.locate("چراغ نور بن")[2] is None and short.locate("شهر نور")[2] == "نور" and short.locate("فروشگاه سامان")[2] == "سامان"
+    many = geo.Gazetteer([("city", f"Kart{k}", None, "P") for k in range(60)])
+    assert len(many.matches(" ".join(f"Kart{k}" for k in range(60)))) == 60 and len(many.matches("Kart1 Kart2", limit=1)) == 1
     got = one(spark, [("دفتر شهر تهران",), (None,)], "t string", l=geo.locate(spark, g, "t"))
     assert got[0].l.city == "تهران" and got[1].l.confidence == 15
 

@@ -120,9 +120,9 @@ def test_upserts_are_idempotent(spark):
 
 def test_identify(spark):
     known = spark.createDataFrame([(7, "b:none", "آلفا", "تهران")], "id long, fingerprint string, name string, city string")
-    numbers = spark.createDataFrame([(7, "+981")], "id long, e164 string")
+    listed = spark.createDataFrame([(7, "+981")], "id long, e164 string")
     rows = [(1, 1, "آلفا", "شیراز", None, ["+981"]), (2, 2, "بتا گستر", "قم", None, ["+985"]), (3, 3, "بتا", "قم", None, ["+985"]), (4, 4, "گاما", "قم", None, ["+986"])]
-    got = {r.cid: r.business_id for r in upsert.identify(spark.createDataFrame(rows, "cid long, arrival long, name string, city string, domain string, phones array<string>"), known, numbers).collect()}
+    got = {r.cid: r.business_id for r in upsert.identify(spark.createDataFrame(rows, "cid long, arrival long, name string, city string, domain string, phones array<string>"), known, listed).collect()}
     assert got[1] == 7 and got[2] == got[3] and len({got[2], got[4], 7}) == 3
 
 
