@@ -45,7 +45,7 @@ def ranks_of(path: str) -> dict[bytes, int]:
 def splitter(pattern: str):
     """A function that gives the pattern's matches in a text.
 
-    The usual pattern runs about twice as fast on ``re``, in classes that mean the same unless the text holds numbers that
+    The usual pattern runs about twice as fast on ``re``, in classes that mean the same unless the text holds numerals that
     aren't decimal digits, or separators that only Python takes for white space; such texts go to ``regex``.
     """
     import regex

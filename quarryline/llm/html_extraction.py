@@ -147,7 +147,7 @@ def _order(root: Node) -> list[tuple[Node, bool, bool]]:
 
 
 def digests(order: list[tuple[Node, bool, bool]]) -> None:
-    """Sets the hash of each subtree that may be template: tag, attributes less links and numbers, text, children's hashes."""
+    """Sets the hash of each subtree that may be template: tag, attributes less links and digits, text, children's hashes."""
     for node, _, may in reversed(order):
         if may:
             parts = [node.tag.encode(), _LINKS.sub("", node.attributes).encode("utf-8", "surrogatepass") if node.attributes else b""]

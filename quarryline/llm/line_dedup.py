@@ -1,9 +1,9 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A store keeps, for every line key seen so far, its 128-bit hash and the number
+A store keeps, for every line key seen so far, its 128-bit hash and the count
 of documents that hold it, as runs sorted by hash on a few levels. A batch adds
 one run to level 0; when a level has ``fanout`` runs they are merged into one
-run of the next level, so each hash is rewritten a logarithmic number of
+run of the next level, so each hash is rewritten logarithmically many
 times. Looking up a batch merge-joins it with the runs, all of which are cut at
 the same hash ranges.
 """

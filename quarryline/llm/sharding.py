@@ -29,7 +29,7 @@ def key_hash(*keys: str) -> Column:
 
 
 def _prefix(h: str, depth) -> Column:
-    """The first ``depth`` bits of a hash as a number."""
+    """The first ``depth`` bits of a hash as an integer."""
     return F.expr(f"shiftright({h}, {BITS} - {depth})") if isinstance(depth, str) else F.shiftright(h, BITS - depth)
 
 
@@ -59,7 +59,7 @@ def directory(rows: DataFrame, limit: int, slack_bits: int = 6) -> list[tuple[in
     """Levels of the directory: (bits, DataFrame(cell, local_depth)), each for the cells the one before left too large.
 
     rows: (h bigint, size bigint). The first level has about 2**slack_bits cells a shard, so that the histogram follows the
-    number of shards, not of rows. A level's cells that still are over the limit and hold more than one hash go to the next
+    count of shards, not of rows. A level's cells that still are over the limit and hold more than one hash go to the next
     level, another 2**slack_bits finer; 60 bits end it.
     """
     total = rows.agg(F.sum("size")).first()[0] or 0

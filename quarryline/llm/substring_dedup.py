@@ -53,7 +53,7 @@ def _window_minimum(values: np.ndarray, size: int) -> np.ndarray:
 
 
 def stretches(raw: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """(anchor hash, first window, number of windows) of each stretch, and its content's hash."""
+    """(anchor hash, first window, count of windows) of each stretch, and its content's hash."""
     anchors, firsts, counts = [], [], []
     windows = len(raw) - width + 1
     data = np.frombuffer(raw, dtype=np.uint8)
@@ -184,7 +184,7 @@ def repeats(docs: DataFrame, width: int = 200, shard_bytes: int = SHARD, hot: in
 
 
 def cover(n_bytes: int, runs: list[tuple[int, int]], width: int) -> list[tuple[int, int]]:
-    """Maximal (start, end) of bytes that runs of windows (first, number) cover."""
+    """Maximal (start, end) of bytes that runs of windows (first, count) cover."""
     out: list[tuple[int, int]] = []
     for a, n in sorted(runs):
         b = min(n_bytes, a + n - 1 + width)

@@ -1,6 +1,6 @@
 """Token counts by an exact length histogram.
 
-Documents are encoded once and aggregated by their number of tokens. Suffix
+Documents are encoded once and aggregated by their count of tokens. Suffix
 sums over that histogram answer, for every context limit at once, how many
 documents and tokens there are, which quantile the limit is, and how many
 tokens stay when every document is cut at it.

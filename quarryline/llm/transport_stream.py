@@ -49,8 +49,8 @@ def crc32_mpeg(data: bytes) -> int:
     return c
 
 
-def _section(table_id: int, number: int, body: bytes) -> bytes:
-    head = bytes([table_id]) + (0xB000 | (len(body) + 9)).to_bytes(2, "big") + number.to_bytes(2, "big") + bytes([0xC1, 0, 0])
+def _section(table_id: int, program: int, body: bytes) -> bytes:
+    head = bytes([table_id]) + (0xB000 | (len(body) + 9)).to_bytes(2, "big") + program.to_bytes(2, "big") + bytes([0xC1, 0, 0])
     return head + body + crc32_mpeg(head + body).to_bytes(4, "big")
 
 
@@ -127,7 +127,7 @@ class Stream:
     packets: int = 0
     programs: dict[int, int] = field(default_factory=dict)
     streams: dict[int, Elementary] = field(default_factory=dict)
-    clocks: list[tuple[int, int]] = field(default_factory=list)  # (packet number, program clock base)
+    clocks: list[tuple[int, int]] = field(default_factory=list)  # (packet, program clock base)
     continuity_errors: int = 0
     duplicates: int = 0
     bad_sections: int = 0
@@ -142,9 +142,9 @@ def _entries(section: bytes, out: Stream, pids: set[int]) -> None:
         out.bad_sections += 1
     elif section[0] == 0x00:
         for k in range(8, len(section) - 4, 4):
-            number, pid = int.from_bytes(section[k : k + 2], "big"), int.from_bytes(section[k + 2 : k + 4], "big") & 0x1FFF
-            if number:
-                out.programs[number] = pid
+            program, pid = int.from_bytes(section[k : k + 2], "big"), int.from_bytes(section[k + 2 : k + 4], "big") & 0x1FFF
+            if program:
+                out.programs[program] = pid
                 pids.add(pid)
     elif section[0] == 0x02:
         k = 12 + (int.from_bytes(section[10:12], "big") & 0xFFF)
