@@ -319,3 +319,83 @@ def test_pipeline(spark):
     assert set(out.doc_id) <= set(ids) and out.doc_id.is_unique and len(out) > len(ids) / 3
     assert (out.n_chars == out.text.str.len()).all()
     assert all(hashlib.sha256(t.encode()).hexdigest() == s for t, s in zip(out.text, out.decoded_sha256, strict=True))
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def stage_rows():
+    """Documents with nulls, empty and repeated texts, a long one, shared lines, near copies, and a passage of the benchmark."""
+    rnd = random.Random(21)
+    items = duckdb.execute(f"SELECT text FROM '{SF}/benchmark.parquet' ORDER BY item_id LIMIT 3").fetchall()
+    own = texts(5, 14) + [f"Shared line\nown {k} " + " ".join(rnd.choice(WORDS) for _ in range(20)) for k in range(11)]
+    own += ["before it " + items[0][0] + " and after", items[1][0], " ".join(rnd.choice(WORDS) for _ in range(6000))]
+    return [(k, t, "en", None if k % 3 else "s", len(t or "")) for k, t in enumerate(own)]
+
+
+def stage_docs(spark, rows):
+    return frame(spark, rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"matches": F.lit(1), "score": F.lit("x"), "n_tokens": F.lit(2), "class_id": F.lit(3), "n_lines": F.lit(4)})
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_against_brute_force(spark, k):
+    """Each stage on its own: rows with nulls, repeats and clashing columns, and an empty table; the columns of documents come back."""
+    name, stage = corpus_pipeline.STAGES[k]
+    rows = stage_rows()
+    out = stage(spark, stage_docs(spark, rows), SF)
+    assert stage(spark, stage_docs(spark, []), SF).count() == 0
+    got = {r.doc_id: r for r in out.collect()}
+    assert out.columns[:5] == corpus_pipeline.COLUMNS and (k == 4 or len(out.columns) == 5)
+    text_of = {r[0]: r[1] for r in rows}
+    if k == 0:
+        ranking = quality.train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+        scores = ranking.scores(np.array([quality.statistics(t or "") for t in text_of.values()]))
+        assert set(got) == {i for i, s in zip(text_of, scores, strict=True) if s >= 0.3} and all(got[i].text == text_of[i] for i in got)
+    elif k == 1:
+        where = Counter(key for t in text_of.values() for key in set(line_dedup.line_keys(t or "")) if key)
+        want = {i: "\n".join(x for x, key in zip((t or "").split("\n"), line_dedup.line_keys(t or ""), strict=True) if not key or where[key] < 10) for i, t in text_of.items()}
+        assert {i: r.text for i, r in got.items()} == want and all(r.n_chars == len(r.text) for r in got.values())
+        assert any("Shared line" in (t or "") for t in text_of.values()) and not any("Shared line" in t for t in want.values())
+    elif k == 2:
+        known = TokenHashes()
+        sets = {i: frozenset(shingle_set(t or "", known).tolist()) for i, t in text_of.items()}
+        root = {i: i for i in sets}
+        for a in sets:
+            for b in sets:
+                if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8 and root[a] != root[b]:
+                    low, high = sorted((root[a], root[b]))
+                    root = {i: low if r == high else r for i, r in root.items()}
+        assert set(got) == {i for i, r in root.items() if i == r} and len(got) < len(sets)
+    elif k == 3:
+        items = duckdb.execute(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall()
+        found = weighted_brute_force([(i, t) for i, t in text_of.items()], items)
+        assert set(got) == {i for i, x in found.items() if not x} and len(got) <= len(text_of) - 2
+    else:
+        encoding = token_lengths.encoding(RANKS, PATTERN)
+        assert set(got) == set(text_of)
+        for i, t in text_of.items():
+            ids = encoding.encode_ordinary(t or "")
+            assert (got[i].ids, got[i].n_tokens, got[i].decoded_sha256) == (ids, len(ids), hashlib.sha256((t or "").encode()).hexdigest())
+
+
+@pytest.mark.parametrize("head", [0, 10_000_000])
+def test_byte_bpe_is_the_same_with_any_head(spark, head):
+    encoding = token_lengths.encoding(RANKS, PATTERN)
+    rows = list(enumerate([*texts(3, 8), "word, word. Naïve; (x) 12th", "a,b c-d e.", "déjà vu!", "x " * 3000]))
+    d = frame(spark, rows).withColumns({"n_tokens": F.lit("clash"), "ids": F.lit("clash")})
+    out = byte_bpe.encode(d, byte_bpe.vocabulary(d, RANKS, PATTERN, head=head), ["doc_id", "n_tokens", "ids"])
+    assert {r.doc_id: r.ids for r in out.collect()} == {k: encoding.encode_ordinary(t or "") for k, t in rows}
+
+
+def test_sharding_tells_nulls_from_empty_keys(spark):
+    rows = spark.createDataFrame([(None, 1), ("", 2), ("a", 3)], "k string, v int")
+    assert rows.select(sharding.key_hash("k").alias("h")).distinct().count() == 3
+    deep = frame(spark, [(k, "x" * 40) for k in range(3000)])
+    got = sharding.shard(deep, ["doc_id"], F.octet_length("text"), 100).collect()
+    sums, depth = Counter(), {}
+    for r in got:
+        sums[r.shard] += r.row_bytes
+        depth[r.shard] = r.local_depth
+    assert len(got) == 3000 and max(sums.values()) <= 100 and max(depth.values()) > sharding.STEP
+    names = sorted(depth)
+    assert not any(b.startswith(a) for a, b in zip(names, names[1:], strict=False))  # a directory of prefixes, none inside another
