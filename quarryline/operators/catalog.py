@@ -34,7 +34,7 @@ class BusinessFilter:
     search: str | None = None
     include_synthetic: bool = False
     order: str = "confidence"
-    limit: int = 100
+    limit: int | None = 100
     offset: int = 0
 
 
@@ -92,7 +92,7 @@ def ordered(df: DataFrame, order: str) -> DataFrame:
 
 
 def page(df: DataFrame, f: BusinessFilter) -> DataFrame:
-    return ordered(df, f.order).offset(f.offset).limit(min(f.limit, PAGE_MOST))
+    return ordered(df, f.order).offset(f.offset).limit(PAGE_MOST if f.limit is None else min(f.limit, PAGE_MOST))
 
 
 def count(tables: dict[str, DataFrame], f: BusinessFilter) -> DataFrame:

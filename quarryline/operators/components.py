@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; where that is unset, below a folder of our own."""
+    """A new folder below spark.checkpoint.dir, which all executors share; a session of one machine that has none gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quarryline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/{label}-{uuid.uuid4().hex}"

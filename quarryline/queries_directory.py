@@ -471,6 +471,11 @@ def exported_json(spark, sf_dir):
     return spark.read.schema(rows.schema).json(path)
 
 
+@query(f"WITH {ctes('businesses', 'business_phones', 'phones', 'source_observations', 'sources')}, {_EXPORT.replace(' ORDER BY confidence DESC, id LIMIT 60', '')} {_EXPORTED}")
+def exported_whole(spark, sf_dir):
+    return export.rows(_export_tables(spark, sf_dir), BusinessFilter(limit=None)).select(*_EXPORT_COLUMNS)
+
+
 @query(f"""WITH {ctes("businesses", "source_observations", "sources")} SELECT b.id AS business_id, b.name, s.key AS source_key, o.url, o.page_title, o.snippet, strftime(o.observed_at, '%Y-%m-%dT%H:%M:%S') AS observed_at
 FROM source_observations o JOIN businesses b ON b.id = o.business_id JOIN sources s ON s.id = o.source_id WHERE NOT is_synthetic AND b.status IN ('ACTIVE', 'QUARANTINED') AND b.confidence >= 50""")
 def exported_evidence(spark, sf_dir):

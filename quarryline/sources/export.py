@@ -24,8 +24,14 @@ def _or_missing(x) -> Column:
 
 
 def rows(tables: dict[str, DataFrame], f: BusinessFilter) -> DataFrame:
-    """A flat row per business that the filter keeps, within its limit; phones by kind, sources and links of its evidence."""
-    kept = ordered(businesses(tables, f), f.order).offset(f.offset).limit(f.limit)
+    """A flat row per business that the filter keeps, within its limit if it has one; phones by kind, sources and links of its evidence.
+
+    A filter's limit is 100 unless it says otherwise; with ``limit=None`` all are exported, and nothing is sorted for it.
+    """
+    kept = businesses(tables, f)
+    if f.limit is not None or f.offset:
+        kept = ordered(kept, f.order).offset(f.offset)
+        kept = kept if f.limit is None else kept.limit(f.limit)
     p = phones_of(tables | {"business_phones": tables["business_phones"].join(kept.select(F.col("id").alias("business_id")), "business_id", "left_semi")})
     e = evidence_of(tables | {"source_observations": tables["source_observations"].join(kept.select(F.col("id").alias("business_id")), "business_id", "left_semi")}, 50)
     b = kept.join(p.withColumnRenamed("business_id", "id"), "id", "left").join(e.withColumnRenamed("business_id", "id"), "id", "left")
