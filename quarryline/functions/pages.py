@@ -301,3 +301,12 @@ def extract(pages: DataFrame, area: str | None = None, plan: P.PhonePlan = P.PLA
     out = out.withColumn("signature", signature("name", "city", "phones"))
     kept = out.groupBy("url", "signature").agg(F.max_by(F.struct("cid", "name", "phones", "address", "owner", "website", "social", "city", "kind", "hint", "text"), F.struct("hint", (-F.col("nth")).alias("t"))).alias("x"))
     return kept.select("url", "signature", "x.*")
+
+
+def search_candidates(items: DataFrame, key: str, area: str | None = None, plan: P.PhonePlan = P.PLAN) -> DataFrame:
+    """(key, name, phones, text, website, kind, hint) of result items ``items(key, title, snippet, url)`` that hold a phone; others give none."""
+    text = collapse_ws(F.concat(F.coalesce("title", F.lit("")), F.lit(" . "), F.coalesce("snippet", F.lit(""))))
+    rows = items.withColumn("__text", text)
+    found = P.find_phones(rows, "__text", key, area, plan).where("reason is null").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "e164"))), lambda x: x["e164"]).alias("phones"))
+    out = rows.join(found, key)
+    return out.select(key, clean_name("title").alias("name"), "phones", F.col("__text").alias("text"), F.col("url").alias("website"), F.substring("snippet", 1, 500).alias("snippet"), F.lit("SEARCH_SNIPPET").alias("kind"), F.lit(45).alias("hint"))

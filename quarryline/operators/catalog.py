@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.functions.labels import label
+
 #: Rows of a page at most.
 PAGE_MOST = 5000
 
@@ -38,6 +40,24 @@ class BusinessFilter:
     offset: int = 0
 
 
+    @classmethod
+    def requested(cls, **given) -> BusinessFilter:
+        """A filter of what a request gives: codes in upper case, single values as lists, a page within its bounds; what isn't known is refused."""
+        known = {f.name: f for f in fields(cls)}
+        if odd := sorted(set(given) - set(known)):
+            raise ValueError(f"no such filter: {', '.join(odd)}")
+        out = {}
+        for name, value in given.items():
+            if known[name].type == "tuple[str, ...]":
+                value = (value,) if isinstance(value, str) else tuple(value or ())
+                value = value if name in ("provinces", "cities") else tuple(str(v).upper() for v in value)
+            out[name] = value
+        limit, offset = out.get("limit", 50), out.get("offset", 0)
+        if limit is None or not 0 <= limit <= PAGE_MOST or offset < 0:
+            raise ValueError(f"a page has up to {PAGE_MOST} rows and starts at 0 or later")
+        return cls(**out | {"limit": limit})
+
+
 def is_in(column: str, values: tuple) -> Column:
     return F.col(column).isin(*values) if values else F.lit(True)
 
@@ -195,3 +215,17 @@ def locations_list(locations: DataFrame, province: str | None = None) -> DataFra
     names = lambda kind, key, name: locations.where(F.col("kind") == kind).select(F.col("id").alias(key), F.col("name").alias(name))
     out = locations.where("kind = 'city'").select("id", "name", "county_id", "province_id").join(names("county", "county_id", "county"), "county_id", "left").join(names("province", "province_id", "province"), "province_id", "left")
     return (out if province is None else out.where(F.col("province") == province)).select("id", "name", "county", "province").orderBy("province", "name", "id")
+
+
+def labelled(tables: dict[str, DataFrame], kept: DataFrame) -> DataFrame:
+    """Businesses of ``kept(id)`` as a list shows them: labels beside codes, phones as an array, empty where there are none."""
+    ids = kept.select("id")
+    links = tables["business_phones"].join(ids.withColumnRenamed("id", "business_id"), "business_id", "left_semi")
+    phones = phones_of(tables | {"business_phones": links}).withColumnRenamed("business_id", "id")
+    b = tables["businesses"].join(ids, "id", "left_semi").join(phones, "id", "left")
+    return b.select(
+        "id", "name", "owner_name", F.col("province_name").alias("province"), F.col("county_name").alias("county"), F.col("city_name").alias("city"), "address",
+        F.coalesce("phones", F.expr(f"cast(array() as {b.schema['phones'].dataType.simpleString()})")).alias("phones"), "website",
+        "business_type", label("business_type", "business_type").alias("business_type_label"), "primary_category", label("primary_category", "category").alias("category_label"),
+        "relevance_score", "confidence", "confidence_band", label("confidence_band", "band").alias("band_label"), "status", label("status", "business_status").alias("status_label"),
+    )

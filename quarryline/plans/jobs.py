@@ -35,3 +35,12 @@ def stale(jobs: DataFrame, as_of: Column, minutes: int = 30) -> tuple[DataFrame,
     old = (F.col("status") == "RUNNING") & (F.col("heartbeat_at") < as_of - F.expr(f"INTERVAL {minutes} MINUTES"))
     events = jobs.where(old).select(F.xxhash64("id", as_of).alias("id"), F.col("id").alias("job_id"), F.lit("ERROR").alias("level"), F.lit("STALE").alias("event"), F.lit("no heartbeat").alias("message"), F.lit(None).cast("string").alias("data"), as_of.alias("created_at"))
     return jobs.withColumns({"status": F.when(old, "FAILED").otherwise(F.col("status")), "error": F.when(old, "no heartbeat").otherwise(F.col("error"))}), events
+
+
+def event(events: DataFrame, job: int | None, level: str, code: str, message: str, as_of: Column) -> DataFrame:
+    """The events of jobs with one more; a message has 800 characters at most."""
+    made = {
+        "id": F.xxhash64(F.lit(job), F.lit(code), F.lit(message), as_of), "job_id": F.lit(job), "level": F.lit(level), "event": F.lit(code), "message": F.lit(message[:800]), "created_at": as_of,
+    }
+    row = events.sparkSession.range(1).select(*(made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema))
+    return events.unionByName(row)

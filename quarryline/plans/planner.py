@@ -15,7 +15,7 @@ def scope(cities: DataFrame, existing: DataFrame, provinces=(), counties=(), nam
     keep = F.lit(True)
     for column, values in (("province", provinces), ("county", counties), ("city", names)):
         if values:
-            keep = keep & name_key(column).isin([r[0] for r in cities.sparkSession.range(1).select(*[F.explode(F.array(*(name_key(F.lit(v)) for v in values)))]).collect()])
+            keep = keep & F.array_contains(F.array(*(name_key(F.lit(v)) for v in values)), name_key(column))
     n = existing.groupBy("city").agg(F.count("*").alias("existing"))
     rows = cities.where(keep).join(n, "city", "left").fillna(0, ["existing"])
     order = [F.asc("existing"), F.length("city"), F.asc("city")] if small_first else [F.desc("existing"), F.asc("city")]
@@ -69,6 +69,11 @@ def admit(tasks: DataFrame, sources: DataFrame, ledger: DataFrame, as_of: Column
     return out.orderBy("ordinal", "query_text").limit(budget) if budget else out
 
 
+def shuffled(tasks: DataFrame, seed: int) -> DataFrame:
+    """Tasks with ``ordinal`` in an order that looks random and is the same for a seed."""
+    return tasks.withColumn("ordinal", F.xxhash64("query_text", F.lit(seed)))
+
+
 def finalise(ledger: DataFrame, runs: DataFrame, as_of: Column, refresh_days: int = 14) -> DataFrame:
     """The ledger after ``runs(source_key, query_hash, page, outcome, results, found)``; outcome is DONE, FAILED or BLOCKED, one run a query."""
     o = lambda c, default: F.coalesce(F.col(c), F.lit(default))

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from quarryline.directory import NOW, ctes, directory
+from quarryline.functions.labels import LABELS
 from quarryline.operators import catalog, dedup, revalidate, stats, upsert
 from quarryline.operators.catalog import BusinessFilter
 from quarryline.plans import jobs, planner, queue
@@ -21,11 +22,11 @@ _LISTED = "NOT is_synthetic AND status IN ('ACTIVE', 'QUARANTINED')"
 # ---- lists, pages and details
 
 
-@query(f"""WITH {ctes("businesses")} SELECT id, name FROM businesses WHERE {_LISTED} AND province_name IN ('ASIA', 'EUROPE', 'REGION_1', 'REGION_2') AND business_type IN ('MAKER', 'SELLER')
+@query(f"""WITH {ctes("businesses")} SELECT id, name FROM businesses WHERE {_LISTED} AND province_name IN ('ASIA', 'EUROPE') AND business_type IN ('MAKER', 'SELLER')
  AND confidence_band IN ('HIGH', 'VERY_HIGH', 'MEDIUM') AND confidence BETWEEN 30 AND 95 AND discovered_at >= TIMESTAMP '2023-10-01' AND discovered_at <= TIMESTAMP '2024-05-01'""")
 def list_businesses(spark, sf_dir):
     f = BusinessFilter(
-        provinces=("ASIA", "EUROPE", "REGION_1", "REGION_2"), types=("MAKER", "SELLER"), bands=("HIGH", "VERY_HIGH", "MEDIUM"), min_confidence=30, max_confidence=95,
+        provinces=("ASIA", "EUROPE"), types=("MAKER", "SELLER"), bands=("HIGH", "VERY_HIGH", "MEDIUM"), min_confidence=30, max_confidence=95,
         discovered_after=datetime(2023, 10, 1), discovered_before=datetime(2024, 5, 1),
     )
     return catalog.businesses(directory(spark, sf_dir, "businesses", "business_phones"), f).select("id", "name")
@@ -89,7 +90,7 @@ def list_queries(spark, sf_dir):
     return catalog.queries_list(rows, ("DONE", "NEW"), ("N1", "N4"), 50).select("id", "city")
 
 
-@query(f"WITH {ctes('places')} SELECT id, city AS name, county, province FROM places WHERE province = 'REGION_1'")
+@query(f"WITH {ctes('places')} SELECT id, city AS name, county, province FROM places WHERE province = 'ASIA'")
 def list_locations(spark, sf_dir):
     p = directory(spark, sf_dir, "places")["places"]
     none = F.lit(None).cast("bigint")
@@ -98,7 +99,7 @@ def list_locations(spark, sf_dir):
     locations = p.join(county, "county").join(province, "province").select("id", F.lit("city").alias("kind"), F.col("city").alias("name"), (100 + F.col("k")).alias("county_id"), (200 + F.col("m")).alias("province_id"))
     locations = locations.unionByName(county.select((100 + F.col("k")).alias("id"), F.lit("county").alias("kind"), F.col("county").alias("name"), none.alias("county_id"), none.alias("province_id")))
     locations = locations.unionByName(province.select((200 + F.col("m")).alias("id"), F.lit("province").alias("kind"), F.col("province").alias("name"), none.alias("county_id"), none.alias("province_id")))
-    return catalog.locations_list(locations, "REGION_1")
+    return catalog.locations_list(locations, "ASIA")
 
 
 @query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 40")
@@ -137,16 +138,30 @@ def business_details(spark, sf_dir):
     return got.select("id", "name", *(F.size(c).cast("bigint").alias(c) for c in ("phones", "evidence", "validations")))
 
 
-@query(f"""WITH {ctes("places")}, d AS (SELECT c_custkey, concat('NATION_', CAST(c_custkey % 30 AS VARCHAR)) AS city, concat('County ', CAST(c_custkey % 8 AS VARCHAR)) AS county, concat('REGION_', CAST(c_custkey % 6 AS VARCHAR)) AS province FROM customer)
+@query(f"""WITH {ctes("places")}, d AS (SELECT c_custkey, concat('NATION_', CAST(c_custkey % 30 AS VARCHAR)) AS city, concat('County ', CAST(c_custkey % 8 AS VARCHAR)) AS county, CASE c_custkey % 3 WHEN 0 THEN 'ASIA' WHEN 1 THEN 'EUROPE' ELSE 'AFRICA' END AS province FROM customer)
 SELECT c_custkey, coalesce((SELECT min(id) FROM places p WHERE p.city = d.city AND p.county = d.county), (SELECT min(id) FROM places p WHERE p.city = d.city AND p.province = d.province), (SELECT min(id) FROM places p WHERE p.city = d.city), -1) AS city_id FROM d""")
 def resolved_locations(spark, sf_dir):
-    d = table(spark, sf_dir, "customer").selectExpr("c_custkey", "concat('NATION_', c_custkey % 30) AS city", "concat('County ', c_custkey % 8) AS county", "concat('REGION_', c_custkey % 6) AS province")
+    d = table(spark, sf_dir, "customer").selectExpr("c_custkey", "concat('NATION_', c_custkey % 30) AS city", "concat('County ', c_custkey % 8) AS county", "CASE c_custkey % 3 WHEN 0 THEN 'ASIA' WHEN 1 THEN 'EUROPE' ELSE 'AFRICA' END AS province")
     return catalog.resolve_location(d, directory(spark, sf_dir, "places")["places"]).select("c_custkey", F.coalesce("city_id", F.lit(-1).cast("bigint")).alias("city_id"))
 
 
-@query(f"WITH {ctes('businesses', 'source_observations')} SELECT id FROM businesses WHERE id NOT IN (SELECT business_id FROM source_observations WHERE business_id IS NOT NULL)")
+@query(f"WITH {ctes('businesses', 'source_observations')} SELECT id FROM businesses WHERE id NOT IN (SELECT business_id FROM source_observations WHERE business_id IS NOT NULL AND status = 'SPAM')")
 def businesses_without_evidence(spark, sf_dir):
-    return catalog.without_evidence(directory(spark, sf_dir, "businesses", "source_observations")).select("id")
+    t = directory(spark, sf_dir, "businesses", "source_observations")
+    return catalog.without_evidence(t | {"source_observations": t["source_observations"].where("status = 'SPAM'")}).select("id")
+
+
+def _cases(code: str, kind: str) -> str:
+    return f"CASE {code} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LABELS[kind].items()) + f" ELSE {code} END"
+
+
+@query(f"""WITH {ctes("businesses", "business_phones", "phones")}, kept AS (SELECT * FROM businesses WHERE {_LISTED} AND confidence_band IN ('HIGH', 'LOW') ORDER BY confidence DESC, id LIMIT 50)
+SELECT id, city_name AS city, {_cases("business_type", "business_type")} AS business_type_label, {_cases("primary_category", "category")} AS category_label, {_cases("confidence_band", "band")} AS band_label, {_cases("status", "business_status")} AS status_label,
+ coalesce((SELECT string_agg(e164, ',' ORDER BY is_primary DESC, l.confidence DESC, l.phone_id) FROM business_phones l JOIN phones p ON p.id = l.phone_id WHERE l.business_id = kept.id), '') AS phones FROM kept""")
+def labelled_businesses(spark, sf_dir):
+    tables, f = directory(spark, sf_dir, "businesses", "business_phones", "phones"), BusinessFilter.requested(bands=["high", "Low"])
+    got = catalog.labelled(tables, catalog.page(catalog.businesses(tables, f), f))
+    return got.select("id", "city", "business_type_label", "category_label", "band_label", "status_label", F.array_join(F.transform("phones", lambda x: x["e164"]), ",").alias("phones"))
 
 
 # ---- counts
@@ -177,10 +192,10 @@ def acceptance_verdicts(spark, sf_dir):
 
 
 @query(f"""WITH {ctes("places", "businesses")} SELECT city, county, province, (SELECT count(*) FROM businesses b WHERE b.city_name = p.city) AS existing FROM places p
- WHERE province IN ('REGION_1', 'REGION_3') ORDER BY existing, length(city), city, province, county LIMIT 6""")
+ WHERE province IN ('ASIA', 'EUROPE') ORDER BY existing, length(city), city, province, county LIMIT 6""")
 def planning_scope(spark, sf_dir):
     t = directory(spark, sf_dir, "places", "businesses")
-    return planner.scope(t["places"].drop("id"), t["businesses"].select(F.col("city_name").alias("city")), provinces=("region_1", "REGION_3"), most=6)
+    return planner.scope(t["places"].drop("id"), t["businesses"].select(F.col("city_name").alias("city")), provinces=("asia", "Europe"), most=6)
 
 
 @query(f"WITH {ctes('sources')} SELECT kind, count(*) AS sources, count(*) FILTER (enabled) AS enabled, count(*) FILTER (requires_key) AS need_key FROM sources GROUP BY 1")
@@ -606,6 +621,24 @@ def directory_urls(spark, sf_dir):
     return n.select("n_nationkey", search.directory_url("template", "q", "page").alias("url"))
 
 
+@query("SELECT n_nationkey, concat(CASE n_nationkey % 4 WHEN 0 THEN 'http://www.ok.ir/' WHEN 1 THEN 'http://notbad.ir/' ELSE 'x' END, n_nationkey) AS url FROM nation WHERE n_nationkey % 4 < 2")
+def unblocked_fetches(spark, sf_dir):
+    from quarryline.operators.components import shared_path
+
+    path = shared_path(spark, "blocklist")
+    spark.range(1).select(F.lit("# a note\n\n bad.ir \nworse.com").alias("value")).write.text(path)
+    n = table(spark, sf_dir, "nation").selectExpr("n_nationkey", "concat(CASE n_nationkey % 4 WHEN 0 THEN 'http://www.ok.ir/' WHEN 1 THEN 'http://notbad.ir/' WHEN 2 THEN 'https://shop.bad.ir/' ELSE 'http://bad.ir/' END, n_nationkey) AS url")
+    return politeness.unblocked(n, politeness.blocklist(spark, path)).select("n_nationkey", "url")
+
+
+@query("SELECT p_partkey, p_name AS name, concat('+98912', lpad(CAST(p_partkey AS VARCHAR), 7, '3')) AS phones, 'SEARCH_SNIPPET' AS kind, 45 AS hint FROM part WHERE p_partkey % 2 = 0")
+def search_candidates(spark, sf_dir):
+    from quarryline.functions import pages
+
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey", "concat(p_name, ' - ') AS title", "if(p_partkey % 2 = 0, concat('تلفن 0912', lpad(p_partkey, 7, '3')), 'none') AS snippet", "'http://a.ir' AS url")
+    return pages.search_candidates(p, "p_partkey").select("p_partkey", "name", F.array_join("phones", ",").alias("phones"), "kind", "hint")
+
+
 # ---- validation of pairs
 
 _PAIRS = """pairs AS (SELECT l.business_id, l.phone_id, l.id AS link_id, p.e164, p.national, p.type, p.is_synthetic FROM business_phones l JOIN phones p ON p.id = l.phone_id WHERE p.type <> 'UNKNOWN'),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -59,3 +59,17 @@ def cache_write(cache: DataFrame, answers: DataFrame, as_of: Column, hours: int
     new = new.groupBy("url_hash").agg(F.max(F.struct("status", *[c for c in cache.columns if c not in ("url_hash", "status")])).alias("x")).select("url_hash", "x.*")
     kept = cache.where(F.col("expires_at") >= as_of).join(new.select("url_hash"), "url_hash", "left_anti")
     return kept.select(cache.columns).unionByName(new.select(cache.columns))
+
+
+def blocklist(spark: SparkSession, path: str) -> DataFrame:
+    """(pattern) of a file of one pattern a line; blank lines and those after a hash mark say nothing."""
+    lines = spark.read.text(path).select(F.btrim("value").alias("pattern"))
+    return lines.where((F.col("pattern") != "") & ~F.col("pattern").startswith("#")).distinct()
+
+
+def unblocked(fetches: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``fetches(url)`` without those whose domain, or a domain above it, is a pattern."""
+    labels = F.split(domain_of("url"), r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    bad = fetches.select("url", F.explode(above).alias("pattern")).join(patterns, "pattern", "left_semi").select("url").distinct()
+    return fetches.join(bad, "url", "left_anti")

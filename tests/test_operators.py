@@ -4,6 +4,7 @@ import json
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarryline import schemas
@@ -233,3 +234,17 @@ def test_lists_and_html_phones(spark):
     page = '<a href="tel:+982133334455">x</a><a href="https://wa.me/989121234567">w</a> tel 021-33334455 tel 021-44445566'
     got = {r.e164: r.kind for r in find_phones_in_html(spark.createDataFrame([(1, page)], "id int, h string"), "h", "id").collect()}
     assert got == {"+982133334455": "tel_link", "+989121234567": "whatsapp", "+982144445566": "text"}
+
+
+def test_requests_labels_and_events(spark):
+    f = catalog.BusinessFilter.requested(bands="high", types=["maker"], provinces="Qom", limit=5000)
+    assert (f.bands, f.types, f.provinces, f.limit) == (("HIGH",), ("MAKER",), ("Qom",), 5000) and catalog.BusinessFilter.requested().limit == 50
+    for odd in ({"limit": 5001}, {"offset": -1}, {"nope": 1}):
+        with pytest.raises(ValueError):
+            catalog.BusinessFilter.requested(**odd)
+    events = spark.createDataFrame([], "id bigint, job_id bigint, level string, event string, message string, data string, created_at timestamp")
+    row = jobs.event(events, 3, "INFO", "PLAN_READY", "x" * 900, F.lit(DAY)).first()
+    assert (row.job_id, row.event, len(row.message)) == (3, "PLAN_READY", 800)
+    tasks = spark.createDataFrame([(f"q{k}", k) for k in range(50)], "query_text string, ordinal long")
+    order = lambda seed: [r.query_text for r in planner.shuffled(tasks, seed).orderBy("ordinal").collect()]
+    assert order(1) == order(1) != order(2) and sorted(order(1)) == sorted(f"q{k}" for k in range(50))
