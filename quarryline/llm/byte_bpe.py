@@ -110,10 +110,15 @@ def rank_map(spark: SparkSession, path: str) -> Column:
 
 
 def _literal(one: DataFrame) -> Column:
-    """The only value of a frame as a literal of the plan."""
+    """The only value of a frame, an array, as a literal of the plan.
+
+    The value stays in Spark's binary rows, so it prints as a name: a literal of 50,000 pieces that is spelled out in every
+    description of the plan that the driver keeps would cost it megabytes for each.
+    """
     jvm = one.sparkSession._jvm.org.apache.spark.sql
-    value = jvm.catalyst.expressions.Literal.create(one._jdf.head().get(0), one._jdf.schema().apply(0).dataType())
-    return Column(jvm.classic.ExpressionUtils.column(value))
+    kind = one._jdf.schema().apply(0).dataType()
+    row = one._jdf.queryExecution().executedPlan().executeCollect()[0]
+    return Column(jvm.classic.ExpressionUtils.column(jvm.catalyst.expressions.Literal(row.getArray(0), kind)))
 
 
 def _bucket(piece: Column) -> Column:

@@ -3,9 +3,11 @@
 A store keeps, for every line key seen so far, its 128-bit hash and the count
 of documents that hold it, as runs sorted by hash on a few levels. A batch adds
 one run to level 0; when a level has ``fanout`` runs they are merged into one
-run of the next level, so each hash is rewritten logarithmically many
-times. Looking up a batch merge-joins it with the runs, all of which are cut at
-the same hash ranges.
+run of the next level, so each hash is rewritten logarithmically often. Keys
+that have been found in enough documents are settled and go into runs of their
+own: a batch is anti-joined with these first, so only keys that aren't settled
+are counted on, and what it settles is added. Runs are dealt by hash and sorted
+within, so both sides of the merges meet by hash.
 """
 
 from __future__ import annotations
@@ -110,6 +112,16 @@ class LineRuns:
         found = self._read(runs)
         return found if len(runs) == 1 else found.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"))
 
+    def take(self, counts: DataFrame, min_docs: int, settled: LineRuns) -> None:
+        """Adds a batch's counts but for the keys that are ``settled``, and settles those now found in ``min_docs`` documents.
+
+        A settled key stays at the count that it was settled with.
+        """
+        known = settled.counts().select("h1", "h2") if settled.levels else None
+        self.add(counts if known is None else counts.join(known, ["h1", "h2"], "left_anti"))
+        found = self.counts().where(F.col("n_docs") >= min_docs)
+        settled.add(found if known is None else found.join(known, ["h1", "h2"], "left_anti"))
+
     def dedup_batch(self, docs: DataFrame, min_docs: int = 10, least: int = 1) -> DataFrame:
         """``docs`` without the lines found in ``min_docs`` documents of this and all earlier batches; then adds the batch.
 
@@ -182,11 +194,12 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, least: int = 1) -> DataFram
 
 
 def dedup(docs: DataFrame, min_docs: int = 10, least: int = 1, batches: int = 4) -> DataFrame:
-    """``drop_lines`` by counts over all of ``docs``, which go into the store as ``batches`` runs.
+    """``drop_lines`` of the keys in ``min_docs`` rows of ``docs`` or more, found in ``batches`` batches that go into the store one by one.
 
-    A batch is every row whose id hashes to it, so each is an even share of every input file.
+    A batch is every row whose id hashes to it, so each is an even share of every input file. Lines are judged after the last
+    batch, since a key's tenth document may be there: the result doesn't depend on the batches.
     """
-    runs = LineRuns(docs.sparkSession, fanout=batches)
+    runs, settled = LineRuns(docs.sparkSession), LineRuns(docs.sparkSession)
     for k in range(batches):
-        runs.add(line_counts(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k), least))
-    return drop_lines(docs, runs.counts().where(F.col("n_docs") >= min_docs), least)
+        runs.take(line_counts(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k), least), min_docs, settled)
+    return drop_lines(docs, settled.counts(), least)

@@ -1,10 +1,11 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
-
-Every text gets a signature of several trees. In a tree, texts sorted by their
-signature form a prefix trie; texts under one node are candidates of each
-other. The matched prefix starts at the full depth and is shortened until the
-recall at the least similarity reaches the target. Candidates are verified on
-their whole shingle sets.
+"""N-gram Jaccard join by MinHash prefixes of several trees with exact verification.
+
+Every text gets a signature in each of several trees; texts that share a prefix
+of it are candidates of each other. The prefix is shortened from the full depth
+until the recall at the least similarity reaches the target: one length for
+all texts, since every link is to be found, so prefixes are joined by hash
+(banding) and no sorted trie is walked. Candidates are verified on their whole
+shingle sets.
 
 A node's pairs are never rows. Texts of equal sets are one member. The members of
 a node are dealt to chunks by hash; every two chunks meet in a block, which verifies

@@ -399,3 +399,13 @@ def test_sharding_tells_nulls_from_empty_keys(spark):
     assert len(got) == 3000 and max(sums.values()) <= 100 and max(depth.values()) > sharding.STEP
     names = sorted(depth)
     assert not any(b.startswith(a) for a, b in zip(names, names[1:], strict=False))  # a directory of prefixes, none inside another
+
+
+@pytest.mark.parametrize("batches", [1, 3, 9])
+def test_line_dedup_does_not_depend_on_batches(spark, batches):
+    rnd = random.Random(batches)
+    rows = [(k, "\n".join(f"line {min(rnd.randrange(40), rnd.randrange(40))}" for _ in range(6))) for k in range(80)] + [(k, None) for k in range(80, 83)]
+    where = Counter(key for _, t in rows for key in set(line_dedup.line_keys(t or "")) if key)
+    got = {r.doc_id: r.text for r in line_dedup.dedup(frame(spark, rows), min_docs=10, batches=batches).collect()}
+    assert got == {k: "\n".join(x for x in (t or "").split("\n") if not x or where[x.encode()] < 10) for k, t in rows}
+    assert 0 < sum(n >= 10 for n in where.values()) < len(where)
