@@ -14,8 +14,9 @@ from quarryline.functions.phones import PLAN, PhonePlan, is_synthetic, parse_pho
 from quarryline.functions.relevance import score_relevance, spam_flags
 from quarryline.functions.text import name_key
 from quarryline.functions.urls import domain_of, url_hash_key
-from quarryline.operators import upsert
+from quarryline.operators import dedup, revalidate, upsert
 from quarryline.operators.components import cut
+from quarryline.plans import planner
 from quarryline.session import Settings
 
 
@@ -83,3 +84,52 @@ def _businesses(old: DataFrame, folded: DataFrame, as_of: Column) -> DataFrame:
     return upsert.keyed_upsert(old, new, ["id"], rules)
 
 
+
+
+@dataclass
+class Campaign:
+    """What a round of a job leaves: the tables, the ledger of queries, what it asked for, the history of checked phones, and what merged."""
+
+    tables: dict[str, DataFrame]
+    ledger: DataFrame
+    asked: DataFrame
+    history: DataFrame
+    merged: DataFrame
+
+
+def campaign(tables: dict[str, DataFrame], ledger: DataFrame, tasks: DataFrame, sources: DataFrame, answers: DataFrame, as_of: Column, lexicon: Lexicon = DEFAULT, plan: PhonePlan = PLAN, settings: Settings = Settings(), budget: int | None = None) -> Campaign:
+    """One round: queries that the ledger admits are answered, their pages folded in, the ledger closed, pairs scored, and records that are one merged.
+
+    answers: (source_key, query_text, page, url, html, source_id, reliability, city, province), what is stored for a query; a query without
+    any has failed. A page that several queries lead to is folded once and counts for the first of them. The next round, over
+    what this one leaves, asks for the pages that are due then.
+    """
+    asked = cut(planner.admit(tasks, sources, ledger, as_of, settings.pages_most, settings.refresh_days, budget).select("query_text", "source_key", "query_hash", "page"), "asked")
+    got = answers.join(asked, ["source_key", "query_text", "page"])
+    first = F.min_by(F.struct("html", "source_id", "reliability", "city", "province", "query_hash", "source_key"), F.struct("source_key", "query_hash"))
+    fetched = cut(got.groupBy("url").agg(first.alias("x")).select("url", "x.*").withColumn("arrival", F.xxhash64("url")), "fetched")
+    outcome = run(tables, fetched.drop("query_hash", "source_key"), as_of, lexicon, plan, settings)
+    out = outcome.tables
+    fresh = out["businesses"].select(F.col("id").alias("business_id")).join(tables["businesses"].select(F.col("id").alias("business_id")), "business_id", "left_anti")
+    led = fetched.select("url", "source_key", "query_hash").join(out["source_observations"].select("url", "business_id"), "url").join(fresh, "business_id", "left_semi")
+    found = led.groupBy("source_key", "query_hash").agg(F.countDistinct("business_id").cast("int").alias("found"))
+    seen = got.groupBy("source_key", "query_hash").agg(F.count("*").cast("int").alias("results"))
+    runs = asked.select("source_key", "query_hash", "page").join(seen, ["source_key", "query_hash"], "left").join(found, ["source_key", "query_hash"], "left")
+    runs = runs.withColumns({"outcome": F.when(F.col("results").isNull(), "FAILED").otherwise("DONE"), "found": F.coalesce("found", F.lit(0))})
+    closed = cut(planner.finalise(ledger, runs, as_of, settings.refresh_days), "ledger")
+
+    p = out["phones"].select(F.col("id").alias("phone_id"), "e164", "national", "is_synthetic")
+    pairs = out["business_phones"].select("business_id", "phone_id", F.col("id").alias("link_id")).join(p, "phone_id")
+    b = out["businesses"].where("status <> 'MERGED'").select(F.col("id").alias("business_id"), "name", "address", "website", "owner_name", "city_name", F.lit(None).cast("string").alias("area_code"), "business_type", "relevance_score")
+    evaluated = cut(revalidate.evaluate_pairs(pairs, out["source_observations"], b, as_of, plan, settings).select("business_id", "phone_id", "link_id", "total", "band", "new_status"), "evaluated")
+    phones, history = revalidate.apply_evaluations(out["phones"], evaluated, as_of, settings)
+    out |= {"phones": cut(phones, "phones"), "businesses": cut(revalidate.recompute_businesses(out["businesses"], out["source_observations"], evaluated, settings), "businesses")}
+
+    listed = out["business_phones"].join(p, "phone_id").groupBy(F.col("business_id").alias("id")).agg(F.array_sort(F.collect_set("e164")).alias("phones"))
+    records = out["businesses"].where("status <> 'MERGED'").join(listed, "id", "left").select(
+        "id", "name", F.col("city_name").alias("city"), "address", "domain", F.coalesce("phones", F.array().cast("array<string>")).alias("phones"), "confidence", dedup.completeness().alias("completeness")
+    )
+    records = cut(records, "records")
+    merged = cut(dedup.duplicate_log(records, as_of, settings=settings), "merged")
+    out = dedup.merge(out, merged.select(F.col("merged_id").alias("id"), F.col("canonical_id").alias("canonical")).unionByName(merged.select(F.col("canonical_id").alias("id"), F.col("canonical_id").alias("canonical")).distinct()))
+    return Campaign({k: cut(v, k) if k in ("businesses", "business_phones", "source_observations") else v for k, v in out.items()}, closed, asked, cut(history, "history"), merged)

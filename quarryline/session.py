@@ -16,6 +16,7 @@ class Settings:
     review_at: float = 0.62
     block_most: int = 400
     refresh_days: int = 14
+    pages_most: int = 3
     revalidate_days: int = 90
     weight_source: float = 0.35
     weight_corroboration: float = 0.25

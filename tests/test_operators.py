@@ -226,6 +226,32 @@ def test_discovery_run_is_idempotent(spark):
     assert count(again.tables) == (2, 4, 4, 5) and catalog.without_evidence(again.tables).count() == 0
 
 
+def test_campaign_asks_folds_scores_and_merges(spark):
+    from quarryline.plans import discovery
+
+    entry = '<div class="biz-item"><h3>پخش شوینده {0}</h3><p>فروش عمده مواد شوینده و مایع ظرفشویی تلفن: 021-3333445{1} همراه: 0912123456{1}</p></div>'
+    one, two = ("<html><body>" + "".join(entry.format(*x) for x in xs) + "</body></html>" for xs in ([("بهرامی", 1), ("کریمی", 2)], [("بهرامی", 1), ("نوری", 3)]))
+    answers = spark.createDataFrame(
+        [("A", "q1", 1, "http://a.ir/1", one, 5, 0.8, "تهران", "تهران"), ("A", "q1", 2, "http://b.ir/2", two, 6, 0.7, "تهران", "تهران")],
+        "source_key string, query_text string, page int, url string, html string, source_id long, reliability double, city string, province string",
+    )
+    tasks = spark.createDataFrame([("q1", 1), ("q2", 2)], "query_text string, ordinal long")
+    sources = spark.createDataFrame([("A", 1)], "source_key string, turn int")
+    ledger = spark.createDataFrame([], "source_key string, query_hash string, state string, depth int, run_count int, new_results int, failures int, results_seen int, last_run_at timestamp, next_run_at timestamp")
+    t = {name: schemas.empty(spark, name) for name in schemas.TABLES}
+    first = discovery.campaign(t, ledger, tasks, sources, answers, F.lit(DAY))
+    assert sorted((r.query_text, r.page) for r in first.asked.collect()) == [("q1", 1), ("q2", 1)]
+    states = {r.state: r for r in first.ledger.collect()}
+    assert set(states) == {"DONE", "COOLING"} and states["DONE"].new_results == 2 and states["COOLING"].failures == 1
+    active = first.tables["businesses"].where("status <> 'MERGED'")
+    assert first.history.count() == 4 and active.count() + first.merged.count() == 2 and active.where("confidence > 0 and source_count = 1").count() == active.count()
+    again = discovery.campaign(first.tables, first.ledger, tasks, sources, answers, F.lit(DAY + timedelta(hours=1)))
+    assert [(r.query_text, r.page) for r in again.asked.collect()] == [("q1", 2)]
+    names = {r.name: r.status for r in again.tables["businesses"].collect()}
+    assert len(names) == 3 and again.ledger.where("state = 'DONE' and depth = 2 and new_results = 1").count() == 1
+    assert again.tables["businesses"].where("source_count = 2").count() == 1  # seen on both pages
+
+
 def test_lists_and_html_phones(spark):
     from quarryline.functions.phones import find_phones_in_html
 
