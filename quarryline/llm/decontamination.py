@@ -1,13 +1,19 @@
 """Benchmark decontamination by SimHash windows and exact weighted-shingle similarity.
 
-Items get a 64-bit SimHash of their weighted words. Windows of an item's size
-in words slide over each document; windows whose fingerprint is within the
-radius of an item's are candidates, found by multi-index Hamming blocks: the
-64 bits are cut into four blocks, so fingerprints within the radius differ by
-at most a quarter of it in one block at least. Items are stored under all block
-values next to their own, windows ask for all values next to theirs, and the
-two meet. Candidates are verified by the exact weighted similarity of word
-shingles.
+Items get a 64-bit SimHash of their weighted shingles, the same bag that is
+compared in the end. Windows of an item's size in words slide over each
+document; windows whose fingerprint is within the radius of an item's are
+candidates, found by multi-index Hamming blocks: the 64 bits are cut into four
+blocks, so fingerprints within the radius differ by at most a quarter of it in
+one block at least. Items are stored under all block values next to their own,
+windows ask for all values next to theirs, and the two meet. Candidates are
+verified by the exact weighted similarity of word shingles.
+
+A shingle of weight w that a bag holds n times counts sqrt(w * n) in a
+fingerprint. So the cosine of two bags of similarity J is at least
+2J / (1 + J) whatever the weights are, and a bit differs with a probability of
+about acos(2J / (1 + J)) / pi at most: at 0.8, 9.7 of 64 bits are expected to
+differ, with a deviation of 2.9.
 """
 
 from __future__ import annotations
@@ -24,26 +30,62 @@ from pyspark.sql import types as T
 
 from quarryline.llm.common import TokenHashes, mix, shingle_hashes, texts, word_hashes, written
 
-#: Words of a shingle, least similarity, and bits that fingerprints may differ in.
+#: Words of a shingle, least similarity, and bits that fingerprints may differ in: three deviations more than are expected at this similarity.
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 19
+#: Bits more for items with all their weight on fewer shingles than this.
+MORE, FEW = 5, 12
 #: Bytes of benchmark text that are sent to every task at once at most.
 MOST_ITEM_BYTES = 16 << 20
 BLOCKS, BLOCK_BITS = 4, 16
 _BITS = np.arange(64, dtype=np.uint64)
 
 
+#: Hashes of a shingle whose signs are added up: with one alone, bits of small bags would be ties too often.
+_SALTS = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
+
+
 def _signs(hashes: np.ndarray) -> np.ndarray:
-    """+1 or -1 for each bit of each hash."""
-    return ((mix(hashes)[:, None] >> _BITS) & np.uint64(1)).astype(np.int8) * np.int8(2) - np.int8(1)
+    """For each bit the sum of +1 or -1 by that bit of each of three hashes."""
+    with np.errstate(over="ignore"):
+        bits = [((mix(hashes + salt)[:, None] >> _BITS) & np.uint64(1)).astype(np.int64) for salt in _SALTS]
+    return 2 * sum(bits) - len(_SALTS)
 
 
 def _packed(sums: np.ndarray) -> np.ndarray:
     return ((sums > 0).astype(np.uint64) << _BITS).sum(axis=-1, dtype=np.uint64)
 
 
-def fingerprint(hashes: np.ndarray, weights: np.ndarray) -> int:
-    """SimHash of one bag of words."""
-    return int(_packed((_signs(hashes) * weights[:, None]).sum(axis=0)))
+def _value(weights: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """What shingles of these weights count that a bag holds so many times; integers, so that sums don't depend on their order."""
+    return np.rint(65536 * np.sqrt(weights * times)).astype(np.int64)
+
+
+def fingerprint(shingles: np.ndarray, weights: np.ndarray) -> int:
+    """SimHash of one bag of shingles, ``weights`` by shingle."""
+    kinds, first, times = np.unique(shingles, return_index=True, return_counts=True)
+    return int(_packed((_signs(kinds) * _value(weights[first], times)[:, None]).sum(axis=0)))
+
+
+def window_fingerprints(shingles: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
+    """SimHashes of all runs of ``size`` shingles, by running sums of what enters a run and what leaves it.
+
+    A shingle that a run has already adds the difference of two square roots, so its place in the run counts.
+    """
+    n = len(shingles)
+    order = np.lexsort((np.arange(n), shingles))
+    group = np.zeros(n, dtype=np.int64)
+    group[order] = np.cumsum(np.concatenate([[0], np.diff(shingles[order].view(np.int64)) != 0]))
+    key = group * (n + 1) + np.arange(n)
+    ordered, at = key[order], np.empty(n, dtype=np.int64)
+    at[order] = np.arange(n)
+    before = at - np.searchsorted(ordered, np.maximum(key - size + 1, group * (n + 1)))  # the same shingle among the size - 1 before
+    after = np.searchsorted(ordered, np.minimum(key + size, (group + 1) * (n + 1))) - at  # and from here on within the run that begins here
+    signs = _signs(shingles)
+    enters = signs * (_value(weights, before + 1) - _value(weights, before))[:, None]
+    leaves = signs * (_value(weights, after) - _value(weights, after - 1))[:, None]
+    sums = np.cumsum(enters, axis=0)[size - 1 :]
+    sums[1:] -= np.cumsum(leaves[: n - size], axis=0)
+    return _packed(sums)
 
 
 def near(most: int) -> np.ndarray:
@@ -65,6 +107,7 @@ class Items:
     shingles: list[Counter] = field(default_factory=list)
     weights: dict[int, float] = field(default_factory=dict)  # of shingles; those of no item weigh 1
     radius: int = RADIUS
+    index: _Index | None = None
 
     @classmethod
     def of(cls, rows: list[tuple[int, str | None]], radius: int = RADIUS, spread: dict[int, int] | None = None) -> Items:
@@ -83,7 +126,10 @@ class Items:
         return out
 
     def prepared(self) -> _Index:
-        return _Index(self)
+        """The index, made once in a process."""
+        if self.index is None:
+            self.index = _Index(self)
+        return self.index
 
 
 class _Index:
@@ -99,35 +145,53 @@ class _Index:
         for k, words in enumerate(items.words):
             sizes[len(words)].append(k)
         self.by_size = dict(sizes)
-        self.prints = np.array([fingerprint(w, np.ones(len(w))) for w in items.words], dtype=np.uint64)
-        ahead = items.radius // BLOCKS
-        self.stored, self.asked = near(ahead // 2), near(ahead - ahead // 2)
-        self.tables = {n: [self._table(np.array(members), k) for k in range(BLOCKS)] for n, members in sizes.items()}
+        self.shared = np.array(sorted(items.weights), dtype=np.uint64)
+        self.shared_weights = np.array([items.weights[s] for s in self.shared.tolist()], dtype=np.float64)
+        own = [shingle_hashes(w, SHINGLE) for w in items.words]
+        self.prints = np.array([fingerprint(s, self.weights_of(s)) for s in own], dtype=np.uint64)
+        self.radius = {n: items.radius + (MORE if any(self._few(k) for k in members) else 0) for n, members in sizes.items()}
+        self.stored = {n: near(r // BLOCKS // 2) for n, r in self.radius.items()}
+        self.asked = {n: near(r // BLOCKS - r // BLOCKS // 2) for n, r in self.radius.items()}
+        self.tables = {n: [self._table(np.array(members), k, self.stored[n]) for k in range(BLOCKS)] for n, members in sizes.items()}
         self.widths = sorted({min(SHINGLE, n) for n in sizes})
         self.sizes_of: dict[int, set[int]] = {}
         for k, c in enumerate(items.shingles):
             for s in c:
                 self.sizes_of.setdefault(s, set()).add(len(items.words[k]))
 
-    def _table(self, members: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def weights_of(self, shingles: np.ndarray) -> np.ndarray:
+        out = np.ones(len(shingles))
+        if len(self.shared):
+            at = np.minimum(np.searchsorted(self.shared, shingles), len(self.shared) - 1)
+            found = self.shared[at] == shingles
+            out[found] = self.shared_weights[at[found]]
+        return out
+
+    def _few(self, item: int) -> bool:
+        """Whether an item's weight is on so few shingles that its bits vary more; that of a single one can only be equal."""
+        weights = [n * self.items.weights.get(s, 1.0) for s, n in self.items.shingles[item].items()]
+        return len(weights) > 1 and sum(weights) ** 2 < FEW * sum(w * w for w in weights)
+
+    def _table(self, members: np.ndarray, k: int, stored: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Block values, sorted, and the item stored under each."""
-        values = (block(self.prints[members], k)[:, None] ^ self.stored).ravel()
+        values = (block(self.prints[members], k)[:, None] ^ stored).ravel()
         order = np.argsort(values, kind="stable")
-        return values[order], np.repeat(members, len(self.stored))[order]
+        return values[order], np.repeat(members, len(stored))[order]
 
     def candidates(self, prints: np.ndarray, size: int, step: int = 2048) -> list[tuple[int, int]]:
         """(window, item) pairs within the radius, each once."""
         found: set[tuple[int, int]] = set()
+        radius, ahead = self.radius[size], self.asked[size]
         for lo in range(0, len(prints), step):
             some = prints[lo : lo + step]
             for k, (values, members) in enumerate(self.tables[size]):
-                asked = (block(some, k)[:, None] ^ self.asked).ravel()
+                asked = (block(some, k)[:, None] ^ ahead).ravel()
                 first = np.searchsorted(values, asked, "left")
                 n = np.searchsorted(values, asked, "right") - first
-                window = np.repeat(np.arange(len(asked)) // len(self.asked), n)
+                window = np.repeat(np.arange(len(asked)) // len(ahead), n)
                 at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
                 item = members[at]
-                close = np.bitwise_count(some[window] ^ self.prints[item]) <= self.items.radius
+                close = np.bitwise_count(some[window] ^ self.prints[item]) <= radius
                 found.update(zip((window[close] + lo).tolist(), item[close].tolist(), strict=True))
         return sorted(found)
 
@@ -162,7 +226,7 @@ class _Index:
             np.add.at(marks, np.maximum(hits - (width - k), 0), 1)
             np.add.at(marks, np.minimum(hits, n - width) + 1, -1)
             starts = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
-            prints = self._windows(hashes, starts, width)
+            prints = self._windows(of_width[k], starts, width - k + 1)
             for window, item in self.candidates(prints, size):
                 a = int(starts[window])
                 got = self.similarity(of_width[k][a : a + width - k + 1].tolist(), item)
@@ -170,18 +234,16 @@ class _Index:
                     best[item] = (got, a)
         return best
 
-    @staticmethod
-    def _windows(hashes: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-        """Fingerprints of the windows at ``starts``: differences of running sums over each stretch of windows."""
+    def _windows(self, shingles: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+        """Fingerprints of the windows of ``size`` shingles at ``starts``, stretch of windows by stretch."""
         out = np.zeros(len(starts), dtype=np.uint64)
-        cuts = np.flatnonzero(np.diff(starts) > width) + 1
+        cuts = np.flatnonzero(np.diff(starts) > size) + 1
         for group in np.split(np.arange(len(starts)), cuts):
             for lo in range(0, len(group), 4096):
                 g = starts[group[lo : lo + 4096]]
-                first, last = int(g[0]), int(g[-1]) + width
-                sums = np.zeros((last - first + 1, 64), dtype=np.int32)
-                np.cumsum(_signs(hashes[first:last]), axis=0, dtype=np.int32, out=sums[1:])
-                out[group[lo : lo + 4096]] = _packed(sums[g - first + width] - sums[g - first])
+                first, last = int(g[0]), int(g[-1]) + size
+                some = shingles[first:last]
+                out[group[lo : lo + 4096]] = window_fingerprints(some, self.weights_of(some), size)[g - first]
         return out
 
 

@@ -227,6 +227,42 @@ def test_decontamination_recall_and_pieces(spark, most_bytes):
         assert [m.item_id for m in r.matches] == want[r.doc_id]
 
 
+def test_window_fingerprints_are_those_of_their_bags():
+    rnd = random.Random(1)
+    for _ in range(150):
+        n = rnd.randint(1, 40)
+        shingles = np.array([rnd.randint(1, 12) for _ in range(n)], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        weights, size = 1 / (1 + (shingles % np.uint64(3)).astype(float)), rnd.randint(1, n)
+        want = [decontamination.fingerprint(shingles[i : i + size], weights[i : i + size]) for i in range(n - size + 1)]
+        assert decontamination.window_fingerprints(shingles, weights, size).tolist() == want
+
+
+@pytest.mark.parametrize("common,own", [(150, 50), (100, 100), (60, 60), (30, 60), (0, 40), (0, 9)])
+def test_decontamination_recall_with_boilerplate(common, own):
+    """Items that share most of their words, sought in edited copies and in documents of their own words alone."""
+    rnd = random.Random(common + own)
+    shared = [f"b{rnd.randrange(10**6)}" for _ in range(common)]
+    items = [shared + [f"w{rnd.randrange(20000)}" for _ in range(own)] for _ in range(40)]
+    index, known = decontamination.Items.of([(k, " ".join(w)) for k, w in enumerate(items)]).prepared(), TokenHashes()
+    hits = missed = 0
+    for k, words in enumerate(items):
+        copies = [words[common:]] if common else []
+        for _ in range(12):
+            v = list(words)
+            for _ in range(rnd.randint(0, max(1, own // 25))):
+                v[rnd.randrange(common, len(v))] = f"z{rnd.randrange(10**6)}"
+            v = v[rnd.randint(0, own // 6) : len(v) - rnd.randint(0, own // 8)]
+            copies += [v, [f"y{rnd.randrange(10**6)}" for _ in range(20)] + v + ["tail"]]
+        for copy in copies:
+            hashes = word_hashes(" ".join(copy), known)
+            shingles = shingle_hashes(hashes).tolist()
+            size = min(len(words), len(copy)) - 4
+            if max((index.similarity(shingles[i : i + size], k) for i in range(len(shingles) - size + 1)), default=0) >= 0.8:
+                found = k in index.matches(hashes, 0.8)
+                hits, missed = hits + found, missed + (not found)
+    assert hits > 60 and missed <= 0.01 * (hits + missed)
+
+
 def test_ngram_join(spark):
     rnd = random.Random(6)
     base = [" ".join(rnd.choice(WORDS) for _ in range(120)) for _ in range(12)]
