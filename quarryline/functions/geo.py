@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +24,10 @@ SHORT_NAMES = (
     "بهاباد", "اردل", "سامان", "بیضا", "خرامه", "کوار", "سرباز", "سرخه", "طالقان",
     "انار", "رابر", "کوهین", "شال", "گرمدره", "شهرضا",
 )
-MARKERS = ("استان", "شهرستان", "شهر", "بخش", "منطقه")
+MARKERS = ("استان", "شهرستان", "شهر", "بخش", "دهستان", "واقع در", "واقع در استان")
 SEPARATORS = " \t\n\r‌‍‎‏ -_.،,()[]/\\+*"
-#: Places of a gazetteer at most; it is sent to every task.
+_TOKEN = re.compile(f"[^\\s{re.escape(SEPARATORS)}]+")
+#: Places of a gazetteer at most that ``locate`` sends to every task; ``located`` joins a gazetteer of any size.
 MOST_PLACES = 100_000
 _MAP = {ord(a): b for a, b in zip(LETTERS_FROM, LETTERS_TO, strict=True)} | {ord(c): None for c in DIACRITICS + TATWEEL}
 _MAP |= {ord(a): str(k) for digits in (PERSIAN_DIGITS, ARABIC_DIGITS) for k, a in enumerate(digits)}
@@ -115,6 +117,109 @@ def locate(spark: SparkSession, gazetteer: Gazetteer, text, hint_city=None, hint
     return run(_c(text), _c(hint_city) if hint_city is not None else none, _c(hint_province) if hint_province is not None else none)
 
 
+def _place_key(name: str | None) -> str:
+    """A name without what separates its words."""
+    return "".join(_TOKEN.findall(_plain(name or "")))
+
+
+def _grams(text: str, lengths: frozenset[int], longest: int) -> Iterator[tuple[int, int, str, bool, bool, bool, bool]]:
+    """(start, end, key, a marker is near, one of a county ends before, of a city, any) of the runs of whole words that are as long as some name."""
+    norm = _plain(text)
+    words = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(norm)]
+    for i, (a, _, _) in enumerate(words):
+        key = ""
+        for _, b, word in words[i:]:
+            key += word
+            if len(key) > longest:
+                break
+            if len(key) in lengths:
+                near, before = norm[max(0, a - 18) : b + 18], norm[max(0, a - 24) : a].rstrip()
+                yield a, b, key, any(m in near for m in MARKERS), before.endswith(("شهرستان", "بخش")), before.endswith("شهر"), before.endswith(MARKERS)
+
+
+def places_in_texts(texts: DataFrame, places: DataFrame, id: str, text: str, need_context: frozenset[str] = NEED_CONTEXT) -> DataFrame:
+    """(<id>, found array<struct<a, b, kind, name, county, province, in_county, in_city, marked>>): the places of ``places(kind, name, county, province)`` in texts.
+
+    Runs of a text's words that are as long as some name are joined to the names, so the gazetteer has no bound and is nowhere whole. Of
+    runs that overlap the leftmost and then the longest holds; names are found as whole words, however their own words are
+    separated. Names that need a marker near them and have none are left out after that, and a place is there once. Texts without places have no row.
+    """
+
+    @F.pandas_udf("string")
+    def place_key(names: pd.Series) -> pd.Series:
+        return names.map(_place_key)
+
+    p = places.select("kind", "name", "county", "province").distinct().withColumn("key", place_key("name")).where("key <> ''")
+    needs = F.col("name").isin(*need_context) | (F.length("key") <= 3) & F.col("key").isin(*SHORT_NAMES)
+    by_key = p.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("kind", "name", "county", "province"))).alias("places"), F.max(needs).alias("needs"))
+    lengths = frozenset(r[0] for r in p.select(F.length("key")).distinct().collect())  # at most as many as the longest name has letters
+    longest = max(lengths, default=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, out = batch.column(0), []
+            for k, t in enumerate(batch.column(1).to_pylist()):
+                for gram in _grams(t or "", lengths, longest):
+                    out.append((k, *gram))
+                    if len(out) >= 50_000:
+                        yield pack(ids, out)
+                        out = []
+            yield pack(ids, out)
+
+    def pack(ids: pa.Array, out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) if out else [[]] * 8
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(columns[0], pa.int64())), *(pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True))], ["id", *names])
+
+    kinds = [pa.int32(), pa.int32(), pa.string(), *[pa.bool_()] * 4]
+    names = ["a", "b", "key", "near", "in_county", "in_city", "marked"]
+    schema = f"id {texts.schema[id].dataType.simpleString()}, a int, b int, key string, near boolean, in_county boolean, in_city boolean, marked boolean"
+    met = texts.select(id, text).mapInArrow(run, schema).join(by_key, "key")
+    one = F.struct("a", (-F.col("b")).alias("to"), "needs", "near", "in_county", "in_city", "marked", "places")
+    runs = met.groupBy("id").agg(F.array_sort(F.collect_list(one)).alias("runs"))
+    # runs by start, longest first: one that begins before the last that holds has ended is passed over
+    start = F.struct(F.lit(0).alias("end"), F.expr("CAST(array() AS array<int>)").alias("at"))
+    kept = F.aggregate(
+        F.sequence(F.lit(0), F.size("runs") - 1), start,
+        lambda s, k: F.when(F.get("runs", k)["a"] < s["end"], s).otherwise(F.struct((-F.get("runs", k)["to"]).alias("end"), F.concat(s["at"], F.array(k)).alias("at"))), lambda s: s["at"],
+    )
+    holding = F.filter(F.transform(kept, lambda k: F.get("runs", k)), lambda r: ~r["needs"] | r["near"])
+    each = lambda r: F.transform(r["places"], lambda q: F.struct(r["a"].alias("a"), (-r["to"]).alias("b"), q["kind"].alias("kind"), q["name"].alias("name"), q["county"].alias("county"), q["province"].alias("province"), r["in_county"].alias("in_county"), r["in_city"].alias("in_city"), r["marked"].alias("marked")))
+    rows = runs.select("id", F.flatten(F.transform(holding, each)).alias("found"))
+    same = lambda x, y: (x["kind"] == y["kind"]) & (x["name"] == y["name"])
+    first = F.filter("found", lambda x, k: ~F.exists(F.slice("found", 1, k), lambda y: same(x, y)))
+    return rows.select(F.col("id").alias(id), first.alias("found")).where("size(found) > 0")
+
+
+def located(texts: DataFrame, places: DataFrame, id: str, text: str, hint_city: str | None = None, hint_province: str | None = None, need_context: frozenset[str] = NEED_CONTEXT) -> DataFrame:
+    """``texts`` with the (province, county, city, confidence) that ``Gazetteer.locate`` describes, by ``places_in_texts``; ``id`` is unique."""
+    none = F.lit(None).cast("string")
+    found = places_in_texts(texts, places, id, text, need_context)
+    rows = texts.join(found, id, "left").withColumns({
+        "__found": F.coalesce("found", F.filter(F.array(F.lit(None).cast(found.schema["found"].dataType.elementType)), lambda x: x.isNotNull())),
+        "__city": F.col(hint_city) if hint_city else none, "__province": F.col(hint_province) if hint_province else none,
+    }).drop("found")
+    of = lambda condition: F.transform(F.filter("__found", condition), lambda x: x["name"])
+    rows = rows.withColumns({
+        "__cities": of(lambda x: x["kind"] == "city"), "__counties": of(lambda x: x["kind"] == "county"), "__provinces": of(lambda x: x["kind"] == "province"),
+        "__in_county": of(lambda x: (x["kind"] != "province") & x["in_county"]), "__in_city": of(lambda x: (x["kind"] == "city") & x["in_city"]),
+    })
+    head = lambda c: F.get(c, F.lit(0))
+    has = lambda c, x: F.coalesce(F.array_contains(c, x), F.lit(False))
+    hinted = has("__cities", F.col("__city")) | has("__counties", F.col("__city")) | has("__provinces", F.col("__city"))
+    marked_county = F.when(has("__cities", head("__in_county")), head("__in_county"))
+    explicit = (F.size("__in_county") > 0) | (F.size("__in_city") > 0) | F.exists("__found", lambda x: x["marked"]) | has("__cities", F.col("__city"))
+    rows = rows.withColumns({"city": F.when(hinted, F.col("__city")).otherwise(F.coalesce(head("__in_city"), marked_county, head("__cities"))), "__explicit": explicit})
+    same = F.filter("__found", lambda x: (x["kind"] == "city") & (x["name"] == F.col("city")))
+    rows = rows.withColumn("__same", same)
+    rows = rows.withColumn("__chosen", F.coalesce(head(F.filter("__same", lambda x: x["province"] == F.col("__province"))), head("__same")))
+    province = F.when(has("__provinces", F.col("__province")), F.col("__province")).otherwise(F.coalesce("__chosen.province", head("__provinces")))
+    county = F.coalesce("__chosen.county", F.when(has("__counties", head("__in_county")), head("__in_county")), head("__counties"))
+    rows = rows.withColumns({"province": province, "county": county})
+    confidence = F.when(F.col("__explicit") & F.col("city").isNotNull(), 70).when(F.col("city").isNotNull(), 55).when(F.col("province").isNotNull(), 40).otherwise(15)
+    own = [c for c in texts.columns if c not in ("province", "county", "city", "confidence")]
+    return rows.select(*own, "province", "county", "city", confidence.alias("confidence"))
+
+
 def nested_places(spark: SparkSession, path: str) -> DataFrame:
     """(kind, name, county, province, area_code) of a JSON file of provinces with counties with cities; area codes are the province's."""
     schema = "provinces array<struct<name: string, area_codes: array<string>, counties: array<struct<name: string, cities: array<string>>>>>"

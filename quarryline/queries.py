@@ -233,7 +233,7 @@ def relevance_scores(spark, sf_dir):
 
 
 @query(f"""SELECT doc_id, {_weight_sql(LEXICON.spam)} > 0 AS spam_terms, {_weight_sql(LEXICON.spam)} >= 7 AS dense
-FROM (SELECT doc_id, substr(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 1, 20000) AS t FROM documents)""")
+FROM (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM documents)""")
 def spam_flags(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     flags = relevance.spam_flags(F.lower("text"), lexicon=LEXICON)
@@ -299,23 +299,20 @@ _FIRST = r"regexp_replace(lower(text), '[^a-z]+', '', 'g')"
 def _keyed(spark, sf_dir):
     key = F.regexp_replace(F.lower("text"), "[^a-z]+", "")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), key.alias("k"))
-    return docs.select("id", "k", F.array(F.concat(F.lit("n:"), F.substring("k", 1, 14)), F.concat(F.lit("l:"), F.right("k", F.lit(12)))).alias("keys"))
+    return docs.select("id", F.array(F.concat(F.lit("n:"), F.substring("k", 1, 14)), F.concat(F.lit("l:"), F.right("k", F.lit(12)))).alias("keys"))
 
 
-_KEYED = f"""keyed AS (SELECT doc_id AS id, {_FIRST} AS k, unnest(['n:' || substr({_FIRST}, 1, 14), 'l:' || right({_FIRST}, 12)]) AS key FROM documents),
-sizes AS (SELECT key, count(*) AS n FROM keyed GROUP BY 1), large AS (SELECT id, key || '|' || sha1(k) AS key FROM keyed JOIN sizes USING (key) WHERE n > 400), large_sizes AS (SELECT key, count(*) AS n, min(id) AS first FROM large GROUP BY 1),
-blocked AS (SELECT key, id FROM keyed JOIN sizes USING (key) WHERE n BETWEEN 2 AND 400 UNION ALL SELECT key, id FROM large JOIN large_sizes USING (key) WHERE n BETWEEN 2 AND 400)"""
+_KEYED = f"keyed AS (SELECT doc_id AS id, unnest(['n:' || substr({_FIRST}, 1, 14), 'l:' || right({_FIRST}, 12)]) AS key FROM documents)"
 
 
-@query(f"WITH {_KEYED} SELECT key, count(*) AS n FROM blocked GROUP BY 1 UNION ALL SELECT key || '|' || id::VARCHAR, 2 FROM large JOIN large_sizes USING (key) WHERE n > 400 AND id <> first")
+@query(f"WITH {_KEYED} SELECT key, count(*) AS n FROM keyed GROUP BY 1 HAVING count(*) > 1")
 def block_sizes(spark, sf_dir):
-    return dedup.blocks(_keyed(spark, sf_dir), "keys", finer="k").select("key", F.size("ids").cast("bigint").alias("n"))
+    return dedup.block_sizes(_keyed(spark, sf_dir), "keys")
 
 
-@query(f"""WITH {_KEYED} SELECT DISTINCT a.id AS a, b.id AS b FROM blocked a JOIN blocked b ON a.key = b.key AND a.id < b.id
-UNION SELECT first, id FROM large JOIN large_sizes USING (key) WHERE n > 400 AND id <> first""")
+@query(f"WITH {_KEYED} SELECT DISTINCT a.id AS a, b.id AS b FROM keyed a JOIN keyed b ON a.key = b.key AND a.id < b.id")
 def blocking_pairs(spark, sf_dir):
-    return dedup.candidate_pairs(dedup.blocks(_keyed(spark, sf_dir), "keys", finer="k"))
+    return dedup.candidate_pairs(_keyed(spark, sf_dir), "keys")
 
 
 def _copies(spark, sf_dir):

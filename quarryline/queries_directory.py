@@ -505,17 +505,6 @@ def exported_api_rows(spark, sf_dir):
 
 # ---- sources
 
-_ROBOTS = "User-agent: *\nDisallow: /private\nAllow: /private/open\nCrawl-delay: 3\nUser-agent: other\nDisallow: /\n"
-
-
-@query("""SELECT page_id, CASE WHEN page_id % 3 = 1 THEN false ELSE true END AS allowed FROM pages""")
-def robots_verdicts(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"))
-    fetches = p.withColumn("url", F.concat(F.lit("http://www.h"), (F.col("id") % 5).cast("string"), F.lit(".ir/"), F.expr("CASE id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'private/x' ELSE 'private/open/y' END")))
-    files = spark.range(5).select(F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".ir")).alias("domain"), F.lit(_ROBOTS).alias("body"))
-    return politeness.allowed(fetches, politeness.robots_rules(files)).select(F.col("id").alias("page_id"), "allowed")
-
-
 @query("""WITH x AS (SELECT *, count(*) FILTER (value >= 50) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events), s AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id, g ORDER BY ts, event_id) AS streak FROM x WHERE value < 50)
 SELECT user_id, max(ts) + INTERVAL 120 SECOND AS blocked_until FROM s WHERE streak % 5 = 0 GROUP BY 1 HAVING max(ts) + INTERVAL 120 SECOND > TIMESTAMP '2024-01-05 00:00:00'""")
 def blocked_domains(spark, sf_dir):

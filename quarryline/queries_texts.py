@@ -209,9 +209,25 @@ def phones_in_html(spark, sf_dir):
  (CASE c_custkey % 3 WHEN 0 THEN 55 WHEN 1 THEN 70 ELSE 15 END)::INT AS confidence FROM customer JOIN places p ON p.id = c_custkey % 25""")
 def located_texts(spark, sf_dir):
     p = directory(spark, sf_dir, "places")["places"]
-    g = geo.load(p.select(F.lit("city").alias("kind"), F.concat(F.lit("Kart "), F.col("id").cast("string")).alias("name"), "county", "province"))
+    g = p.select(F.lit("city").alias("kind"), F.concat(F.lit("Kart "), F.col("id").cast("string")).alias("name"), "county", "province")
     c = table(spark, sf_dir, "customer").selectExpr("c_custkey", "concat(CASE c_custkey % 3 WHEN 0 THEN 'a shop in Kart ' WHEN 1 THEN 'شهر Kart-' ELSE 'xKart' END, c_custkey % 25, if(c_custkey % 3 = 2, 'z', ' here')) AS t")
-    return c.select("c_custkey", geo.locate(spark, g, "t").alias("l")).select("c_custkey", "l.city", "l.province", "l.county", "l.confidence")
+    return geo.located(c, g, "c_custkey", "t").select("c_custkey", "city", "province", "county", "confidence")
+
+
+@query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\s_.،,()\[\]/\\+*\x{200c}\x{200d}\x{200e}\x{200f}\x{00a0}-]+'), lambda x: x <> '') AS words FROM documents),
+names AS (SELECT DISTINCT words[1] AS name FROM w WHERE doc_id % 3 = 0 AND length(words[1]) BETWEEN 4 AND 12),
+runs AS (SELECT doc_id, i, j, array_to_string(words[i:j], '') AS name FROM w, LATERAL (SELECT unnest(range(1, len(words) + 1)) AS i), LATERAL (SELECT unnest(range(i, least(i + 11, len(words)) + 1)) AS j)),
+met AS (SELECT doc_id, list({'i': i, 'name': name, 'till': j, 'kept': []::VARCHAR[]} ORDER BY i, j DESC) AS c FROM runs SEMI JOIN names USING (name) GROUP BY doc_id),
+held AS (SELECT doc_id, list_reduce(c, lambda a, x: CASE WHEN x.i <= a.till THEN a ELSE {'i': x.i, 'name': x.name, 'till': x.till, 'kept': list_append(a.kept, x.name)} END, {'i': 0::BIGINT, 'name': '', 'till': 0::BIGINT, 'kept': []::VARCHAR[]}).kept AS kept FROM met)
+SELECT doc_id, len(list_distinct(kept))::BIGINT AS places, kept[1] AS first FROM held""")
+def places_in_documents(spark, sf_dir):
+    """Names are the first words of a third of the texts; they are sought in all texts, whole."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = F.filter(F.split("text", r"[\s_.،,()\[\]/\\+*\u200c\u200d\u200e\u200f\u00a0-]+"), lambda x: x != "")
+    none = F.lit(None).cast("string")
+    names = docs.where("doc_id % 3 = 0").select(F.lit("city").alias("kind"), F.get(words, F.lit(0)).alias("name"), none.alias("county"), none.alias("province")).where("length(name) BETWEEN 4 AND 12")
+    got = geo.places_in_texts(docs, names, "doc_id", "text")
+    return got.select("doc_id", F.size("found").cast("bigint").alias("places"), F.col("found")[0]["name"].alias("first"))
 
 
 @query(f"""WITH {ctes("places")} SELECT id, CASE WHEN id % 2 = 0 THEN concat('0', CAST(id % 10 AS VARCHAR)) ELSE '099' END AS area_code FROM places""")

@@ -14,7 +14,7 @@ class Settings:
     relevance_gate: int = 30
     merge_at: float = 0.80
     review_at: float = 0.62
-    block_most: int = 400
+    block_chunk: int = 256
     refresh_days: int = 14
     pages_most: int = 3
     revalidate_days: int = 90
