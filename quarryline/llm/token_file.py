@@ -26,8 +26,8 @@ from quarryline.llm.common import new_path, texts
 
 #: Ids of a block, and ids after which a segment ends with its document.
 BLOCK, SEGMENT = 4096, 1 << 20
-#: Words whose ids a task remembers, and characters of the longest of them.
-MOST_WORDS, LONGEST_WORD = 500_000, 64
+#: Words whose ids a process remembers, the first it meets, and characters of the longest of them.
+MOST_WORDS, LONGEST_WORD = 1_000_000, 64
 #: part, segment: where a segment stands; first, n_ids: its place among the part's ids; width: bits of an id; ends: where each document ends, from the
 #: segment's first id; blocks: where each block begins in ``packed``, and its end.
 SCHEMA = "part int, segment int, first long, n_ids long, width int, doc_ids array<long>, ends array<long>, blocks array<long>, packed binary"
@@ -130,14 +130,12 @@ class Encoder:
             return b"".join(map(self.words.__getitem__, words))
         except KeyError:
             new = [w for w in set(words) if w not in self.words]
-        if len(self.words) > MOST_WORDS:
-            self.words.clear()
-            new = list(set(words))
         more = {w: self._alone(w) for w in new if self.BETWEEN in w or len(w) > LONGEST_WORD}
         rest = [w for w in new if w not in more]
         for lo in range(0, len(rest), 10_000):
             more.update(self._together(rest[lo : lo + 10_000]))
-        self.words.update((w, b) for w, b in more.items() if len(w) <= LONGEST_WORD)
+        if len(self.words) < MOST_WORDS:
+            self.words.update((w, b) for w, b in more.items() if len(w) <= LONGEST_WORD)
         return b"".join([more[w] if w in more else self.words[w] for w in words])
 
     def _alone(self, text: str) -> bytes:
@@ -152,6 +150,12 @@ class Encoder:
         return {w: data[a:b] for w, a, b in zip(words, starts, [*(4 * cuts).tolist(), len(data)], strict=True)}
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """The encoder of a file; tasks of one process share what it remembers."""
+    return Encoder(path)
+
+
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, segment: int = SEGMENT) -> None:
     """Writes the ids of ``docs(doc_id, text)`` to ``path``, in ascending order of ``doc_id``, each document's followed by ``end_id``.
 
@@ -162,8 +166,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, segment:
     enough = segment
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
-        width = width_of(max(encoder.tokenizer.get_vocab_size(), end_id + 1))
+        words = encoder(tokenizer_path)
+        width = width_of(max(words.tokenizer.get_vocab_size(), end_id + 1))
         end = np.array([end_id], dtype="<u4")
         held: list[np.ndarray] = []
         ids: list[int | None] = []
@@ -179,7 +183,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, segment:
         for batch in batches:
             for key, p, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), strict=True):
                 part = p
-                held.append(np.concatenate([encoder.encode(text), end]))
+                held.append(np.concatenate([words.encode(text), end]))
                 ids.append(key)
                 n += len(held[-1])
                 if n >= enough:
