@@ -142,7 +142,7 @@ def places_in_texts(texts: DataFrame, places: DataFrame, id: str, text: str, nee
 
     Runs of a text's words that are as long as some name are joined to the names, so the gazetteer has no bound and is nowhere whole. Of
     runs that overlap the leftmost and then the longest holds; names are found as whole words, however their own words are
-    separated. Names that need a marker near them and have none are left out after that, and a place is there once. Texts without places have no row.
+    separated, and one within a longer word covers nothing. Names that need a marker near them and have none are left out after that, and a place is there once. Texts without places have no row.
     """
 
     @F.pandas_udf("string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,18 +33,33 @@ def candidates(fetched: DataFrame, lexicon: Lexicon = DEFAULT, plan: PhonePlan =
     """Scored candidates of ``fetched(url, html, source_id, reliability, city, province, arrival)``; the place is the query's if a page names none."""
     found = pages_of.extract(fetched.select("url", "html"), plan=plan).withColumnRenamed("city", "named_city")
     rows = found.join(fetched.drop("html"), "url").withColumns({"city": F.coalesce("named_city", "city"), "location_confidence": F.when(F.col("named_city").isNotNull(), 80).otherwise(40)})
+    return _scored(rows, lexicon)
+
+
+def listed_candidates(found: DataFrame, asked: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """Scored candidates of ``adapters.candidates``; ``asked(source_key, query_text, source_id, reliability, city, province)`` says where they were asked for, which holds if they name no place."""
+    where = asked.select("source_key", "query_text", "source_id", "reliability", F.col("city").alias("asked_city"), F.col("province").alias("asked_province"))
+    rows = found.join(where, ["source_key", "query_text"]).withColumns({
+        "location_confidence": F.when(F.col("city").isNotNull(), 80).otherwise(40), "city": F.coalesce("city", "asked_city"), "province": F.coalesce("province", "asked_province"), "arrival": F.col("cid"),
+    }).drop("asked_city", "asked_province", "query_text", "source_key", "page")
+    return _scored(rows, lexicon)
+
+
+def _scored(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
     body = F.concat_ws(" ", "text", "address")
     rows = score_relevance(rows.withColumn("body", body), "name", "body", lexicon)
     flags = spam_flags("text", phones=F.size("phones"), lexicon=lexicon)
     return rows.withColumns({"is_spam": F.size(flags) > 0, "domain": domain_of("website"), "categories": F.array_compact(F.array("category")), "business_type": F.col("role")})
 
 
-def run(tables: dict[str, DataFrame], fetched: DataFrame, as_of: Column, lexicon: Lexicon = DEFAULT, plan: PhonePlan = PLAN, settings: Settings = Settings()) -> Outcome:
-    """One batch of pages folded in; the same batch again changes no counts.
+def run(tables: dict[str, DataFrame], fetched: DataFrame, as_of: Column, lexicon: Lexicon = DEFAULT, plan: PhonePlan = PLAN, settings: Settings = Settings(), listed: DataFrame | None = None) -> Outcome:
+    """One batch of pages folded in, and with ``listed`` what sources list by themselves (``listed_candidates``); the same batch again changes no counts.
 
     Spam is dropped, what isn't relevant leaves evidence without a business, what has neither phone nor website is skipped.
     """
-    gated = cut(upsert.gate(candidates(fetched, lexicon, plan), settings), "gated")
+    scored = candidates(fetched, lexicon, plan)
+    scored = scored if listed is None else scored.unionByName(listed, allowMissingColumns=True)
+    gated = cut(upsert.gate(scored, settings), "gated")
     kept = gated.where("fate = 'keep'").withColumnRenamed("owner", "owner_name")
     links = tables["business_phones"].join(tables["phones"].select(F.col("id").alias("phone_id"), "e164"), "phone_id").select(F.col("business_id").alias("id"), "e164")
     known = tables["businesses"].where("status <> 'MERGED'").select("id", "fingerprint", "name", F.col("city_name").alias("city"))
@@ -84,25 +100,25 @@ def _businesses(old: DataFrame, folded: DataFrame, as_of: Column) -> DataFrame:
     return upsert.keyed_upsert(old, new, ["id"], rules)
 
 
-
-
 @dataclass
 class Campaign:
-    """What a round of a job leaves: the tables, the ledger of queries, what it asked for, the history of checked phones, and what merged."""
+    """What a round of a job leaves: the tables, the ledger of queries, what it asked for, the history of checked phones, what merged, and how much there was of what."""
 
     tables: dict[str, DataFrame]
     ledger: DataFrame
     asked: DataFrame
     history: DataFrame
     merged: DataFrame
+    counts: DataFrame
 
 
 def campaign(tables: dict[str, DataFrame], ledger: DataFrame, tasks: DataFrame, sources: DataFrame, answers: DataFrame, as_of: Column, lexicon: Lexicon = DEFAULT, plan: PhonePlan = PLAN, settings: Settings = Settings(), budget: int | None = None) -> Campaign:
     """One round: queries that the ledger admits are answered, their pages folded in, the ledger closed, pairs scored, and records that are one merged.
 
     answers: (source_key, query_text, page, url, html, source_id, reliability, city, province), what is stored for a query; a query without
-    any has failed. A page that several queries lead to is folded once and counts for the first of them. The next round, over
-    what this one leaves, asks for the pages that are due then.
+    any has failed. A page that several queries lead to is folded once and counts for the first of them. Records that others merged into
+    have their counts and score made anew of all evidence they have then. The next round, over what this one leaves, asks for the
+    pages that are due then. counts: (what, n), see ``_counts``.
     """
     asked = cut(planner.admit(tasks, sources, ledger, as_of, settings.pages_most, settings.refresh_days, budget).select("query_text", "source_key", "query_hash", "page"), "asked")
     got = answers.join(asked, ["source_key", "query_text", "page"])
@@ -131,5 +147,57 @@ def campaign(tables: dict[str, DataFrame], ledger: DataFrame, tasks: DataFrame,
     )
     records = cut(records, "records")
     merged = cut(dedup.duplicate_log(records, as_of, settings=settings), "merged")
-    out = dedup.merge(out, merged.select(F.col("merged_id").alias("id"), F.col("canonical_id").alias("canonical")).unionByName(merged.select(F.col("canonical_id").alias("id"), F.col("canonical_id").alias("canonical")).distinct()))
-    return Campaign({k: cut(v, k) if k in ("businesses", "business_phones", "source_observations") else v for k, v in out.items()}, closed, asked, cut(history, "history"), merged)
+    mapping = merged.select(F.col("merged_id").alias("id"), F.col("canonical_id").alias("canonical")).unionByName(merged.select(F.col("canonical_id").alias("id"), F.col("canonical_id").alias("canonical")).distinct())
+    out = dedup.merge(out, mapping)
+    out = {k: cut(v, k) if k in ("businesses", "business_phones", "source_observations") else v for k, v in out.items()}
+    out["businesses"] = cut(recomputed(out, mapping, evaluated, settings), "businesses")
+    return Campaign(out, closed, asked, cut(history, "history"), merged, cut(_counts(tables, out, asked, runs, fetched, outcome.fates, merged), "counts"))
+
+
+def recomputed(tables: dict[str, DataFrame], mapping: DataFrame, evaluated: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The businesses after a merge by ``mapping(id, canonical)``: those that others merged into are counted and scored anew, over the pairs of all that are one now."""
+    merged_into = mapping.where("id <> canonical").select(F.col("canonical").alias("id")).distinct()
+    moved = dedup.remap(evaluated, mapping.where("id <> canonical"), "business_id")
+    b = tables["businesses"]
+    again = revalidate.recompute_businesses(b.join(merged_into, "id", "left_semi"), tables["source_observations"], moved, settings)
+    return b.join(merged_into, "id", "left_anti").unionByName(again)
+
+
+def _counts(before: dict[str, DataFrame], after: dict[str, DataFrame], asked: DataFrame, runs: DataFrame, fetched: DataFrame, fates: DataFrame, merged: DataFrame) -> DataFrame:
+    """(what, n): queries asked and failed, pages, candidates by fate, new businesses, phones and observations, records merged."""
+    count = lambda df, what: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+    new = lambda name: count(after[name].select("id").join(before[name].select("id"), "id", "left_anti"), f"new {name}")
+    parts = [
+        count(asked, "asked"), count(runs.where("outcome = 'FAILED'"), "failed"), count(fetched, "pages"), fates.select(F.concat(F.lit("fate "), "fate").alias("what"), "n"), new("businesses"), new("phones"),
+        new("source_observations"), count(merged, "merged"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@dataclass
+class Discovery:
+    """A job of several rounds: what the last one leaves, the counts of each (round, what, n), the history and the merges of all."""
+
+    last: Campaign
+    counts: DataFrame
+    history: DataFrame
+    merged: DataFrame
+
+    @property
+    def totals(self) -> DataFrame:
+        """(what, n) over all rounds."""
+        return self.counts.groupBy("what").agg(F.sum("n").alias("n"))
+
+
+def discover(tables: dict[str, DataFrame], ledger: DataFrame, tasks: DataFrame, sources: DataFrame, answers: DataFrame, as_of: Column, rounds: int, step: str = "1 HOUR", **more) -> Discovery:
+    """Rounds of ``campaign``, each over what the one before left and ``step`` later, until one has nothing to ask for; ``more`` goes to each."""
+    last, done = None, []
+    for k in range(rounds):
+        at = as_of + F.expr(f"INTERVAL {step}") * k
+        now = campaign(tables if last is None else last.tables, ledger if last is None else last.ledger, tasks, sources, answers, at, **more)
+        if last is not None and now.asked.isEmpty():
+            break
+        last = now
+        done.append((k + 1, now))
+    union = lambda frames: reduce(DataFrame.unionByName, frames)
+    return Discovery(last, union([c.counts.select(F.lit(k).alias("round"), "what", "n") for k, c in done]), union([c.history for _, c in done]), union([c.merged for _, c in done]))

@@ -243,11 +243,11 @@ def spam_flags(spark, sf_dir):
 
 _CONF = """
 SELECT l_suppkey AS id, count(DISTINCT l_partkey % 5) AS domains, count(*) AS observations, max(l_shipdate) AS newest, max(CASE WHEN l_returnflag = 'R' AND l_quantity = 50 THEN 1 ELSE 0 END) = 1 AS spam,
- max(l_discount * 10) AS top, avg(l_discount * 10) AS mean FROM lineitem WHERE l_quantity >= 45 GROUP BY 1"""
+ max(l_discount * 10) AS top, avg(l_discount * 10) AS mean FROM lineitem GROUP BY 1"""
 
 
 def _scored(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").where("l_quantity >= 45")
+    l = table(spark, sf_dir, "lineitem")
     rows = l.groupBy(F.col("l_suppkey").alias("id")).agg(
         F.countDistinct(F.col("l_partkey") % 5).alias("domains"), F.count("*").alias("observations"), F.max("l_shipdate").alias("newest"),
         (F.max(F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") == 50), 1).otherwise(0)) == 1).alias("spam"), F.max(F.col("l_discount") * 10).alias("top"),

@@ -417,7 +417,7 @@ def dead_letters(spark, sf_dir):
     return queue.dead_letters(_queue(spark, sf_dir)).select("id")
 
 
-_JOBS = "jobs AS (SELECT CAST(o_orderkey AS BIGINT) AS id, 'discover' AS kind, 'j' AS name, CASE o_orderstatus WHEN 'F' THEN 'RUNNING' WHEN 'O' THEN 'PENDING' ELSE 'DONE' END AS status, 'p' AS params, CAST(10 AS BIGINT) AS target, 0.0 AS progress, false AS cancel_requested, CAST(NULL AS STRING) AS error, o_orderdate AS heartbeat_at, o_orderdate AS created_at, o_orderdate AS updated_at FROM {orders} WHERE o_orderkey < 400)"
+_JOBS = "jobs AS (SELECT CAST(o_orderkey AS BIGINT) AS id, 'discover' AS kind, 'j' AS name, CASE o_orderstatus WHEN 'F' THEN 'RUNNING' WHEN 'O' THEN 'PENDING' ELSE 'DONE' END AS status, 'p' AS params, CAST(10 AS BIGINT) AS target, 0.0 AS progress, false AS cancel_requested, CAST(NULL AS STRING) AS error, o_orderdate AS heartbeat_at, o_orderdate AS created_at, o_orderdate AS updated_at FROM {orders})"
 
 
 def _jobs(spark, sf_dir):
@@ -535,7 +535,7 @@ def cache_after_writes(spark, sf_dir):
 
 
 def _api_answers(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_partkey < 500")
+    p = table(spark, sf_dir, "part")
     one = F.struct(F.concat(F.lit("http://s.ir/"), F.col("p_partkey").cast("string")).alias("u"), F.col("p_name").alias("t"), F.col("p_type").alias("s"))
     made = None
     for key, (path, names) in {"BING_API": ("webPages.value", ("url", "name", "snippet")), "GOOGLE_CSE": ("items", ("link", "title", "snippet")), "SERPAPI": ("organic_results", ("link", "title", "snippet")), "SEARX": ("results", ("url", "title", "content"))}.items():
@@ -548,14 +548,14 @@ def _api_answers(spark, sf_dir):
     return made
 
 
-@query("""SELECT p_partkey, source, rank, concat('http://s.ir/', CAST(p_partkey AS VARCHAR)) AS url, p_name AS title, p_type AS snippet FROM part, (VALUES ('BING_API'), ('GOOGLE_CSE'), ('SERPAPI'), ('SEARX')) s(source), (VALUES (1), (2)) r(rank) WHERE p_partkey < 500""")
+@query("""SELECT p_partkey, source, rank, concat('http://s.ir/', CAST(p_partkey AS VARCHAR)) AS url, p_name AS title, p_type AS snippet FROM part, (VALUES ('BING_API'), ('GOOGLE_CSE'), ('SERPAPI'), ('SEARX')) s(source), (VALUES (1), (2)) r(rank)""")
 def api_result_items(spark, sf_dir):
     return _api_answers(spark, sf_dir).select("p_partkey", "source", "rank", "url", "title", "snippet")
 
 
-@query("""SELECT p_partkey, concat('http://s.ir/', CAST(p_partkey AS VARCHAR)) AS url, p_name AS title, p_type AS snippet, engine FROM part, (VALUES ('DUCKDUCKGO'), ('BING_HTML'), ('MOJEEK')) e(engine) WHERE p_partkey < 500""")
+@query("""SELECT p_partkey, concat('http://s.ir/', CAST(p_partkey AS VARCHAR)) AS url, p_name AS title, p_type AS snippet, engine FROM part, (VALUES ('DUCKDUCKGO'), ('BING_HTML'), ('MOJEEK')) e(engine)""")
 def html_result_items(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_partkey < 500").withColumn("u", F.concat(F.lit("http://s.ir/"), F.col("p_partkey").cast("string")))
+    p = table(spark, sf_dir, "part").withColumn("u", F.concat(F.lit("http://s.ir/"), F.col("p_partkey").cast("string")))
     shapes = {
         "DUCKDUCKGO": ("<div class='result'><a class='result__a' href='", "'>", "</a><a class='result__snippet'>", "</a></div>"),
         "BING_HTML": ("<ol><li class='b_algo'><h2><a href='", "'>", "</a></h2><div class='b_caption'><p>", "</p></div></li></ol>"),

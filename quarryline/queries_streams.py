@@ -7,6 +7,8 @@ from datetime import timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.directory import NOW, ctes
+from quarryline.operators.catalog import BusinessFilter
 from quarryline.operators.components import shared_path
 from quarryline.registry import query, table
 from quarryline.streaming import states
@@ -84,3 +86,59 @@ def streamed_cache(spark, sf_dir):
     status = F.when(F.col("event_type") == "view", 200).when(F.col("event_type") == "error", 503)
     stream = sliced(e.select(F.col("user_id").cast("string").alias("url_hash"), F.col("event_id").alias("id"), status.alias("status"), "ts"), "ts")
     return drained(states.cached_answers(stream), "answers", idle=False)
+
+
+@query("""SELECT user_id, count(*) AS n, min(ts) AS oldest, max(ts) AS newest, round(sum(value), 2) AS total FROM events GROUP BY 1""")
+def bucketed_totals(spark, sf_dir):
+    """Totals by user kept in a table of buckets; each batch of a stream rewrites the buckets of its users only."""
+    from quarryline.streaming import buckets
+
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("decimal(30,8)").alias("value"))
+    kept = buckets.Buckets(spark, shared_path(spark, "buckets"), "user_id long, n long, oldest timestamp, newest timestamp, total decimal(38,8)", "user_id", 16)
+
+    def merge(old: DataFrame, batch: DataFrame) -> DataFrame:
+        new = batch.groupBy("user_id").agg(F.count("*").alias("n"), F.min("ts").alias("oldest"), F.max("ts").alias("newest"), F.sum("value").alias("total"))
+        both = old.unionByName(new).groupBy("user_id").agg(F.sum("n").alias("n"), F.min("oldest").alias("oldest"), F.max("newest").alias("newest"), F.sum("total").alias("total"))
+        return both.withColumn("total", F.col("total").cast("decimal(38,8)"))
+
+    buckets.fold(sliced(e, "ts"), kept, merge, shared_path(spark, "buckets-state")).awaitTermination()
+    time = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return kept.read().select("user_id", "n", time("oldest"), time("newest"), F.round(F.col("total").cast("double"), 2).alias("total"))
+
+
+@query(f"""WITH {ctes("businesses", "business_phones", "sources", "source_observations", "phones")} SELECT unnest(['csv', 'json']) AS format, count(*) AS row_count FROM businesses WHERE NOT is_synthetic AND status IN ('ACTIVE', 'QUARANTINED') AND province_name IN ('ASIA', 'EUROPE')""")
+def recorded_exports(spark, sf_dir):
+    """Exports whose rows are counted while they are written."""
+    from quarryline import schemas
+    from quarryline.queries_directory import _export_tables
+    from quarryline.sources import export
+
+    tables = _export_tables(spark, sf_dir)
+    kept, records = BusinessFilter(provinces=("ASIA", "EUROPE"), limit=None), schemas.empty(spark, "export_records")
+    for fmt in ("csv", "json"):
+        records = export.recorded(records, export.rows(tables, kept), shared_path(spark, "export"), fmt, kept, F.expr(f"TIMESTAMP {NOW}"))
+    return records.select("format", "row_count")
+
+
+@query("""SELECT 'rows' AS what, count(*)::DOUBLE AS n FROM events UNION ALL SELECT 'kept.failed', count(*) FILTER (event_type = 'error' AND user_id IS NOT NULL) FROM events UNION ALL SELECT 'kept.seen', count(*) FROM events WHERE user_id IS NOT NULL""")
+def observed_stream(spark, sf_dir):
+    """Numbers of a stream's batches added up by a listener while the stream runs."""
+    import time
+
+    from quarryline.plans.metrics import Progress
+
+    progress = Progress()
+    spark.streams.addListener(progress)
+    try:
+        stream = sliced(table(spark, sf_dir, "events"), "ts").where("user_id is not null").observe("kept", F.count(F.lit(1)).alias("seen"), F.count_if(F.col("event_type") == "error").alias("failed"))
+        path = shared_path(spark, "observed")
+        q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
+        q.awaitTermination()
+        for _ in range(100):  # events reach a listener a little later
+            if str(q.id) in progress.ended:
+                break
+            time.sleep(0.1)
+        found = progress.totals(q.id)
+    finally:
+        spark.streams.removeListener(progress)
+    return spark.createDataFrame([(k, float(v)) for k, v in sorted(found.items())], "what string, n double")

@@ -121,6 +121,53 @@ def equal_record_pairs(spark, sf_dir):
     return dedup.scored_pairs(rows.withColumns({"address": none, "domain": none, "phones": F.array().cast("array<string>")})).where("verdict = 'merge'").select("a", "b", "score", "verdict")
 
 
+def _lcs(a: str, b: str) -> str:
+    """SQL of the length of the longest common subsequence of two texts of up to 60 characters, row by row in the bits of one number."""
+    masks = f"list_transform(string_split({b}, ''), lambda c: list_sum(list_transform(range(length({a})), lambda i: CASE WHEN {a}[i + 1] = c THEN 1::BIGINT << i ELSE 0 END))::BIGINT)"
+    full = f"((1::BIGINT << length({a})) - 1)"
+    return f"(length({a}) - bit_count(list_reduce({masks}, lambda r, m: ((r + (r & m)) | (r - (r & m))) & {full}, {full})))"
+
+
+def _indel(a: str, b: str) -> str:
+    return f"CASE WHEN {a} = {b} THEN ({a} <> '')::INT::DOUBLE WHEN {a} = '' OR {b} = '' THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * {_lcs(a, b)} / (length({a}) + length({b})) END"
+
+
+def _shops(source: str, listed, picked, empty: str) -> str:
+    """Shops made of the parts: names, towns, streets, hosts and numbers that are near each other in all ways; how a list is written depends on the engine."""
+    endings = listed(f"'{x}'" for x in ("trading", "tradings", "trade", "harbour", "harbor", "northern wool", "wool northern", "mill"))
+    phones = listed(f"concat('{code}', CAST(p_partkey % {n} AS STRING))" for code, n in (("+9821", 500), ("+9831", 70)))
+    return f"""SELECT p_partkey AS id, concat(p_name, ' ', {picked(endings, "p_partkey * 31 % 8")}) AS name, concat('Town ', CAST(p_size % 6 AS STRING)) AS city,
+ CASE WHEN p_partkey % 3 <> 0 THEN concat('street ', CAST(p_size % 12 AS STRING), ' ', lower(p_type), ' side') END AS address,
+ CASE WHEN p_partkey % 4 = 0 THEN concat('shop', CAST(p_partkey % 300 AS STRING), '.ir') END AS domain, CASE WHEN p_partkey % 5 = 0 THEN {phones} ELSE {empty} END AS phones FROM {source}"""
+
+
+_SHOPS = _shops("part", lambda xs: f"[{', '.join(xs)}]", lambda xs, k: f"{xs}[{k} + 1]", "[]")
+
+
+@query(f"""WITH r AS ({_SHOPS}), k AS (SELECT *, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS nk, regexp_replace(lower(city), '[^a-z0-9]', '', 'g') AS ck, regexp_replace(lower(coalesce(address, '')), '[^a-z0-9]', '', 'g') AS ak,
+ list_sort(list_distinct(list_filter(string_split(lower(name), ' '), lambda x: length(x) >= 3))) AS words, min(id) OVER (PARTITION BY name, city, address, domain, phones) AS first FROM r),
+keys AS (SELECT DISTINCT id, unnest(list_concat(list_filter(['n:' || nk[:14], 'n2:' || nk[:6], 'nc:' || nk[:12] || '|' || ck[:8], 'd:' || domain, CASE WHEN length(ak) >= 10 THEN 'a:' || ak[:16] END], lambda x: x IS NOT NULL), list_transform(phones, lambda x: 'p:' || x))) AS key FROM k WHERE id = first),
+pairs AS (SELECT DISTINCT a.id AS a, b.id AS b FROM keys a JOIN keys b ON a.key = b.key AND a.id < b.id UNION ALL SELECT first, id FROM k WHERE id <> first),
+j AS (SELECT p.a, p.b, x.nk AS xn, y.nk AS yn, x.ak AS xa, y.ak AS ya, x.ck = y.ck AS town, list_has_any(x.phones, y.phones) AS shared, coalesce(x.domain = y.domain, false) AS dom,
+ array_to_string(list_sort(list_intersect(x.words, y.words)), ' ') AS s, array_to_string(list_filter(x.words, lambda w: NOT list_contains(y.words, w)), ' ') AS p, array_to_string(list_filter(y.words, lambda w: NOT list_contains(x.words, w)), ' ') AS q
+ FROM pairs p JOIN k x ON x.id = p.a JOIN k y ON y.id = p.b),
+m AS (SELECT *, {_indel("xn", "yn")} AS raw, CASE WHEN xa = '' OR ya = '' THEN 0.0::DOUBLE ELSE {_indel("xa", "ya")} END AS addr,
+ CASE WHEN s <> '' AND (p = '' OR q = '') THEN 1.0::DOUBLE WHEN s = '' THEN {_indel("p", "q")} ELSE greatest(2.0::DOUBLE * ({_lcs("p", "q")} + length(s) + 1) / (length(p) + length(q) + 2 * (length(s) + 1)),
+  2.0::DOUBLE * length(s) / (2 * length(s) + 1 + length(p)), 2.0::DOUBLE * length(s) / (2 * length(s) + 1 + length(q))) END AS core FROM j),
+n AS (SELECT *, CASE WHEN core < 0.75 THEN least(raw, 0.35::DOUBLE + 0.64::DOUBLE * core) ELSE raw END AS name, shared OR dom OR addr >= 0.85 OR (xn = yn AND town) OR (core >= 0.88 AND town) AS anchor FROM m),
+t AS (SELECT *, greatest(CASE WHEN shared AND (name >= 0.72 OR addr >= 0.70 OR xn = yn) THEN 0.9 ELSE 0 END::DOUBLE, CASE WHEN dom THEN 0.85 ELSE 0 END::DOUBLE, CASE WHEN town AND name >= 0.90 AND core >= 0.80 THEN 0.88 ELSE 0 END::DOUBLE,
+ CASE WHEN town AND name >= 0.80 AND core >= 0.70 THEN 0.70 ELSE 0 END::DOUBLE, CASE WHEN town AND core >= 0.95 AND name >= 0.50 THEN 0.66 ELSE 0 END::DOUBLE, CASE WHEN name >= 0.95 AND addr >= 0.85 THEN 0.92 ELSE 0 END::DOUBLE,
+ 0.45::DOUBLE * name + 0.25::DOUBLE * addr + CASE WHEN town THEN 0.20::DOUBLE ELSE 0 END) AS top FROM n),
+z AS (SELECT a, b, least(1.0::DOUBLE, round_even(CASE WHEN anchor THEN top ELSE least(top, 0.55::DOUBLE) END, 4)) AS score FROM t)
+SELECT a, b, score, CASE WHEN score >= 0.80 THEN 'merge' WHEN score >= 0.62 THEN 'review' END AS verdict FROM z""")
+def ladder_verdicts(spark, sf_dir):
+    """Blocking and comparison of shops whose names, addresses, hosts and phones are alike, equal or unlike."""
+    from quarryline.operators import dedup
+
+    rows = spark.sql(_shops(f"parquet.`{sf_dir}/part.parquet`", lambda xs: f"array({', '.join(xs)})", lambda xs, k: f"{xs}[CAST({k} AS INT)]", "CAST(array() AS array<string>)"))
+    return dedup.scored_pairs(rows).select("a", "b", "score", "verdict")
+
+
 # ---- URLs
 
 
@@ -299,10 +346,10 @@ def structured_candidates(spark, sf_dir):
     return got.select("s_suppkey", "name", F.array_join("phones", ",").alias("phones"), "address", "city", "owner", "kind")
 
 
-@query("""SELECT p_partkey, concat(p_name, ' ', k) AS name, concat('+98912', lpad(CAST(p_partkey AS VARCHAR), 6, '3'), k) AS phones, 'http://own.ir/' || k AS website, 'DIRECTORY_ENTRY' AS kind FROM part, (VALUES ('1'), ('2'), ('3')) v(k) WHERE p_partkey < 300""")
+@query("""SELECT p_partkey, concat(p_name, ' ', k) AS name, concat('+98912', lpad(CAST(p_partkey AS VARCHAR), 6, '3'), k) AS phones, 'http://own.ir/' || k AS website, 'DIRECTORY_ENTRY' AS kind FROM part, (VALUES ('1'), ('2'), ('3')) v(k)""")
 def listing_candidates(spark, sf_dir):
     entry = "concat('<li class=\"row\"><div class=\"item\"><h3>', p_name, ' {k}</h3><p>موبایل 0912', lpad(p_partkey, 6, '3'), '{k}</p><a href=\"http://own.ir/{k}\">w</a><a href=\"https://t.me/x{k}\">t</a></div></li>')"
-    p = table(spark, sf_dir, "part").where("p_partkey < 300").selectExpr("p_partkey", "concat('http://a.ir/', p_partkey) AS url", "concat('<html><body><ul>', " + ", ".join(entry.format(k=k) for k in (1, 2, 3)) + ", '</ul></body></html>') AS html")
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey", "concat('http://a.ir/', p_partkey) AS url", "concat('<html><body><ul>', " + ", ".join(entry.format(k=k) for k in (1, 2, 3)) + ", '</ul></body></html>') AS html")
     got = pages.extract(p.select("url", "html")).join(p.select("p_partkey", "url"), "url")
     return got.select("p_partkey", "name", F.array_join("phones", ",").alias("phones"), "website", "kind")
 
@@ -365,13 +412,13 @@ def page_spam_flags(spark, sf_dir):
     return p.select("p_partkey", F.array_join(relevance.spam_flags("t", "links", "phones", _TERMS), ",").alias("flags"))
 
 
-@query("""WITH l AS (SELECT l_suppkey AS id, list_sort(list_distinct(list(l_discount * 10))) AS kinds, count(*) AS n FROM lineitem WHERE l_quantity >= 45 GROUP BY 1)
+@query("""WITH l AS (SELECT l_suppkey AS id, list_sort(list_distinct(list(l_discount * 10))) AS kinds, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT s_suppkey AS id, round(CASE WHEN kinds IS NULL THEN 0 ELSE 100 * (0.7 * list_max(kinds) + 0.3 * list_avg(kinds)) END, 6) AS source FROM supplier LEFT JOIN l ON l.id = s_suppkey""")
 def source_component(spark, sf_dir):
     """Confidence of several reliabilities: seven tenths of the best and three of their mean."""
     from quarryline.functions import confidence
 
-    l = table(spark, sf_dir, "lineitem").where("l_quantity >= 45").groupBy(F.col("l_suppkey").alias("id")).agg(F.collect_set(F.col("l_discount") * 10).alias("reliabilities"))
+    l = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.collect_set(F.col("l_discount") * 10).alias("reliabilities"))
     rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")).join(l, "id", "left").withColumn("reliabilities", F.coalesce("reliabilities", F.array().cast("array<double>")))
     yes, none = F.lit(True), F.array().cast("array<string>")
     rows = rows.withColumns({k: yes for k in ("has_name", "has_address", "has_website", "has_owner", "location_known", "business_type_known", "area_matches")} | {"domains": F.lit(1), "observations": F.lit(1), "phone_quality": F.lit(1.0), "phone_type": F.lit("LANDLINE"), "fake_signals": none, "is_synthetic": F.lit(False), "relevance": F.lit(50), "spam": F.lit(False), "newest": F.expr("TIMESTAMP_NTZ '1999-01-01'")})

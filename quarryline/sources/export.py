@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.operators.catalog import BusinessFilter, businesses, evidence_of, ordered, phones_of
+from quarryline.plans.metrics import written_with
 
 # The columns of an export, in order.
 COLUMNS = (
@@ -81,3 +82,10 @@ def record(spark: SparkSession, records: DataFrame, path: str, fmt: str, f: Busi
     given = json.dumps({k: v for k, v in vars(f).items() if v not in (None, (), False)}, default=str, ensure_ascii=False)
     row = spark.range(1).select(F.xxhash64(F.lit(path), as_of).alias("id"), F.lit(path).alias("path"), F.lit(fmt).alias("format"), F.lit(given).alias("filters"), F.lit(n).cast("bigint").alias("row_count"), as_of.alias("created_at"))
     return records.unionByName(row)
+
+
+def recorded(records: DataFrame, df: DataFrame, path: str, fmt: str, f: BusinessFilter, as_of: Column) -> DataFrame:
+    """Writes ``df`` as csv or json and gives the list of exports with this one, whose rows are counted as they are written."""
+    write = {"csv": write_csv, "json": write_json}[fmt]
+    seen = written_with(df, lambda rows: write(rows, path))
+    return record(df.sparkSession, records, path, fmt, f, seen["rows"], as_of)
