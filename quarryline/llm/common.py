@@ -10,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
 
@@ -42,18 +41,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def looked_up(rows: DataFrame, found: DataFrame, key: str, n: str, most: int = 1000) -> DataFrame:
-    """``rows`` with the columns of ``found`` of their key but ``n``, where ``n`` says how many of ``rows`` a key has.
-
-    Keys that at least one in ``most`` rows has, of which there are ``most`` at most, are broadcast; the others are joined by a
-    shuffle, in which no key has a larger share of the rows than that.
-    """
-    total = found.agg(F.sum(n)).first()[0] or 0
-    heavy, light = found.where(F.col(n) * most >= total).drop(n), found.where(F.col(n) * most < total).drop(n)
-    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(heavy), key).unionByName(rest.join(light, key))
-
-
 class WordHashes(dict):
     """64-bit hashes of words, remembered; emptied before it grows past half a million of them."""
 

@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from quarryline.llm.common import texts, written
 
-#: Pages of a host that a subtree must be on to be template, and the share of the host's pages.
-MIN_PAGES, MIN_SHARE = 10, 0.05
+#: Pages of a host that a subtree must be on to be template, and the share of the host's pages; on so many pages it is one whatever the share.
+MIN_PAGES, MIN_SHARE, MANY_PAGES = 10, 0.05, 100
+#: Share of the text in links from which on an element is a list of links.
+LINKED = 0.5
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -34,12 +36,16 @@ DROPPED = frozenset(
     "script select style svg template textarea title video audio embed map".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alertdialog alert form toolbar".split())
-_NAMES = re.compile(
-    r"(?:^|[-_ ])(?:ads?|advert\w*|adsense|adslot|banner|sponsor\w*|promo\w*|comments?|commentlist|disqus|replies|reply|respond|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|"
-    r"footer\w*|(?:site|page|global|top|main)-?header|masthead|topbar|toolbar|cookies?|consent|gdpr|notices?|notifications?|newsletter\w*|subscri\w*|signup|share|sharing|social\w*|related|recommend\w*|"
-    r"popup|modal|overlay|widget\w*|pagination|pager|login|search\w*|skip-?link|copyright|legal|disclaimer|outbrain|taboola|teaser\w*|hidden|sr-only|visually-hidden)(?:$|[-_ ])",
-    re.I,
+# Names of classes and ids, whole: such an element is no part of an article.
+_PLACES = r"(?:(?:site|page|global|top|main|left|right|bottom|primary|secondary|side)[-_])*"
+_ADDED = r"(?:[-_](?:\d+|box|bar|wrap|wrapper|container|area|list|block|section|inner|content|top|bottom|left|right|form|thread|widget))*"
+_SURE = re.compile(
+    _PLACES + r"(?:ads?|advert(?:isement|ising)?s?|adsense|adsbygoogle|ad-?(?:slot|unit|banner)|banner|sponsored|promo|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|masthead|topbar|toolbar|"
+    r"(?:cookies?|gdpr|consent)(?:[-_](?:notice|banner|consent|popup|message))?|notices?|notifications?|newsletter|subscribe|subscription|comments?|disqus|replies|reply|respond|pagination|pager|popup|modal|"
+    r"overlay|skip-?link|copyright|outbrain|taboola|hidden|sr-only|visually-hidden)" + _ADDED + r"|(?:site|page|global|top|main)-?header",
 )
+# Parts of names that many articles use too: with these, an element that is mostly links isn't part of one.
+_MAYBE = re.compile(r"(?:^|[-_])(?:ads?|sponsor\w*|promo\w*|nav\w*|menu\w*|share|sharing|social\w*|related|recommend\w*|widget\w*|teaser\w*|login|signup|search\w*|legal|disclaimer|comment\w*|sidebar\w*|footer\w*)(?:$|[-_])")
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _LINKS = re.compile(r"\d+|(?:href|src|content|action)\s*=\s*(?:\"[^\"]*\"|'[^']*'|\S+)")
@@ -125,7 +131,23 @@ def _named(node: Node) -> bool:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
         return True
-    return any(_NAMES.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", found[k])) for k in ("class", "id") if k in found)
+    names = [x.lower() for k in ("class", "id") for x in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", found.get(k, "")).split()]
+    return any(map(_SURE.fullmatch, names)) or any(map(_MAYBE.search, names)) and _linked(node) >= LINKED
+
+
+def _linked(node: Node) -> float:
+    """The share of an element's text that is in links; 1 without text."""
+    inside = total = 0
+    work: list = [(c, node.tag == "a") for c in node.children]
+    while work:
+        x, link = work.pop()
+        if isinstance(x, str):
+            n = len("".join(x.split()))
+            total += n
+            inside += n if link else 0
+        elif x.tag not in DROPPED:
+            work.extend((c, link or x.tag == "a") for c in x.children)
+    return inside / total if total else 1.0
 
 
 def _order(root: Node) -> list[tuple[Node, bool, bool]]:
@@ -232,8 +254,8 @@ def host(url):
     return F.lower(F.coalesce(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def template_hashes(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, h1, h2, n_pages): subtrees on at least ``min_pages`` pages and ``min_share`` of the pages of a host.
+def template_hashes(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many: int = MANY_PAGES) -> DataFrame:
+    """(host, h1, h2, n_pages): subtrees on at least ``min_pages`` pages of a host that are ``min_share`` of its pages, or on at least ``many``.
 
     Each task counts what it meets and sends a row per host and subtree, so a host with a third of all pages has no task of its own.
     """
@@ -264,7 +286,7 @@ def template_hashes(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: flo
     counts = written(rows.groupBy("host", "h1", "h2").agg(F.sum("n").alias("n_pages")).where(F.col("n_pages") >= min_pages), "subtrees")
     totals = counts.where("h1 = 0 and h2 = 0").select("host", F.col("n_pages").alias("total"))
     found = counts.where("not (h1 = 0 and h2 = 0)").join(totals, "host")
-    return found.where(F.col("n_pages") >= min_share * F.col("total")).select("host", "h1", "h2", "n_pages")
+    return found.where((F.col("n_pages") >= min_share * F.col("total")) | (F.col("n_pages") >= many)).select("host", "h1", "h2", "n_pages")
 
 
 def _templates_by_host(spark, template: DataFrame, most: int):
@@ -282,8 +304,8 @@ def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
     """(page_id, url, text, n_chars): the main text of each row of ``pages(page_id, url, html)``; other columns are left out.
 
     Null and empty pages have an empty text; rows and ids may repeat. The template goes to the tasks by broadcast while it is
-    at most ``most_broadcast`` subtrees (a host has at most 1 / ``min_share`` times its subtrees a page), beyond that a host's
-    subtrees are joined to its pages as one array, which those bounds hold small.
+    at most ``most_broadcast`` subtrees, beyond that a host's subtrees are joined to its pages as one array. Classes and ids tell what
+    is no article only by names that say nothing else, or where the element is mostly links.
     """
     pages = pages.select("page_id", "url", "html")
     template = template_hashes(pages, min_pages, min_share)

@@ -9,7 +9,6 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 from quarryline.llm import conversation_trie  # noqa: E402
-from quarryline.llm.common import looked_up  # noqa: E402
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 COLUMNS = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
@@ -85,15 +84,6 @@ def test_hot_copies_pass_in_chunks(spark, monkeypatch):
     check(spark, rows)
 
 
-def test_lookup_of_heavy_and_light_keys(spark):
-    rows = [(k, 0) for k in range(50)] + [(k, k % 7 + 1) for k in range(50, 90)]
-    frame = spark.createDataFrame(rows, "id long, key long")
-    counts = frame.groupBy("key").count().selectExpr("key", "key * 10 as tenfold", "count as n_of_key")
-    for most in (1, 3, 1000):
-        got = looked_up(frame, counts, "key", "n_of_key", most).collect()
-        assert sorted((r.id, r.key, r.tenfold) for r in got) == sorted((i, k, 10 * k) for i, k in rows)
-
-
 def test_query_is_its_sql(spark, tmp_path):
     import duckdb
 

@@ -326,6 +326,35 @@ def test_byte_bpe(spark, docs):
     assert byte_bpe.encode(d.limit(0), byte_bpe.vocabulary(d.limit(0), RANKS, PATTERN), ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("block", ['<section class="legal">kept</section>', '<div class="related-work">kept</div>', '<p class="market share">kept</p>', '<div class="navy-text">kept</div>', '<div id="promotions-2020">kept</div>',
+                                   '<div class="search-theory">kept <a href=/x>on</a> searching</div>', '<p class="advertising-history">kept</p>', '<div class="commentary">kept</div>'])
+def test_html_names_of_articles_stay(block):
+    page = "<html><body><nav><a href=/>Home</a></nav>%s<footer>f</footer></body></html>"
+    for frame in ("<article><h1>T</h1>%s<p>end</p></article>", "<div><h1>T</h1>%s<p>end</p></div>"):
+        text = html_extraction.extract(page % (frame % block))
+        assert text.startswith("T\n\nkept") and text.endswith("\n\nend")
+
+
+@pytest.mark.parametrize("block", ['<div class="related"><a href=/x>one</a> <a>two</a></div>', '<div class="ad-box">buy</div>', '<div class="Share"><a>tell</a></div>', '<div id="cookieNotice">we use</div>', '<ul class="comments-list"><li>nice</ul>',
+                                   '<div class="site-footer">f</div>', '<div class="newsletter_form">mail</div>', '<section class="main-nav">n</section>', '<div role="search">s</div>', '<div hidden>h</div>', '<aside>a</aside>'])
+def test_html_names_of_other_parts_go(block):
+    assert html_extraction.extract(f"<html><body><article><h1>T</h1>{block}<p>end</p></article></body></html>") == "T\n\nend"
+
+
+def test_html_templates_by_count(spark):
+    """Which subtrees recur, counted over plain strings of them: by the share of a host's pages, or by many pages whatever the share."""
+    block = lambda k: f"<div data-x='{k}'><span>part {k}</span></div>"
+    pages = [(h, "<body>" + "".join(block(k) for k in (1, 2, 3, 4) if n % (1, 4, 30, 90)[k - 1] == 0) + f"<article><p>own {n}</p></article></body>") for h, many in (("big.ir", 360), ("small.ir", 30)) for n in range(many)]
+    rows = [(k, f"http://{h}/{k}", html) for k, (h, html) in enumerate(pages)]
+    got = html_extraction.template_hashes(frame(spark, rows, "page_id long, url string, html string"), min_pages=10, min_share=0.1, many=80).collect()
+    counted = Counter((h, k) for h, html in pages for k in (1, 2, 3, 4) if block(k) in html)
+    total = Counter(h for h, _ in pages)
+    want = sorted((h, n) for (h, k), n in counted.items() if n >= 10 and (n >= 0.1 * total[h] or n >= 80))
+    assert sorted((r.host, r.n_pages) for r in got) == want and len(want) == 3
+    few = html_extraction.template_hashes(frame(spark, rows, "page_id long, url string, html string"), min_pages=10, min_share=0.9, many=10).collect()
+    assert sorted((r.host, r.n_pages) for r in few) == sorted((h, n) for (h, _), n in counted.items() if n >= 10)
+
+
 def test_html_extraction(spark):
     page = "<html><body><header>Site</header><nav><a href=/a>x</a></nav>{tpl}<main><h1>T &amp; {k}</h1><p>One&nbsp; two<br>{k}<p>same words<aside>s</aside><div class=comments>c</div></main><footer>f</footer>"
     rows = [(k, "http://H.example/x?%d" % k, page.format(k=k, tpl="<div><b>Buy now</b></div>")) for k in range(15)]
