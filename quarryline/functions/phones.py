@@ -277,13 +277,12 @@ def find_phones(df, text: str, key: str, area: str | None = None, plan: PhonePla
     rows = rows.withColumn("parsed", judged)
     quality = phone_quality("parsed", inferred="is_local")
     rows = rows.withColumn("quality", F.when(F.col("is_local"), F.least(quality, F.lit(0.6))).otherwise(quality))
-    good = rows.where("reason is null")
-    order = W.partitionBy(key).orderBy("start")
-    first = good.withColumn("again", F.row_number().over(W.partitionBy(key, "e164").orderBy("start"))).where("again = 1")
-    first = first if most is None else first.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
-    kept = first.select(key, "raw", "start", "stop", "e164", "national", F.col("parsed.type").alias("type"), F.col("parsed.area_code").alias("area_code"), F.col("is_local").alias("inferred"), "hint", "quality", "snippet", "reason")
-    lost = rows.where("reason is not null").select(key, "raw", "start", "stop", "e164", "national", F.col("parsed.type").alias("type"), F.col("parsed.area_code").alias("area_code"), F.col("is_local").alias("inferred"), "hint", "quality", "snippet", "reason")
-    return kept.unionByName(lost)
+    # one pass: rejected tokens are in partitions of the window too, but their numbers don't count
+    good = F.col("reason").isNull()
+    rows = rows.withColumn("again", F.row_number().over(W.partitionBy(key, F.when(good, F.col("e164"))).orderBy("start"))).where(~good | (F.col("again") == 1))
+    if most is not None:
+        rows = rows.withColumn("nth", F.row_number().over(W.partitionBy(key, good).orderBy("start"))).where(~good | (F.col("nth") <= most))
+    return rows.select(key, "raw", "start", "stop", "e164", "national", F.col("parsed.type").alias("type"), F.col("parsed.area_code").alias("area_code"), F.col("is_local").alias("inferred"), "hint", "quality", "snippet", "reason")
 
 
 def find_phones_in_html(df, html: str, key: str, area: str | None = None, plan: PhonePlan = PLAN, most: int | None = None):
