@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import pandas as pd
 import pyarrow as pa
@@ -26,6 +27,8 @@ SHORT_NAMES = (
 )
 MARKERS = ("استان", "شهرستان", "شهر", "بخش", "دهستان", "واقع در", "واقع در استان")
 SEPARATORS = " \t\n\r‌‍‎‏ -_.،,()[]/\\+*"
+#: Bits of the table that tells runs of words which can't be a name.
+_BITS = 1 << 20
 _TOKEN = re.compile(f"[^\\s{re.escape(SEPARATORS)}]+")
 #: Places of a gazetteer at most that ``locate`` sends to every task; ``located`` joins a gazetteer of any size.
 MOST_PLACES = 100_000
@@ -122,9 +125,10 @@ def _place_key(name: str | None) -> str:
     return "".join(_TOKEN.findall(_plain(name or "")))
 
 
-def _grams(text: str, lengths: frozenset[int], longest: int) -> Iterator[tuple[int, int, str, bool, bool, bool, bool]]:
-    """(start, end, key, a marker is near, one of a county ends before, of a city, any) of the runs of whole words that are as long as some name."""
+def _grams(text: str, lengths: frozenset[int], longest: int, known: bytes) -> Iterator[tuple[int, int, str, bool, bool, bool, bool]]:
+    """(start, end, key, a marker is near, one of a county ends before, of a city, any) of the runs of whole words that are as long as some name and share its bit of ``known``."""
     norm = _plain(text)
+    marked = any(m in norm for m in MARKERS)
     words = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(norm)]
     for i, (a, _, _) in enumerate(words):
         key = ""
@@ -132,7 +136,10 @@ def _grams(text: str, lengths: frozenset[int], longest: int) -> Iterator[tuple[i
             key += word
             if len(key) > longest:
                 break
-            if len(key) in lengths:
+            if len(key) in lengths and known[crc32(key.encode("utf-8", "replace")) & (_BITS - 1)]:
+                if not marked:
+                    yield a, b, key, False, False, False, False
+                    continue
                 near, before = norm[max(0, a - 18) : b + 18], norm[max(0, a - 24) : a].rstrip()
                 yield a, b, key, any(m in near for m in MARKERS), before.endswith(("شهرستان", "بخش")), before.endswith("شهر"), before.endswith(MARKERS)
 
@@ -140,8 +147,8 @@ def _grams(text: str, lengths: frozenset[int], longest: int) -> Iterator[tuple[i
 def places_in_texts(texts: DataFrame, places: DataFrame, id: str, text: str, need_context: frozenset[str] = NEED_CONTEXT) -> DataFrame:
     """(<id>, found array<struct<a, b, kind, name, county, province, in_county, in_city, marked>>): the places of ``places(kind, name, county, province)`` in texts.
 
-    Runs of a text's words that are as long as some name are joined to the names, so the gazetteer has no bound and is nowhere whole. Of
-    runs that overlap the leftmost and then the longest holds; names are found as whole words, however their own words are
+    Runs of a text's words that are as long as some name are joined to the names, so the gazetteer has no bound and is nowhere whole; a table of a million
+    bits, by a hash of the names, keeps most other runs from being shuffled. Of runs that overlap the leftmost and then the longest holds; names are found as whole words, however their own words are
     separated, and one within a longer word covers nothing. Names that need a marker near them and have none are left out after that, and a place is there once. Texts without places have no row.
     """
 
@@ -154,12 +161,16 @@ def places_in_texts(texts: DataFrame, places: DataFrame, id: str, text: str, nee
     by_key = p.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("kind", "name", "county", "province"))).alias("places"), F.max(needs).alias("needs"))
     lengths = frozenset(r[0] for r in p.select(F.length("key")).distinct().collect())  # at most as many as the longest name has letters
     longest = max(lengths, default=0)
+    bits = bytearray(_BITS)
+    for r in p.select(F.crc32("key").bitwiseAND(F.lit(_BITS - 1)).cast("int")).distinct().collect():  # at most as many as there are bits
+        bits[r[0]] = 1
+    known = bytes(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, out = batch.column(0), []
             for k, t in enumerate(batch.column(1).to_pylist()):
-                for gram in _grams(t or "", lengths, longest):
+                for gram in _grams(t or "", lengths, longest, known):
                     out.append((k, *gram))
                     if len(out) >= 50_000:
                         yield pack(ids, out)
@@ -176,18 +187,30 @@ def places_in_texts(texts: DataFrame, places: DataFrame, id: str, text: str, nee
     met = texts.select(id, text).mapInArrow(run, schema).join(by_key, "key")
     one = F.struct("a", (-F.col("b")).alias("to"), "needs", "near", "in_county", "in_city", "marked", "places")
     runs = met.groupBy("id").agg(F.array_sort(F.collect_list(one)).alias("runs"))
-    # runs by start, longest first: one that begins before the last that holds has ended is passed over
-    start = F.struct(F.lit(0).alias("end"), F.expr("CAST(array() AS array<int>)").alias("at"))
-    kept = F.aggregate(
-        F.sequence(F.lit(0), F.size("runs") - 1), start,
-        lambda s, k: F.when(F.get("runs", k)["a"] < s["end"], s).otherwise(F.struct((-F.get("runs", k)["to"]).alias("end"), F.concat(s["at"], F.array(k)).alias("at"))), lambda s: s["at"],
-    )
-    holding = F.filter(F.transform(kept, lambda k: F.get("runs", k)), lambda r: ~r["needs"] | r["near"])
-    each = lambda r: F.transform(r["places"], lambda q: F.struct(r["a"].alias("a"), (-r["to"]).alias("b"), q["kind"].alias("kind"), q["name"].alias("name"), q["county"].alias("county"), q["province"].alias("province"), r["in_county"].alias("in_county"), r["in_city"].alias("in_city"), r["marked"].alias("marked")))
-    rows = runs.select("id", F.flatten(F.transform(holding, each)).alias("found"))
-    same = lambda x, y: (x["kind"] == y["kind"]) & (x["name"] == y["name"])
-    first = F.filter("found", lambda x, k: ~F.exists(F.slice("found", 1, k), lambda y: same(x, y)))
-    return rows.select(F.col("id").alias(id), first.alias("found")).where("size(found) > 0")
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_settled(r) for r in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], [id, "found"])
+
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), *((c, pa.string()) for c in ("kind", "name", "county", "province")), *((c, pa.bool_()) for c in ("in_county", "in_city", "marked"))]))
+    shape = f"{id} {texts.schema[id].dataType.simpleString()}, found array<struct<a: int, b: int, kind: string, name: string, county: string, province: string, in_county: boolean, in_city: boolean, marked: boolean>>"
+    return runs.select(F.col("id").alias(id), "runs").mapInArrow(settle, shape).where("size(found) > 0")
+
+
+def _settled(runs: list[dict]) -> list[dict]:
+    """Of a text's runs, by start and longest first, the places of those that hold: one that begins before the last that holds has ended is passed over."""
+    end, seen, out = 0, set(), []
+    for r in runs:
+        if r["a"] < end:
+            continue
+        end = -r["to"]
+        if r["needs"] and not r["near"]:
+            continue
+        for p in r["places"]:
+            if (p["kind"], p["name"]) not in seen:
+                seen.add((p["kind"], p["name"]))
+                out.append({"a": r["a"], "b": end, **p, "in_county": r["in_county"], "in_city": r["in_city"], "marked": r["marked"]})
+    return out
 
 
 def located(texts: DataFrame, places: DataFrame, id: str, text: str, hint_city: str | None = None, hint_province: str | None = None, need_context: frozenset[str] = NEED_CONTEXT) -> DataFrame:
