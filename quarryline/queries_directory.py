@@ -361,6 +361,34 @@ def duplicate_log(spark, sf_dir):
     return dedup.duplicate_log(rows, _now()).select("canonical_id", "merged_id", "score")
 
 
+@query("""WITH r AS (SELECT s_suppkey AS id, concat('shop ', CAST(s_suppkey % 40 AS VARCHAR)) AS name, concat('town ', CAST(s_nationkey % 3 AS VARCHAR)) AS city, (s_suppkey * 7919 % 101) AS confidence FROM supplier),
+m AS (SELECT id, first_value(id) OVER (PARTITION BY name, city ORDER BY confidence DESC, id) AS canonical FROM r QUALIFY count(*) OVER (PARTITION BY name, city) > 1), g AS (SELECT id FROM m WHERE id <> canonical)
+SELECT 'total' AS what, count(*) AS n FROM g UNION ALL SELECT 'newest', id FROM (SELECT id FROM g ORDER BY id DESC LIMIT 10)""")
+def duplicate_totals(spark, sf_dir):
+    """How many records merged, and the ten that merged last."""
+    none = F.lit(None).cast("string")
+    rows = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "concat('shop ', s_suppkey % 40) AS name", "concat('town ', s_nationkey % 3) AS city", "s_suppkey * 7919 % 101 AS confidence", "1 AS completeness")
+    total, newest = dedup.dedup_stats(dedup.duplicate_log(rows.withColumns({"address": none, "domain": none, "phones": F.array().cast("array<string>")}), _now()))
+    return total.select(F.lit("total").alias("what"), F.col("total").alias("n")).unionByName(newest.select(F.lit("newest").alias("what"), F.col("merged_id").alias("n")))
+
+
+@query("""SELECT query_text, 'A' AS source_key, 1 AS page FROM (SELECT DISTINCT 'q ' || p_name AS query_text, min(p_partkey) OVER (PARTITION BY p_name) AS ordinal FROM part) ORDER BY ordinal, query_text LIMIT 25""")
+def budgeted_admission(spark, sf_dir):
+    """A round that may ask for 25 queries asks for the first of those that the ledger admits."""
+    tasks = table(spark, sf_dir, "part").groupBy(F.concat(F.lit("q "), "p_name").alias("query_text")).agg(F.min("p_partkey").alias("ordinal"))
+    sources = spark.createDataFrame([("A", 1), ("B", 2)], "source_key string, turn int")
+    ledger = spark.createDataFrame([], "source_key string, query_hash string, state string, depth int, run_count int, new_results int, last_run_at timestamp, next_run_at timestamp")
+    return planner.admit(tasks, sources, ledger, _now(), budget=25).select("query_text", "source_key", "page")
+
+
+@query("SELECT 'q ' || p_name AS query_text, count(*) AS n, true AS same FROM part GROUP BY 1")
+def shuffled_tasks(spark, sf_dir):
+    """Tasks in an order that a seed decides: all are there, each seed gives one order however the tasks are dealt, and no other seed's."""
+    tasks = table(spark, sf_dir, "part").groupBy(F.concat(F.lit("q "), "p_name").alias("query_text")).agg(F.count("*").alias("n"))
+    one, again, other = (planner.shuffled(x, seed).select("query_text", F.col("ordinal").alias(name)) for x, seed, name in ((tasks, 7, "a"), (tasks.repartition(5), 7, "b"), (tasks, 8, "c")))
+    return tasks.join(one, "query_text").join(again, "query_text").join(other, "query_text").select("query_text", "n", ((F.col("a") == F.col("b")) & (F.col("a") != F.col("c"))).alias("same"))
+
+
 # ---- planning, queue and jobs
 
 _RUNS = "runs AS (SELECT concat('S', CAST(o_custkey % 4 AS STRING)) AS source_key, CAST(o_orderkey AS STRING) AS query_hash, CAST(o_orderkey % 3 + 1 AS INT) AS page, CASE o_orderstatus WHEN 'F' THEN 'DONE' WHEN 'O' THEN 'FAILED' ELSE 'BLOCKED' END AS outcome, 5 AS results, CAST(o_orderkey % 2 * 3 AS INT) AS found FROM {orders} WHERE o_orderkey % 3 = 0)"
