@@ -10,7 +10,10 @@ from quarryline import queries_directory, queries_texts, registry
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
-NAMES = "phone_directory phone_parse_classes text_normalize fingerprints html_strip filter_search anti_join_orders detail_with_children group_counts coverage_by_region relevance_scores confidence_scores status_ladder blocking_pairs canonical_choice merge_remap conflict_flags validation_history query_plan ledger_admission queue_claim export_rows failure_streaks".split()
+NAMES = (
+    "phone_directory phone_parse_classes text_normalize fingerprints html_strip filter_search anti_join_orders detail_with_children group_counts coverage_by_region relevance_scores confidence_scores status_ladder blocking_pairs canonical_choice merge_remap conflict_flags validation_history query_plan ledger_admission queue_claim export_rows failure_streaks "
+    "robots_verdicts robots_rates paced_fetches paced_shipments adapter_items item_candidates leased_items bucketed_totals observed_stream recorded_exports ladder_verdicts"
+).split()
 
 
 def same(a, b):
