@@ -116,6 +116,22 @@ def test_relevance(spark):
     assert len(DEFAULT.categories) == 4 and [len(v) for v in DEFAULT.categories.values()] == [27, 15, 18, 12]
 
 
+def test_parse_phone_of_the_own_country_that_begins_as_one_from_abroad(spark):
+    """``009800114`` is 0 and eight digits; cut as ``0098`` and five digits it was of no length that a phone has."""
+    got = one(spark, [("009800114",), ("00982112345678",), ("+00982112345",)], "raw string", p=phones.parse_phone("raw"))
+    assert [(r.p.type, r.p.subscriber) for r in got] == [("LANDLINE", "09800114"), ("LANDLINE", "12345678"), ("UNKNOWN", None)]
+
+
+def test_phone_queries_of_large_keys(spark, tmp_path):
+    """Phones made of keys beyond those of the small tables."""
+    from quarryline import queries
+
+    rows = spark.createDataFrame([(316142,), (316157,), (11,)], "c_custkey long")
+    rows.write.parquet(str(tmp_path / "customer.parquet"))
+    got = {r.type: (r.n, r.valid) for r in queries.QUERIES["phone_parse_classes"](spark, str(tmp_path)).collect()}
+    assert got["LANDLINE"] == (2, False)
+
+
 def test_spam_flags(spark):
     got = one(spark, [("کم", 40), ("x " * 800, 3), ("", 90)], "t string, p int", f=relevance.spam_flags("t", F.lit(0), "p"))
     assert [r.f for r in got] == [["many_phones"], [], []]
