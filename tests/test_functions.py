@@ -130,6 +130,8 @@ def test_phone_queries_of_large_keys(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "customer.parquet"))
     got = {r.type: (r.n, r.valid) for r in queries.QUERIES["phone_parse_classes"](spark, str(tmp_path)).collect()}
     assert got["LANDLINE"] == (2, False)
+    judged = {r.c_custkey: (r.type, r.base_quality) for r in queries.QUERIES["phone_quality"](spark, str(tmp_path)).collect()}
+    assert judged[316142] == judged[316157] == ("LANDLINE", 0.45)
 
 
 def test_spam_flags(spark):
