@@ -150,6 +150,16 @@ def test_spam_flags_of_whole_texts(spark, tmp_path):
     assert "spam_terms" in one(spark, [(late,)], "t string", f=relevance.spam_flags("t", lexicon=queries.LEXICON))[0].f
 
 
+def test_relevance_beside_a_sharp_s(spark, tmp_path):
+    """The SQL of these queries has no sharp s among its letters, so a term may stand beside one."""
+    from quarryline import queries
+
+    spark.createDataFrame([(1, "a die\u00dfge"), (2, "clown\u00df pathetic"), (3, "died \u00fcdie"), (4, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.role for r in queries.QUERIES["relevance_scores"](spark, str(tmp_path)).collect()}
+    assert got == {1: "MAKER", 2: "UNKNOWN", 3: "UNKNOWN", 4: "UNKNOWN"}
+    assert [r.dense for r in queries.QUERIES["spam_flags"](spark, str(tmp_path)).orderBy("doc_id").collect()] == [False, True, False, False]
+
+
 def test_confidence_bands(spark):
     cols = "reliabilities array<double>, domains int, observations int, has_name boolean, has_address boolean, has_website boolean, has_owner boolean, location_known boolean, business_type_known boolean, phone_quality double, phone_type string, area_matches boolean, fake_signals array<string>, is_synthetic boolean, relevance int, spam boolean, newest timestamp"
     from datetime import datetime
