@@ -286,9 +286,14 @@ def extract(pages: DataFrame, area: str | None = None, plan: P.PhonePlan = P.PLA
     Only the tree is walked in Python; names, addresses, owners and phones are columns, and equal candidates of a page are one, the
     best kind of them. With a gazetteer a candidate without a city takes the one that its text names.
     """
+    from quarryline.operators.components import cut
+    from quarryline.operators.joins import dealt
+
     found = _finder(most, selector)
-    rows = pages.select("url", *([area] if area else []), F.posexplode(found("html")).alias("nth", "c"))
-    rows = rows.select("url", *([area] if area else []), "nth", "c.*").withColumn("cid", F.xxhash64("url", "nth"))
+    rows = dealt(pages.select("url", *([area] if area else []), "html"), "url")
+    rows = rows.select("url", *([area] if area else []), F.posexplode(found("html")).alias("nth", "c"))
+    # read twice below, so it is written; the pages are walked once
+    rows = cut(rows.select("url", *([area] if area else []), "nth", "c.*").withColumn("cid", F.xxhash64("url", "nth")), "found")
     listed = P.find_phones(rows, "text", "cid", area, plan).where("reason is null").groupBy("cid").agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "e164"))), lambda x: x["e164"]).alias("phones"))
     out = rows.join(listed, "cid", "left").withColumns({
         "name": clean_name("name"), "phones": F.coalesce("phones", F.array().cast("array<string>")), "address": F.coalesce("address", address_from_text("text")),

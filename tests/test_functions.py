@@ -195,3 +195,12 @@ def test_page_candidates(spark):
     assert len(first) == 2 and all(len(r.phones) == 2 and r.kind == "DIRECTORY_ENTRY" and r.address for r in first)
     second = [r for r in got if r.url.endswith("2")]
     assert [(r.name, r.phones, r.kind) for r in second] == [("Alpha", ["+982133334455"], "JSON_LD")]
+
+
+def test_pages_of_one_file_are_walked_by_all_tasks(spark, monkeypatch):
+    from quarryline.operators import components
+
+    tasks, cut = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df, label: (tasks.append((label, df.rdd.getNumPartitions())), cut(df, label))[1])
+    df = spark.createDataFrame([(f"http://a.ir/{k}", f"<li>shop {k} 0912000{k:04d} here</li>") for k in range(50)], "url string, html string").coalesce(1)
+    assert pages.extract(df).count() == 50 and tasks == [("found", 4)]
