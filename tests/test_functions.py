@@ -1,6 +1,7 @@
 """Functions against hand-written cases."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,6 +96,23 @@ def test_indel_and_token_set():
         assert abs(similarity.indel(a, b) - 2 * row[-1] / (len(a) + len(b))) < 1e-12
 
 
+def test_indel_of_long_texts():
+    rnd = random.Random(3)
+    a = "".join(rnd.choice("abcdefg") for _ in range(100_000))
+    b = a[:50_000] + "x" + a[50_001:]
+    began = time.process_time()
+    assert similarity.indel(a, b) == similarity.indel(b, a) == 2 * 99_999 / 200_000
+    assert similarity.indel(a, "gz" * 30) == similarity.indel("gz" * 30, a) == 60 / 100_060
+    assert time.process_time() - began < 1.5
+    c, d = ("".join(rnd.choice("abé\ud800") for _ in range(300)) for _ in range(2))
+    row = [0] * (len(d) + 1)
+    for x in c:
+        last = row[:]
+        for k, y in enumerate(d):
+            row[k + 1] = last[k] + 1 if x == y else max(row[k], last[k + 1])
+    assert similarity.indel(c, d) == 2 * row[-1] / 600
+
+
 def test_compare_bounds(spark):
     rows = [
         ("شرکت پخش مواد شوینده بهرامی", "شرکت پخش مواد شوینده کریمی", "تهران", "تهران", [], [], 0.0, 0.6199),

@@ -41,6 +41,19 @@ def test_names_over_the_old_bound_are_compared(spark):
     assert dedup.scored_pairs(rows).count() == 401 * 400 // 2
 
 
+def test_what_is_compared_goes_along_with_a_chunk(spark):
+    rows = spark.range(9).select("id", F.array(F.lit("k")).alias("keys"), F.concat(F.lit("t"), "id").alias("text"))
+    got = dedup.candidate_pairs(rows, "keys", 4, ("text",)).collect()
+    assert len(got) == 36 and all({r.x_text, r.y_text} == {f"t{r.a}", f"t{r.b}"} for r in got)
+
+
+def test_copies_have_the_score_of_their_first(spark):
+    none = F.lit(None).cast("string")
+    rows = spark.range(6).select("id", F.when(F.col("id") < 4, "blue shop").otherwise("").alias("name"), F.lit("town").alias("city"), none.alias("address"), none.alias("domain"), F.array().cast("array<string>").alias("phones"))
+    got = {(r.a, r.b): (r.score, r.verdict, r.reasons) for r in dedup.scored_pairs(rows).collect()}
+    assert got == {(0, k): (0.88, "merge", ["equal name", "equal core"]) for k in (1, 2, 3)} | {(4, 5): (0.2, None, ["no anchor"])}
+
+
 @pytest.fixture(scope="module")
 def log():
     rnd = random.Random(11)
