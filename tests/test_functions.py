@@ -126,6 +126,14 @@ def test_compare_bounds(spark):
         assert r.low <= r.score <= r.high, r
 
 
+def test_spam_terms_are_sought_once(spark):
+    df = spark.createDataFrame([("",), ("استخدام فوری، ارسال رزومه",), ("a shop",), (None,)], "t string")
+    flags = df.select(relevance.spam_flags("t").alias("f"))
+    assert flags._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    given = df.withColumn("w", relevance.weight(relevance.search_text("t"), relevance.DEFAULT.spam)).select(relevance.spam_flags("t", spam="w").alias("f"))
+    assert [r.f for r in flags.collect()] == [r.f for r in given.collect()]
+
+
 def test_relevance(spark):
     rows = [("پخش مواد شوینده بهرامی", "عمده فروشی مایع ظرفشویی و پودر لباسشویی، تماس با ما"), ("خبر روز", "استخدام فوری، ارسال رزومه"), ("", "")]
     got = relevance.score_relevance(spark.createDataFrame(rows, "n string, b string"), "n", "b").collect()
