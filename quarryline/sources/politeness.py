@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quarryline.functions.urls import domain_of, url_hash_key
+from quarryline.operators.components import cut
 from quarryline.operators.joins import looked_up
 from quarryline.operators.scans import numbered, paced, streaks
 
@@ -32,6 +33,7 @@ def robots_rules(files: DataFrame, agent: str = "quarryline") -> DataFrame:
         F.array_compact(F.collect_list(F.when(F.col("field").isin("allow", "disallow") & (F.col("value") != ""), F.struct((F.col("field") == "allow").alias("allow"), F.col("value").alias("path"))))).alias("rules"),
         F.max(F.when(F.col("field") == "crawl-delay", F.expr("try_cast(value as double)"))).alias("delay"),
     ).withColumns({"own": F.array_contains("agents", agent.lower()), "any": F.array_contains("agents", "*")}).where("own or any")
+    groups = cut(groups, "groups")  # read twice below; a file is taken apart once
     named = groups.groupBy("domain").agg(F.max("own").alias("named"))
     held = groups.join(named, "domain").where("own = named")
     return held.groupBy("domain").agg(F.flatten(F.collect_list("rules")).alias("rules"), F.max("delay").alias("delay"))
@@ -54,16 +56,17 @@ def allowed(fetches: DataFrame, rules: DataFrame) -> DataFrame:
     rest = F.substring("rule", F.length("head") + 1, F.length("rule"))
     quoted = F.concat_ws(".*", F.transform(F.split(F.regexp_replace(rest, r"\$$", ""), r"\*"), lambda x: F.when(x == "", "").otherwise(F.concat(F.lit("\\Q"), x, F.lit("\\E")))))
     pattern = F.when(rest != "", F.concat(F.lit("^"), quoted, F.when(rest.endswith("$"), "$").otherwise("")))
-    one = one.withColumn("pattern", pattern)
+    one = cut(one.withColumn("pattern", pattern), "rules")
     heads = one.groupBy("domain", "head").agg(F.collect_list(F.struct("allow", F.length("rule").alias("n"), "pattern")).alias("rules"))
     lengths = one.groupBy("domain").agg(F.collect_set(F.length("head")).alias("lengths"))
 
     f = fetches.withColumns({"domain": domain_of("url"), "path": _path("url")})
-    with_lengths = looked_up(f.where("domain is not null"), lengths.join(f.groupBy("domain").agg(F.count("*").alias("n")), "domain"), "domain", "n")
+    with_lengths = looked_up(f.where("domain is not null"), cut(lengths.join(f.groupBy("domain").agg(F.count("*").alias("n")), "domain"), "lengths"), "domain", "n")
     fitting = F.filter("lengths", lambda n: n <= F.length("path"))
     prefixes = with_lengths.select("id", "path", "domain", F.explode(fitting).alias("n")).select("id", "path", F.struct("domain", F.expr("left(path, n)").alias("head")).alias("key"))
+    prefixes = cut(prefixes, "prefixes")  # read several times below
     sizes = prefixes.groupBy("key").agg(F.count("*").alias("n"))
-    met = looked_up(prefixes, heads.select(F.struct("domain", "head").alias("key"), F.col("rules").alias("found")).join(sizes, "key"), "key", "n")
+    met = looked_up(prefixes, cut(heads.select(F.struct("domain", "head").alias("key"), F.col("rules").alias("found")).join(sizes, "key"), "heads"), "key", "n")
     tail = F.substring("path", F.length("key.head") + 1, F.length("path"))
     hits = met.select("id", tail.alias("tail"), F.explode("found").alias("r")).where("r.pattern is null or regexp_like(tail, r.pattern)")
     best = hits.groupBy("id").agg(F.max_by("r.allow", F.struct("r.n", F.col("r.allow").cast("int").alias("a"))).alias("allowed"))
