@@ -10,6 +10,7 @@ from quarryline.directory import NOW, ctes, directory
 from quarryline.functions.labels import LABELS
 from quarryline.operators import catalog, dedup, revalidate, stats, upsert
 from quarryline.operators.catalog import BusinessFilter
+from quarryline.operators.joins import dealt
 from quarryline.plans import jobs, planner, queue
 from quarryline.registry import query, table
 from quarryline.sources import export, politeness, search
@@ -583,7 +584,8 @@ def api_result_items(spark, sf_dir):
 
 @query("""SELECT p_partkey, concat('http://s.ir/', CAST(p_partkey AS VARCHAR)) AS url, p_name AS title, p_type AS snippet, engine FROM part, (VALUES ('DUCKDUCKGO'), ('BING_HTML'), ('MOJEEK')) e(engine)""")
 def html_result_items(spark, sf_dir):
-    p = table(spark, sf_dir, "part").withColumn("u", F.concat(F.lit("http://s.ir/"), F.col("p_partkey").cast("string")))
+    # pages take long to read, so they are dealt to all tasks, however few files the parts are in
+    p = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")).withColumn("u", F.concat(F.lit("http://s.ir/"), F.col("p_partkey").cast("string")))
     shapes = {
         "DUCKDUCKGO": ("<div class='result'><a class='result__a' href='", "'>", "</a><a class='result__snippet'>", "</a></div>"),
         "BING_HTML": ("<ol><li class='b_algo'><h2><a href='", "'>", "</a></h2><div class='b_caption'><p>", "</p></div></li></ol>"),
