@@ -169,8 +169,8 @@ def places_in_texts(texts: DataFrame, places: DataFrame, id: str, text: str, nee
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, out = batch.column(0), []
-            for k, t in enumerate(batch.column(1).to_pylist()):
-                for gram in _grams(t or "", lengths, longest, known):
+            for k, t in enumerate(batch.column(1)):
+                for gram in _grams(t.as_py() or "", lengths, longest, known):
                     out.append((k, *gram))
                     if len(out) >= 50_000:
                         yield pack(ids, out)
@@ -188,9 +188,15 @@ def places_in_texts(texts: DataFrame, places: DataFrame, id: str, text: str, nee
     one = F.struct("a", (-F.col("b")).alias("to"), "needs", "near", "in_county", "in_city", "marked", "places")
     runs = met.groupBy("id").agg(F.array_sort(F.collect_list(one)).alias("runs"))
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a batch has thousands of texts, whose runs take gigabytes as Python's objects; those of one text are there at a time, and some thousand places
         for batch in batches:
-            found = [_settled(r) for r in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], [id, "found"])
+            begin, found, n = 0, [], 0
+            for k, r in enumerate(batch.column(1), 1):
+                found.append(_settled(r.as_py()))
+                n += len(found[-1])
+                if n >= 10_000 or k == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, k - begin), pa.array(found, kind)], [id, "found"])
+                    begin, found, n = k, [], 0
 
     kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), *((c, pa.string()) for c in ("kind", "name", "county", "province")), *((c, pa.bool_()) for c in ("in_county", "in_city", "marked"))]))
     shape = f"{id} {texts.schema[id].dataType.simpleString()}, found array<struct<a: int, b: int, kind: string, name: string, county: string, province: string, in_county: boolean, in_city: boolean, marked: boolean>>"
