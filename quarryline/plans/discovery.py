@@ -17,6 +17,7 @@ from quarryline.functions.text import name_key
 from quarryline.functions.urls import domain_of, url_hash_key
 from quarryline.operators import dedup, revalidate, upsert
 from quarryline.operators.components import cut
+from quarryline.operators.joins import dealt
 from quarryline.plans import planner
 from quarryline.session import Settings
 
@@ -47,7 +48,8 @@ def listed_candidates(found: DataFrame, asked: DataFrame, lexicon: Lexicon = DEF
 
 def _scored(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
     body = F.concat_ws(" ", "text", "address")
-    rows = score_relevance(rows.withColumn("body", body), "name", "body", lexicon)
+    # terms are long work for rows of few bytes, which would be joined into few tasks
+    rows = score_relevance(dealt(rows, "cid").withColumn("body", body), "name", "body", lexicon)
     flags = spam_flags("text", phones=F.size("phones"), lexicon=lexicon)
     return rows.withColumns({"is_spam": F.size(flags) > 0, "domain": domain_of("website"), "categories": F.array_compact(F.array("category")), "business_type": F.col("role")})
 
