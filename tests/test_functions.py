@@ -230,3 +230,30 @@ def test_pages_of_one_file_are_walked_by_all_tasks(spark, monkeypatch):
     monkeypatch.setattr(components, "cut", lambda df, label: (tasks.append((label, df.rdd.getNumPartitions())), cut(df, label))[1])
     df = spark.createDataFrame([(f"http://a.ir/{k}", f"<li>shop {k} 0912000{k:04d} here</li>") for k in range(50)], "url string, html string").coalesce(1)
     assert pages.extract(df).count() == 50 and tasks == [("found", 4)]
+
+
+def test_a_prefix_from_abroad_is_cut_from_any_phone_of_a_text(spark):
+    """``0098`` and five digits was taken for a local phone of eight digits, and completed to one that is written nowhere."""
+    p = one(spark, [("0098110",), ("009812345",), ("00989123456789",)], "raw string", p=phones.parse_phone("raw", national=False))
+    assert [(r.p.type, r.p.national, r.p.reason) for r in p] == [("SERVICE", "110", "service"), ("UNKNOWN", "12345", "bad length (5)"), ("MOBILE", "09123456789", None)]
+    df = spark.createDataFrame([(1, "تلفن 009812345", "021"), (2, "تلفن 00982133334455", "021"), (3, "تلفن 33334455", "021")], "id int, t string, area string")
+    got = {r.id: (r.e164, r.reason) for r in phones.find_phones(df, "t", "id", "area").collect()}
+    assert got[1][1] == "bad length (5)" and got[2] == got[3] == ("+982133334455", None)
+    html = spark.createDataFrame([(1, '<a href="tel:009812345">x</a> <p>009854321</p>', "021")], "id int, h string, area string")
+    assert phones.find_phones_in_html(html, "h", "id", "area").collect() == []
+
+
+def test_phone_quality_of_phones_that_are_made_up(spark, tmp_path):
+    """Signs that a phone is made up were left out of its quality, in the query and in its SQL."""
+    import duckdb
+
+    from quarryline import queries, registry
+
+    keys = [*range(0, 3000), *range(899_000, 900_000), 316142, 4519295, 9063911, 11_111_111, 99_999_999, 123_456_789]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    got = {r.c_custkey: (r.type, r.base_quality) for r in queries.QUERIES["phone_quality"](spark, str(tmp_path)).collect()}
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    assert got == {k: (t, q) for k, t, q in duck.execute(registry.SQL["phone_quality"]).fetchall()} and len(got) == len(keys)
+    # 09000000000: few digits, a run of one, four and five zeros, a block for tests
+    assert got[0] == ("MOBILE", 0.06) and got[316142] == ("LANDLINE", 0.45)
